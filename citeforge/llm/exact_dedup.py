@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeforge.llm.columns import ascii_lower, id_and_text
-from citeforge.llm.scratch import written
+from citeforge.llm.scratch import apart, written
 
 
 def exact_dedup(
@@ -43,7 +43,7 @@ def exact_dedup(
 
     # Bytes of groups with more than one member: equal digests must mean equal bytes.
     shared = digests.groupBy("h128").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h128")
-    members = digests.join(shared, "h128", "left_semi").select("doc_id")
+    members = digests.join(apart(shared), "h128", "left_semi").select("doc_id")
     present = rows.join(members, rows.doc_id.eqNullSafe(members.doc_id), "left_semi")
     variants = (
         present.select(h128.alias("h128"), norm.alias("norm"))
@@ -60,7 +60,7 @@ def exact_dedup(
         .otherwise(F.col("group_size"))
         .alias("group_size"),
     )
-    return digests.join(checked, ["h128", "sha"]).select(
+    return digests.join(apart(checked), ["h128", "sha"]).select(
         "doc_id",
         F.col("b.doc_id").alias("keep_id"),
         "group_size",

@@ -29,6 +29,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """An exchange between an aggregate and a join on the same key.
+
+    Without it the join takes over the aggregate's partitioning, and AQE, which splits hot keys only
+    where both inputs of a join are exchanges made for it, must leave a hot key in one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of jobs whose result has been written out."""
     gc.collect()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from citeforge.llm.columns import arrow_rows, id_and_text
 from citeforge.llm.graph import connected_components
-from citeforge.llm.scratch import written
+from citeforge.llm.scratch import apart, written
 
 BITS = 64
 SHINGLE = 3
@@ -77,7 +77,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks)))
     keyed = fps.select("fp", F.inline(tables))
     sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    full = written(keyed.join(sizes, ["t", "key"]), "simhash_buckets")
+    full = written(keyed.join(apart(sizes), ["t", "key"]), "simhash_buckets")
 
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= radius
     few = full.filter(F.col("n") <= bucket)
@@ -112,4 +112,4 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(apart(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
