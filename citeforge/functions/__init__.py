@@ -1 +1 @@
-
+"""Column functions: text, identifiers, parsing, similarity, scoring, classification."""
