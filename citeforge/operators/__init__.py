@@ -1 +1 @@
-
+"""Relational operators: lookups, candidates, ranking, resolution sets, summaries, stores."""
