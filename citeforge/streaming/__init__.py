@@ -1 +1 @@
-
+"""Incremental runs over streams of references."""
