@@ -34,13 +34,13 @@ def fold_table() -> tuple[str, str]:
             gone.append(c)
             continue
         plain = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x)).replace("ı", "i")
-        if len(plain) == 1 and plain.isascii() and plain.isalnum():
+        if re.fullmatch("[a-z0-9]", plain):
             single.append((c, plain))
     return "".join(c for c, _ in single) + "".join(gone), "".join(p for _, p in single)
 
 
 # Characters that fold to several letters; sharp s only where case is folded fully.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ĳ": "ij", "ǆ": "dz", "№": "no", "™": "tm"}
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "Ĳ": "ij", "ĳ": "ij", "Ǆ": "dz", "ǅ": "dz", "ǆ": "dz"}
 
 
 def unescape(text: Column) -> Column:
