@@ -10,11 +10,13 @@ that equal windows have equal anchors at equal places, and consecutive windows s
    Anchors that occur once, most of any corpus, are dropped after one aggregation.
 2. Anchors with equal (q, c) stand for equal windows: all but the earliest are repeats, settled
    without looking at single windows.
-3. Only where one anchor name comes with several texts, at the ends of repeats, single windows are
-   named, one set for each text, and the earliest of each name is found.
+3. Where one anchor name comes with several texts, at the ends of repeats, their windows are split
+   into blocks of neighbours, named by the text that a block's windows have in common. Blocks that
+   occur once are done.
+4. What is left is settled window by window.
 
 Names are content hashes, so a name needs no dictionary and no exchange; what is compared is 128
-bits, (q, c) or (q, w). Hot names are combined in the tasks before each shuffle, and rows get
+bits, (q, c) or (q, w). ``again`` marks what has come before in the same document. Hot names are combined in the tasks before each shuffle, and rows get
 their verdict by sort-merge joins, which AQE splits. No step pairs the members of a group.
 """
 
@@ -28,16 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeforge.llm.columns import id_and_text
-from citeforge.llm.scratch import apart, release, written
+from citeforge.llm.scratch import apart, dropped, release, written
 
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 S29, S32 = np.uint64(29), np.uint64(32)
 NULL_ID = -(1 << 63)
 #: Units that are worked on at a time; a longer document is taken whole.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 
-ANCHOR = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("p", pa.int32()), ("n", pa.int32())])
-WINDOW = pa.schema([("q", pa.int64()), ("w", pa.int64()), ("doc_id", pa.int64()), ("p", pa.int32())])
+ANCHOR = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("p", pa.int32()), ("n", pa.int32()), ("o", pa.int32()), ("again", pa.bool_())])
+PART = pa.schema([("q", pa.int64()), ("w", pa.int64()), ("doc_id", pa.int64()), ("p", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
+PART_DDL = "q long, w long, doc_id long, p int, n int, again boolean"
 
 
 def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -64,17 +67,28 @@ def chunks(sizes: list[int], most: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
-def anchor_rows(ids: np.ndarray, begin: np.ndarray, of_doc: np.ndarray, p: np.ndarray, anchor: np.ndarray, q: np.ndarray, c: Callable) -> list[np.ndarray]:
+def again(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which rows (a, b) have come before in the same document; rows are in order of place."""
+    order = np.lexsort((np.arange(len(a)), b, a, doc))
+    x, y, d = a[order], b[order], doc[order]
+    out = np.zeros(len(a), bool)
+    out[order[1:]] = (x[1:] == x[:-1]) & (y[1:] == y[:-1]) & (d[1:] == d[:-1])
+    return out
+
+
+def anchor_rows(ids: np.ndarray, begin: np.ndarray, of_doc: np.ndarray, p: np.ndarray, anchor: np.ndarray, q: np.ndarray, place: np.ndarray, c: Callable) -> list[np.ndarray]:
     """Joins consecutive windows with the same anchor to rows.
 
-    ``p``: places of windows in ascending order; ``anchor``, ``q``: of each; ``of_doc`` the
-    document index of each place and ``begin`` the documents' first places. ``c(lo, hi, anchor)``
-    names the text under the windows lo to hi.
+    ``p``: places of windows in ascending order; ``anchor``, ``q``, ``place``: of each, the anchor,
+    its name and its place; ``of_doc`` the document index of each place and ``begin`` the documents'
+    first places. ``c(lo, hi, place)`` names the text under the windows lo to hi.
     """
-    new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (p[1:] != p[:-1] + 1)))) if len(p) else np.zeros(0, np.int64)
-    lo, hi = p[new], p[np.append(new[1:], len(p)) - 1] if len(p) else p
-    doc = of_doc[lo]
-    return [q[new].view(np.int64), c(lo, hi, anchor[new]).view(np.int64), ids[doc], (lo - begin[doc]).astype(np.int32), (hi - lo + 1).astype(np.int32)]
+    if not len(p):
+        return [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, bool)]
+    new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (p[1:] != p[:-1] + 1))))
+    lo, hi, at = p[new], p[np.append(new[1:], len(p)) - 1], place[new]
+    doc, q, c = of_doc[lo], q[new].view(np.int64), c(lo, hi, at).view(np.int64)
+    return [q, c, ids[doc], (lo - begin[doc]).astype(np.int32), (hi - lo + 1).astype(np.int32), (at - lo).astype(np.int32), again(q, c, doc)]
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,81 +96,134 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
 
 
+#: Documents of a batch that are held as Python objects at a time.
+ROWS = 512
+
+
 def mapped(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[list]], out: pa.Schema, ddl: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             for cols in make(batch):
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
     return df.mapInArrow(run, ddl)
 
 
+def hashed(df: DataFrame) -> DataFrame:
+    """The side of a join to build a hash table of: distinct names, dealt by name, so no task's
+    share is large, and the other side needn't be sorted."""
+    return apart(df).hint("shuffle_hash")
+
+
 def repeated_spans(
     rows: DataFrame,
     width: int,
+    block: int,
     anchors: Callable[[pa.RecordBatch], Iterator[list]],
-    windows: Callable[[bytes, list[tuple[int, int]]], np.ndarray],
+    named: Callable[[bytes], Callable[[np.ndarray, int], np.ndarray]],
     within: bool,
 ) -> DataFrame:
     """(doc_id, spans): for each document with repeats, array of (p, size) in units.
 
-    ``rows``: doc_id without nulls, text. ``windows(text, places)`` names the windows of ranges
-    (p, n). ``within``: a window that stands earlier in the same document counts as repeated.
+    ``rows``: doc_id without nulls, text. ``named(text)`` gives a function of (places, size) that
+    names the strings of ``size`` units there; ``block`` is how many windows go together in step 3.
+    ``within``: a window that stands earlier in the same document counts as repeated.
     """
     spark = rows.sparkSession
-    table = written(mapped(rows, anchors, ANCHOR, "q long, c long, doc_id long, p int, n int"), "anchors")
-    shared = table.groupBy("q").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
-    shared = shared.filter("m > 1" if within else "a < z").select("q")
-    table = written(table.join(apart(shared), "q", "left_semi"), "shared_anchors")
+    least, last = F.min("doc_id").alias("least"), F.max("doc_id").alias("last")
+    several = F.col("m") > 1 if within else F.col("least") < F.col("last")
+
+    def shared(df: DataFrame, *keys: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), least, last).filter(several)
+
+    every = written(mapped(rows, anchors, ANCHOR, "q long, c long, doc_id long, p int, n int, o int, again boolean"), "anchors")
+    table = written(every.join(hashed(shared(every, "q").select("q")), "q", "left_semi"), "shared_anchors")
+    dropped(every)
     release(spark)
 
-    # The order in which an occurrence is earlier: by document, or by document and place.
-    place = F.struct("doc_id", "p") if within else F.struct("doc_id")
-    texts = table.groupBy("q", "c").agg(F.min(place).alias("first"))
-    names = texts.groupBy("q").agg(F.min("first").alias("least"), F.max("first").alias("last")).filter("least < last").select("q", F.lit(True).alias("open"))
-    judged = table.join(apart(apart(texts).join(apart(names), "q", "left")), ["q", "c"]).select(
-        "q", "doc_id", "p", "n", (place > F.col("first")).alias("repeat"), F.coalesce("open", F.lit(False)).alias("open")
+    # A name is open if its windows aren't settled by whole texts: several texts have it.
+    texts = table.groupBy("q", "c").agg(F.min("doc_id").alias("first"))
+    names = texts.groupBy("q").agg(F.count(F.lit(1)).alias("m"), F.min("first").alias("least"), F.max("first").alias("last")).filter(several)
+    verdict = apart(texts).join(hashed(names.select("q", F.lit(True).alias("open"))), "q", "left")
+    repeat = F.col("doc_id") > F.col("first")
+    judged = table.join(hashed(verdict), ["q", "c"]).select(
+        "q", "doc_id", "p", "n", "o", (repeat | F.col("again") if within else repeat).alias("repeat"), F.coalesce("open", F.lit(False)).alias("open")
     )
     judged = written(judged.filter("repeat or open"), "judged_anchors")
+    dropped(table)
     release(spark)
 
-    ends = judged.filter("not repeat").groupBy("doc_id").agg(F.collect_list(F.struct("p", "n", "q")).alias("ends"))
-
-    def name_windows(batch: pa.RecordBatch) -> Iterator[list]:
-        for doc_id, text, own in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            n = np.array([e["n"] for e in own], np.int64)
-            p = np.repeat(np.array([e["p"] for e in own], np.int64) - np.cumsum(n) + n, n) + np.arange(n.sum())
-            yield [np.repeat(np.array([e["q"] for e in own], np.int64), n), windows(text, p).view(np.int64), np.full(len(p), doc_id, np.int64), p.astype(np.int32)]
-
-    single = written(mapped(rows.join(ends, "doc_id").select("doc_id", "text", "ends"), name_windows, WINDOW, "q long, w long, doc_id long, p int"), "end_windows")
-    release(spark)
-    first = single.groupBy("q", "w").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("q", "w", "first")
-    late = single.join(apart(first), ["q", "w"]).filter(place > F.col("first")).select("doc_id", "p", F.lit(width).alias("size"))
+    def parts(found: DataFrame, fields: list[str], make: Callable, name: str) -> DataFrame:
+        """Maps (text, found rows of the document) to parts: q, w, p, n."""
+        grouped = found.groupBy("doc_id").agg(*(F.collect_list(f).alias(f) for f in fields))
+
+        def run(batch: pa.RecordBatch) -> Iterator[list]:
+            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                own = [batch.column(k)[i].values.to_numpy().astype(np.int64) for k in range(2, 2 + len(fields))]
+                q, w, p, n = make(named(text), *own)
+                doc = np.zeros(len(q), np.int64)
+                order = np.lexsort((p,))
+                q, w, p, n = q[order], w[order].view(np.int64), p[order], n[order]
+                yield [q, w, doc + batch.column(0)[i].as_py(), p.astype(np.int32), n.astype(np.int32), again(q, w, doc)]
+
+        return written(mapped(rows.join(grouped, "doc_id").select("doc_id", "text", *fields), run, PART, PART_DDL), name)
+
+    def blocks(names: Callable, p: np.ndarray, n: np.ndarray, o: np.ndarray, q: np.ndarray) -> tuple:
+        """Blocks of windows by their distance before the anchor, and the texts in common."""
+        size = np.repeat(n, n)
+        at = np.arange(len(size)) - np.repeat(np.cumsum(n) - n, n)
+        far, own = (np.repeat(o, n) - at) // block, np.repeat(np.arange(len(n)), n)
+        new = np.flatnonzero(np.concatenate(([True], (far[1:] != far[:-1]) | (own[1:] != own[:-1]))))
+        which, far = own[new], far[new]
+        place = p[which] + o[which]
+        return q[which], mixed(names(place - far * block, width - block + 1), far.astype(np.uint64)), (p[own] + at)[new], np.diff(np.append(new, len(own)))
+
+    def singles(names: Callable, p: np.ndarray, n: np.ndarray, q: np.ndarray) -> tuple:
+        each = np.repeat(p - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(q, n), names(each, width), each, np.ones(len(each), np.int64)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out = written(df.join(hashed(shared(df, "q", "w").select("q", "w", F.col("least").alias("first"))), ["q", "w"]), name)
+        dropped(df)
+        release(spark)
+        return out
+
+    ends = kept(parts(judged.filter("not repeat"), ["p", "n", "o", "q"], blocks, "end_blocks"), "shared_blocks")
+    single = kept(parts(ends, ["p", "n", "q"], singles, "end_windows"), "shared_windows")
+    late = single.filter(repeat | F.col("again") if within else repeat).select("doc_id", "p", F.lit(width).alias("size"))
     whole = judged.filter("repeat").select("doc_id", "p", (F.col("n") + (width - 1)).alias("size"))
-    spans = written(whole.unionByName(late).groupBy("doc_id").agg(F.collect_list(F.struct("p", "size")).alias("spans")), "repeated_spans")
+    spans = whole.unionByName(late).groupBy("doc_id").agg(F.collect_list("p").alias("p"), F.collect_list("size").alias("size"))
+    spans = written(spans, "repeated_spans")
+    for t in (judged, ends, single):
+        dropped(t)
     release(spark)
     return spans
 
 
-def merged(spans: list[dict], limit: int) -> list[tuple[int, int]]:
+def merged(p: np.ndarray, size: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """Maximal (start, end) runs of overlapping or touching spans, clipped to ``limit``."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted((x["p"], min(x["p"] + x["size"], limit)) for x in spans or ()):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        elif s < e:
-            out.append((s, e))
-    return out
+    order = np.argsort(p, kind="stable")
+    start, end = p[order], np.minimum(p[order] + size[order], limit)
+    start, end = start[start < end], end[start < end]
+    if not len(start):
+        return []
+    reach = np.maximum.accumulate(end)
+    new = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
+    return list(zip(start[new].tolist(), reach[np.append(new[1:], len(start)) - 1].tolist(), strict=True))
 
 
-def with_spans(rows: DataFrame, spans: DataFrame, make: Callable[[bytes, list[dict]], tuple], out: pa.Schema, ddl: str) -> DataFrame:
-    """Joins each document with its spans and maps (text, spans) to the columns after doc_id."""
+def with_spans(rows: DataFrame, spans: DataFrame, make: Callable[[bytes, Callable], tuple], out: pa.Schema, ddl: str) -> DataFrame:
+    """Joins each document with its spans and maps (text, runs within a limit) to the columns
+    after doc_id."""
 
     def run(batch: pa.RecordBatch) -> Iterator[list]:
-        texts, own = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()
-        done = [make(t, s) for t, s in zip(texts, own, strict=True)]
+        done = []
+        for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+            p, size = batch.column(2)[i], batch.column(3)[i]
+            runs = (lambda limit, p=p, size=size: merged(p.values.to_numpy().astype(np.int64), size.values.to_numpy().astype(np.int64), limit)) if p.is_valid else (lambda limit: [])
+            done.append(make(text, runs))
         yield [batch.column(0), *([d[i] for d in done] for i in range(len(out) - 1))]
 
-    return mapped(rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans"), run, out, ddl).withColumn(
+    return mapped(rows.join(spans, "doc_id", "left").select("doc_id", "text", "p", "size"), run, out, ddl).withColumn(
         "doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
     )

@@ -22,10 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeforge.llm.repeats import K2, anchor_rows, chunks, keyed, merged, mixed, repeated_spans, with_spans
+from citeforge.llm.repeats import K2, anchor_rows, chunks, keyed, mixed, repeated_spans, with_spans
 
 WIDTH = 50
 ROUNDS = 7
+#: Windows that go together before single ones are compared.
+BLOCK = 8
 #: Words whose names a worker remembers before it starts afresh.
 MEMO_SIZE = 1 << 20
 _LOW = np.uint64(0xFFFFFFFF)
@@ -108,6 +110,12 @@ def window_names(names: np.ndarray, p: np.ndarray, width: int = WIDTH) -> np.nda
     return mixed(h[p], h[p + width - depth])
 
 
+def word_strings(text: bytes):
+    """Names of the strings of a text by (places, words)."""
+    names = word_names(text.split())
+    return lambda p, size: window_names(names, p, size)
+
+
 def word_anchors(batch: pa.RecordBatch, width: int = WIDTH) -> Iterator[list]:
     """Anchor rows of a batch of (doc_id, text)."""
     ids = batch.column(0).to_numpy()
@@ -140,9 +148,9 @@ def word_anchors(batch: pa.RecordBatch, width: int = WIDTH) -> Iterator[list]:
 
         def text_name(lo: np.ndarray, hi: np.ndarray, at: np.ndarray, names: np.ndarray = names) -> np.ndarray:
             both = mixed(window_names(names, lo, width), window_names(names, hi, width))
-            return mixed(both, ((hi - lo) << 20 | ((at >> 5) - lo)).astype(np.uint64))
+            return mixed(both, ((hi - lo) << 20 | (at - lo)).astype(np.uint64))
 
-        yield anchor_rows(ids[i:j], begin, of_doc, p, anchor, q, text_name)
+        yield anchor_rows(ids[i:j], begin, of_doc, p, anchor, q, anchor >> 5, text_name)
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary()), ("n_kept", pa.int64())])
@@ -160,12 +168,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = keyed(docs, id_col, text_col)
     spans = repeated_spans(
-        rows, width, lambda batch: word_anchors(batch, width), lambda text, p: window_names(word_names(text.split()), p, width), within=False
+        rows, width, BLOCK, lambda batch: word_anchors(batch, width), word_strings, within=False
     )
 
-    def cut(text: bytes, own: list[dict]) -> tuple:
+    def cut(text: bytes, runs) -> tuple:
         words = text.split()
-        gone = merged(own, len(words))
+        gone = runs(len(words))
         kept, at = [], 0
         for s, e in gone:
             kept += words[at:s]

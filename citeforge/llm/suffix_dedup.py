@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeforge.llm.repeats import K1, anchor_rows, chunks, keyed, merged, mixed, repeated_spans, with_spans
+from citeforge.llm.repeats import K1, anchor_rows, chunks, keyed, mixed, repeated_spans, with_spans
 
 WIDTH = 100
 GRAM = 32
+#: Windows that go together before single ones are compared.
+BLOCK = 17
 _BYTE = np.arange(1, 257, dtype=np.uint64) * K1
 _BYTE ^= _BYTE >> np.uint64(31)
 _BYTE *= np.uint64(0xBF58476D1CE4E5B9)
@@ -75,11 +77,13 @@ def byte_anchors(batch: pa.RecordBatch, width: int = WIDTH) -> Iterator[list]:
             both = mixed(deep_buckets(h, lo, width), deep_buckets(h, hi, width))
             return mixed(both, ((hi - lo) << 20 | (at - lo)).astype(np.uint64))
 
-        yield anchor_rows(ids[i:j], begin, of_doc, p, anchor, h[anchor], text_name)
+        yield anchor_rows(ids[i:j], begin, of_doc, p, anchor, h[anchor], anchor, text_name)
 
 
-def byte_windows(text: bytes, p: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    return deep_buckets(gram_buckets(np.frombuffer(text, np.uint8)), p, width)
+def byte_names(text: bytes):
+    """Names of the strings of a text by (places, size), from its 32-byte buckets."""
+    h = gram_buckets(np.frombuffer(text, np.uint8))
+    return lambda p, size: deep_buckets(h, p, size)
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
@@ -88,19 +92,19 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.l
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per input row: doc_id, n_bytes, spans (start, end of what goes), kept (bytes).
 
-    Every byte goes that is covered by a ``width``-byte string (65 to 128) which also starts
+    Every byte goes that is covered by a ``width``-byte string (81 to 128) which also starts
     earlier, in a document with a smaller id or before in the same document; overlaps count, and
     strings are judged on the input. Null and empty texts have nothing to remove; null ids come
     first. Rows that repeat an id are versions of one document: equal ones get equal results, and
     what is found in any is cut from each, within its length. Columns besides the two are ignored.
     """
-    if not 2 * GRAM < width <= 4 * GRAM:
-        raise ValueError(f"width must be over {2 * GRAM} and at most {4 * GRAM}")
+    if not 2 * GRAM + BLOCK <= width <= 4 * GRAM:
+        raise ValueError(f"width must be from {2 * GRAM + BLOCK} to {4 * GRAM}")
     rows = keyed(docs, id_col, text_col)
-    spans = repeated_spans(rows, width, lambda batch: byte_anchors(batch, width), lambda text, p: byte_windows(text, p, width), within=True)
+    spans = repeated_spans(rows, width, BLOCK, lambda batch: byte_anchors(batch, width), byte_names, within=True)
 
-    def cut(text: bytes, own: list[dict]) -> tuple:
-        gone = merged(own, len(text))
+    def cut(text: bytes, runs) -> tuple:
+        gone = runs(len(text))
         parts, at = [], 0
         for s, e in gone:
             parts.append(text[at:s])
