@@ -33,9 +33,25 @@ class LogTree:
 FIELD = "<*>"
 
 
+def spaced(line: Column) -> Column:
+    """A line whose tokens stand one space apart. Few lines need it, so plain searches come first."""
+    odd = line.startswith(" ") | line.endswith(" ")
+    for gap in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | line.contains(gap)
+    return F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
+
+
+def masked(token: Column) -> Column:
+    return F.when(token.rlike("[0-9]"), F.lit(FIELD)).otherwise(token)
+
+
+def n_tokens(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
 def tokens(line: Column) -> Column:
-    """Tokens of a line, those with a digit masked."""
-    return F.filter(F.split(F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD), r"[\x20\x09-\x0D]+"), lambda t: t != "")
+    """Tokens of a spaced line, those with a digit masked."""
+    return F.transform(F.split(line, " "), masked)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree: LogTree | None = None) -> DataFrame:
@@ -54,10 +70,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = id_and_text(docs, id_col, text_col)
     same = F.xxhash64("text")  # with the id: the document; alone: the text
     lines = rows.select("doc_id", same.alias("tag"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    lines = lines.filter(F.length("line") > 2 * (tree.constant - 1)).withColumn("tokens", tokens(F.col("line"))).drop("line")
-    lines = lines.filter(F.size("tokens") >= tree.constant)
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, tree.leading))
-    lines = lines.withColumn("leaf", leaf)
+    lines = lines.filter(F.length("line") > 2 * (tree.constant - 1)).withColumn("line", spaced(F.col("line")))
+    lines = lines.filter(n_tokens(F.col("line")) >= tree.constant)
+    # Only the leading tokens are taken apart here; most lines never need more.
+    head = F.split("line", " ", tree.leading + 1)
+    lines = lines.withColumn("leaf", F.xxhash64(n_tokens(F.col("line")), *(masked(F.get(head, F.lit(i))) for i in range(tree.leading))))
 
     often = lines.groupBy("leaf", "tag").agg(F.count(F.lit(1)).alias("n")).groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
     often = written(often.filter(F.col("texts") >= tree.texts).select("leaf", "n"), "frequent_leaves")
@@ -65,12 +82,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = written(lines.join(often.select("leaf"), "leaf", "left_semi"), "leaf_lines")
     release(docs.sparkSession)
 
+    held = held.withColumn("tokens", tokens(F.col("line")))
     at = held.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("m"))
     fixed = at.join(apart(often), "leaf").filter(F.col("m") >= tree.share * F.col("n"))
     # At most 1 / share tokens for each position of a leaf's lines, which all have one length.
     fixed = fixed.groupBy("leaf").agg(F.collect_set(F.concat_ws(" ", F.col("at").cast("string"), "token")).alias("fixed"))
-    masked = F.transform("tokens", lambda t, i: F.when(F.array_contains("fixed", F.concat_ws(" ", i.cast("string"), t)), t).otherwise(F.lit(FIELD)))
-    shaped = held.join(apart(fixed), "leaf").withColumn("masked", masked)
+    template = F.transform("tokens", lambda t, i: F.when(F.array_contains("fixed", F.concat_ws(" ", i.cast("string"), t)), t).otherwise(F.lit(FIELD)))
+    shaped = held.join(apart(fixed), "leaf").withColumn("masked", template)
     shaped = shaped.filter(F.size(F.filter("masked", lambda t: t != FIELD)) >= tree.constant)
     shaped = written(shaped.select("doc_id", "tag", "i", F.xxhash64("leaf", "masked").alias("template")), "line_templates")
     common = shaped.groupBy("template", "tag").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("texts"))
