@@ -72,6 +72,8 @@ def judged_templates(counts: DataFrame, tree: Tree) -> DataFrame:
     """(host, parts, purity, labelled) of rows host, parts, n, bad, good."""
     rows = counts.withColumn("node", F.array().cast("array<string>"))
     for level in range(1, tree.depth + 1):
+        if not rows.filter(F.size("parts") >= level).limit(1).count():
+            break
         part = F.try_element_at("parts", F.lit(level))
         kids = rows.filter(F.size("parts") >= level).groupBy("host", "node", part.alias("part")).agg(F.sum("n").alias("n"))
         fan = kids.groupBy("host", "node").agg(F.count(F.lit(1)).alias("fan")).filter(F.col("fan") > tree.children)
@@ -79,13 +81,14 @@ def judged_templates(counts: DataFrame, tree: Tree) -> DataFrame:
         rows = rows.withColumn("part", part).join(apart(rare), ["host", "node", "part"], "left").withColumn(
             "node", F.when(F.col("part").isNull(), F.col("node")).otherwise(F.concat("node", F.array(F.when(F.col("rare"), F.lit("*")).otherwise(F.col("part")))))
         ).drop("part", "rare")
+        rows = written(rows, "url_nodes")  # else the plan would treble with each level
     rows = rows.withColumn("node", F.concat("node", F.slice("parts", tree.depth + 1, 1)))
 
     # Siblings: nodes that differ in the first segment only.
     leaves = rows.groupBy("host", "node").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     leaves = leaves.withColumn("shape", F.concat(F.array(F.lit("*")), F.slice("node", 2, tree.depth + 1))).withColumn("m", F.col("bad") + F.col("good"))
     pooled = leaves.filter("m > 0").groupBy("host", "shape").agg((F.sum("bad") / F.sum("m")).alias("share"))
-    leaves = leaves.join(apart(pooled), ["host", "shape"], "left")
+    leaves = written(leaves.join(apart(pooled), ["host", "shape"], "left"), "url_leaves")
     error = F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("m"))
     near = F.abs(F.col("bad") / F.col("m") - F.col("share")) <= tree.z * error + 0.5 / F.col("m")
     leaves = leaves.withColumn("pool", F.when((F.col("m") > 0) & near, F.col("shape")).otherwise(F.col("node")))
