@@ -56,7 +56,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeforge.llm.exact_dedup import exact_dedup
 
-    return exact_dedup(_docs(spark, sf_dir), keep="max", ignore_ascii_case=True)
+    return exact_dedup(_docs(spark, sf_dir), keep="max", ignore_ascii_case=True).drop("text_tag")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeforge.llm.simhash import simhash_components
 
-    return simhash_components(_docs(spark, sf_dir))
+    return simhash_components(_docs(spark, sf_dir)).drop("text_tag")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -81,14 +81,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-OP8_SQL = """
-WITH n AS (
-  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
-), g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
-SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
-FROM n JOIN g USING (t)
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    from citeforge.llm import oracle
+
+    return {
+        "op3_substring_dedup": oracle.OP3,
+        "op4_suffix_array_dedup": oracle.OP4,
+        "op6_line_dedup": oracle.OP6,
+        "op8_exact_dedup": oracle.OP8,
+    }
