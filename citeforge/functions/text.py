@@ -227,5 +227,6 @@ def first_filled(*values: Column) -> Column:
 
 
 def percent(part: Column, whole: Column) -> Column:
-    """Two decimals; null of an empty whole."""
-    return F.round(100.0 * part / F.nullif(whole, F.lit(0)), 2)
+    """Two decimals, halves up, from whole numbers alone, so that no binary fraction decides a tie;
+    null of an empty whole."""
+    return F.floor((part * 20000 + whole) / F.nullif(whole * 2, F.lit(0))) / 100.0

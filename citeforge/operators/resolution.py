@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeforge.functions.text import percent
 from citeforge.operators.ranking import best, running_total
 
 #: Stages in order, and what counts as found: the compatible policy takes ``possible`` matches of
@@ -47,7 +48,7 @@ def cumulative(resolution: DataFrame, policy: dict[str, tuple[str, ...]], total:
     """For each stage: newly found, found so far, and the rate over ``total`` (column n)."""
     first = found(resolution, policy).groupBy("sample_index").agg(F.min("stage").alias("stage"))
     counts = first.groupBy("stage").agg(F.count(F.lit(1)).alias("new_found"))
-    return running_total(counts, "stage", "new_found").join(F.broadcast(total)).withColumn("rate", F.round(100.0 * F.col("cumulative") / F.col("n"), 2)).drop("n")
+    return running_total(counts, "stage", "new_found").join(F.broadcast(total)).withColumn("rate", percent(F.col("cumulative"), F.col("n"))).drop("n")
 
 
 def scoped(refs: DataFrame, resolution: DataFrame, scope: str) -> DataFrame:

@@ -87,7 +87,7 @@ def normalized_reference(x: str) -> str:
 
 
 def percent(part: str, whole: str) -> str:
-    return f"round(100.0 * {part} / nullif({whole}, 0), 2)"
+    return f"CAST((({part}) * 20000 + ({whole})) // nullif(({whole}) * 2, 0) AS DOUBLE) / 100.0"
 
 
 WITH_REFS = f"WITH refs AS ({REFS_CTE})"

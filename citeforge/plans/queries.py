@@ -180,14 +180,25 @@ def cleanup_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs(spark, sf_dir).select("sample_index", classify.article_like(c).alias("article_like"), classify.biomedical(c).alias("biomedical"), mode.alias("query_mode"))
 
 
-@query()
+@query(f"""{o.WITH_REFS}, k AS (SELECT *, lower({o.sub("string_split_regex(trim(" + o.sub(o.sub(o.sub(o.unquote(o.ext("context", fixed.DOI_LOOSE)), fixed.DOI_PREFIX, ""), r"\s*/\s*", "/"), r"\s+", "") + ", " + o.DOI_CHARS + "), '[#?]')[1]", r"[.,;:)\]}]+$", "")}) AS doi FROM refs),
+  b AS (SELECT sample_index, {o.clean_query("CASE WHEN doi = '' THEN context ELSE regexp_replace(context, '(?i)' || regexp_escape(doi), ' ', 'g') END")} AS base, {o.normalized_reference("context")} AS n FROM k),
+  y AS (SELECT sample_index, {o.normalized_reference("base")} AS cleaned, n, {o.ext("n", fixed.YEAR)} AS yr FROM b),
+  z AS (SELECT *, trim({o.sub("cleaned", fixed.HYPHENATED, chr(92) + "1" + chr(92) + "2")}, ' .;,') AS joined, {_AFTER} AS parts FROM y),
+  v AS (SELECT sample_index, 1 AS o, 'cleaned_context' AS mode, cleaned AS query FROM z UNION ALL SELECT sample_index, 2, 'dehyphenated_context', joined FROM z WHERE joined <> cleaned
+  UNION ALL SELECT sample_index, 3, 'title_journal_year', parts[1] || ' ' || parts[2] || ' ' || yr FROM z WHERE len(regexp_extract_all(parts[1], '{_WORD}')) BETWEEN 4 AND 28)
+  SELECT sample_index, mode, trim(query) AS query FROM v WHERE length(query) >= 12 QUALIFY row_number() OVER (PARTITION BY sample_index, lower(query) ORDER BY o) = 1""")
 def cleanup_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query variants of a cleanup retry."""
     r = refs(spark, sf_dir)
     return r.select("sample_index", F.inline(parsing.cleanup_queries(F.col("context"), identifiers.first_doi(F.col("context")))))
 
 
-@query()
+_TEXT = f"trim({o.sub(o.sub(o.sub(o.sub('replace(context, chr(173), ' + o.q('') + ')', fixed.LEADING_NUMBER, ''), fixed.SOURCE_TAG_WIDE, ' '), fixed.URL, ' '), fixed.BROKEN_WORD, chr(92) + '1' + chr(92) + '2')}, ' .;,')"
+
+
+@query(f"""{o.WITH_REFS}, c AS (SELECT sample_index, trim({o.sub(_TEXT, r'\s+', ' ')}, ' .;,') AS t FROM refs),
+  f AS (SELECT sample_index, regexp_matches(t, {o.rx(fixed.APA)}) AS apa, {o.ext("t", fixed.APA, 3)} AS title, {o.ext("t", fixed.APA, 4)} AS journal, {o.ext("t", fixed.APA, 2)} AS year, trim({o.ext("t", fixed.APA, 1)}, ' .;,') AS authors FROM c)
+  SELECT sample_index, title, journal, year, authors, title || ' ' || authors || ' ' || journal || ' ' || year AS query, CASE WHEN apa THEN 'apa' END AS parser FROM f""")
 def parse_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five citation patterns."""
     return refs(spark, sf_dir).select("sample_index", F.inline(F.array(parsing.parse_reference(F.col("context")))))
