@@ -19,7 +19,7 @@ from citeforge.llm.tokenfiles import default_path, pattern, read_ranks
 
 VOCAB_FILE = "byte_bpe_50k.tiktoken"
 #: Pre-tokens whose ids a worker remembers before it starts afresh.
-MEMO_SIZE = 1 << 20
+MEMO_SIZE = 3 << 18
 
 
 class PerfectHash:
@@ -75,21 +75,34 @@ class PerfectHash:
         return self.values[slot] if self.keys[slot] == key else -1
 
 
-class Codec:
-    """Encodes pre-tokens by rank and decodes ids, with a bounded memo of pre-tokens."""
+class Decoder:
+    """Decodes ids from one string of all tokens' bytes."""
 
     def __init__(self, path: str) -> None:
-        self.ranks = read_ranks(path)
-        self.whole = PerfectHash(self.ranks)
-        self.split = regex.compile(pattern()).findall
-        self.memo: dict[str, bytes] = {}
-        by_id = sorted((i, t) for t, i in self.ranks.items())
+        by_id = sorted((i, t) for t, i in read_ranks(path).items())
         self.lengths = np.zeros(by_id[-1][0] + 1, np.int64)
         self.lengths[[i for i, _ in by_id]] = [len(t) for _, t in by_id]
         self.starts = np.zeros(len(self.lengths), np.int64)
         self.starts[[i for i, _ in by_id]] = np.cumsum([0, *(len(t) for _, t in by_id)][:-1])
         self.blob = np.frombuffer(b"".join(t for _, t in by_id), np.uint8)
 
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids, one after another."""
+        n = self.lengths[ids]
+        stop = np.cumsum(n)
+        at = np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.starts[ids] - (stop - n), n)
+        return self.blob[at]
+
+
+class Encoder:
+    """Encodes pre-tokens by rank, with a bounded memo of pre-tokens."""
+
+    def __init__(self, path: str) -> None:
+        self.ranks = read_ranks(path)
+        self.whole = PerfectHash(self.ranks)
+        self.split = regex.compile(pattern()).findall
+        self.memo: dict[str, bytes] = {}
+
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token: its bytes are a linked list, a heap has the mergeable pairs.
 
@@ -146,17 +159,20 @@ class Codec:
                     memo[w] = self.piece_ids(w)
             return b"".join(map(memo.__getitem__, words))
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of ids, one after another."""
-        n = self.lengths[ids]
-        stop = np.cumsum(n)
-        at = np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.starts[ids] - (stop - n), n)
-        return self.blob[at]
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+@lru_cache(1)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
-@lru_cache(2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows: what a worker holds doesn't depend on the batch size."""
+    return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
 
 
 def encode_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None) -> DataFrame:
@@ -169,8 +185,8 @@ def encode_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.field("element", pa.int32())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
-        for batch in batches:
+        own = encoder(path)
+        for batch in pieces(batches):
             rows = [own.encode(t) for t in batch.column(1).to_pylist()]
             offsets = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
             values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(rows))])
@@ -191,8 +207,8 @@ def decode_bpe(encoded: DataFrame, vocab: str | None = None) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
-        for batch in batches:
+        own = decoder(path)
+        for batch in pieces(batches):
             col = batch.column(1)
             rows = [own.decode(col[i].values.to_numpy()).tobytes() if col[i].is_valid and len(col[i]) else b"" for i in range(len(col))]
             yield pa.RecordBatch.from_arrays([batch.column(0), col.cast(schema.field("ids").type), pa.array(rows, pa.binary())], schema=schema)
