@@ -40,6 +40,18 @@ def biomedical(context: Column) -> Column:
     return F.coalesce(context, F.lit("")).rlike(fixed.BIOMEDICAL)
 
 
+#: Categories whose re-parsed references are worth a search.
+SEARCHED = ("journal_like_left", "other", "hidden_doi", "dergipark_file", "conference")
+
+
+def searchable(doi: Column, year: Column, n_tokens: Column, category: Column, any_category: bool = False) -> Column:
+    """Whether a re-parsed reference is searched: with a DOI always, else with a title of four
+    tokens, a year, and a category that is searched."""
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    allowed = F.lit(True) if any_category else category.isin(*SEARCHED)
+    return filled(doi) | ((n_tokens >= 4) & filled(year) & allowed)
+
+
 def blocked_page(url: Column, text: Column) -> Column:
     """Whether a result page is a block or captcha page."""
     hay = F.lower(F.concat_ws(" ", url, text))

@@ -31,6 +31,15 @@ def title_coverage(title: Column, context: Column, stop: tuple[str, ...] = fixed
     return coverage(tokens(normalize_text(title), stop), tokens(normalize_text(context), stop))
 
 
+def plain_coverage(title: Column, context: Column) -> Column:
+    """Without stop words: of the title's words of over two letters, the share in the context."""
+    def of(s: Column) -> Column:
+        return F.size(F.filter(s["t"], lambda t: F.array_contains(s["c"], t))) / F.greatest(F.lit(1), F.size(s["t"]))
+
+    words = F.filter(F.split(normalize_casefold(title), " "), lambda t: F.length(t) > 2)
+    return let(F.struct(words.alias("t"), F.split(normalize_casefold(context), " ").alias("c")), of)
+
+
 def fuzzy_coverage(needle: Column, haystack: Column, stop: tuple[str, ...] = fixed.STOP_INDEX) -> Column:
     """As coverage; a token also counts if it stands in the haystack without its spaces."""
     def of(s: Column) -> Column:

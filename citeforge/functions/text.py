@@ -213,6 +213,20 @@ def latest_year(text: Column) -> Column:
     return F.array_max(years(text))
 
 
+def utc_now() -> Column:
+    """The current time as an ISO string with its zone, to the second."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+# The response headers that tell how much of a quota is left.
+LIMIT_HEADERS = ("x-ratelimit-credits-used", "x-ratelimit-remaining", "x-ratelimit-limit", "x-ratelimit-reset", "x-ratelimit-cost-usd", "x-ratelimit-remaining-usd")
+
+
+def limit_headers(headers: Column) -> Column:
+    """The quota's entries of a map of response headers."""
+    return F.map_filter(headers, lambda k, v: F.lower(k).isin(*LIMIT_HEADERS) & v.isNotNull())
+
+
 def truthy(value: Column) -> Column:
     return F.coalesce(F.lower(F.trim(value.cast("string"))).isin("1", "true", "yes", "y"), F.lit(False))
 

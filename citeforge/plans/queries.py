@@ -330,6 +330,54 @@ def journal_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.best_collection(journals, sets, similarity.name_similarity, 0.72)
 
 
+@query(f"""{o.WITH_BOTH}, t AS (SELECT sample_index, context, part FROM refs WHERE regexp_matches(context, 'ISBN 978|ISBN: ')),
+  j AS (SELECT t.sample_index, w.work_id, list_filter(string_split({o.fold("w.title")}, ' '), lambda x: length(x) > 2) AS tw, string_split({o.fold("t.context")}, ' ') AS cw
+        FROM t JOIN works w ON w.work_id = t.part OR (w.work_id = t.part + 1)),
+  s AS (SELECT sample_index, work_id, round(CAST(len(list_filter(tw, lambda x: list_contains(cw, x))) AS DOUBLE) / greatest(1, len(tw)), 4) AS coverage FROM j)
+  SELECT sample_index, work_id, coverage, CASE WHEN coverage >= 0.55 THEN 'strong' ELSE 'possible' END AS status FROM s WHERE coverage > 0
+  QUALIFY row_number() OVER (PARTITION BY sample_index ORDER BY coverage DESC, work_id) = 1""")
+def isbn_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of an ISBN scored by title coverage; items that score nothing never win."""
+    t = refs(spark, sf_dir).filter(F.col("context").rlike("ISBN 978|ISBN: ")).select("sample_index", "context", F.explode(F.array("part", F.col("part") + 1)).alias("work_id"))
+    items = works(spark, sf_dir).select("work_id", "title")
+    s = t.join(items, "work_id").withColumn("coverage", F.round(similarity.plain_coverage(F.col("title"), F.col("context")), 4))
+    b = ranking.nonzero_best(s.select("sample_index", "work_id", "coverage"), ["sample_index"], F.col("coverage"), [-F.col("coverage"), F.col("work_id")])
+    return b.withColumn("status", scoring.isbn_status(F.col("coverage"), F.lit(True)))
+
+
+@query(f"""{o.WITH_BOTH}, t AS (SELECT sample_index, context, part FROM refs WHERE regexp_matches(context, {o.rx(fixed.BIOMEDICAL)})),
+  j AS (SELECT t.sample_index, w.work_id, {o.tokens(o.fold("w.title"))} AS tw, {o.tokens(o.fold("t.context"))} AS cw, list_contains({o.every("t.context", fixed.YEAR)}, CAST(w.year AS VARCHAR)) AS ym FROM t LEFT JOIN works w ON w.work_id = t.part AND w.status <> 'not_found')
+  SELECT sample_index, coalesce(work_id, -1) AS work_id, CASE WHEN work_id IS NULL THEN 'no_match' WHEN CAST(len(list_filter(tw, lambda x: list_contains(cw, x))) AS DOUBLE) / len(tw) >= 0.88 AND ym THEN 'strong' ELSE 'possible' END AS status FROM j""")
+def citation_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of one field, by citation key to an id to its metadata."""
+    t = refs(spark, sf_dir).filter(classify.biomedical(F.col("context"))).select("sample_index", "context", F.col("part").alias("work_id"))
+    known = works(spark, sf_dir).filter("status <> 'not_found'").select("work_id", "title", "year")
+    j = t.join(known, "work_id", "left")
+    year = F.array_contains(text.years(F.col("context")), F.col("year").cast("int"))
+    has = F.col("title").isNotNull()
+    status = scoring.citation_status(similarity.title_coverage(F.col("title"), F.col("context")), F.coalesce(year, F.lit(False)), has)
+    return j.select("sample_index", F.when(has, F.col("work_id")).otherwise(-1).alias("work_id"), status.alias("status"))
+
+
+@query(f"""{o.WITH_REFS}, c AS (SELECT sample_index, {o.CATEGORY} AS category, {o.ext("context", fixed.YEAR)} AS yr, {o.ext("context", fixed.DOI_LOOSE)} AS d FROM (SELECT *, replace(context, ' ', '') AS no_space FROM refs))
+  SELECT sample_index, category, d <> '' OR (yr <> '' AND category IN ({", ".join(o.q(c) for c in classify.SEARCHED)})) AS searchable FROM c""")
+def searchable_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which re-parsed references are searched."""
+    c = F.col("context")
+    own = classify.exclusive_category(classify.flags(c))
+    parsed = text.let(parsing.parse_reference(c), lambda p: F.struct(p["year"].alias("year"), F.size(text.tokens(text.normalize_text(p["title"]))).alias("n")))
+    r = refs(spark, sf_dir).select("sample_index", own.alias("category"), identifiers.first_doi(c).alias("doi"), parsed.alias("p"))
+    return r.select("sample_index", "category", classify.searchable(F.col("doi"), F.col("p.year"), F.col("p.n"), F.col("category")).alias("searchable"))
+
+
+@query(f"""{o.WITH_REFS}, l AS (SELECT sample_index, trim({o.sub(o.sub(o.sub(o.sub("context", fixed.URL, " "), fixed.ACCESS_TAIL, " "), fixed.LEADING_NUMBER, ""), r"\s+", " ")}, ' .;,') AS query FROM refs WHERE k % 3 = 0)
+  SELECT sample_index, query FROM l WHERE length(query) >= 130""")
+def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References for a link search: allowed, filled, long enough."""
+    r = refs(spark, sf_dir).filter("k % 3 = 0").select("sample_index", text.first_filled(F.lit(" "), F.col("context")).alias("t"))
+    return r.select("sample_index", text.clean_link_query(F.col("t")).alias("query")).filter(F.length("query") >= 130)
+
+
 # --- lookups -----------------------------------------------------------------------------------------
 
 
