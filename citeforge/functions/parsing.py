@@ -110,16 +110,20 @@ def _distinct_by(items: Column, key) -> Column:
 def cleanup_queries(context: Column, doi: Column, most: int = 300) -> Column:
     """array<struct<mode, query>>: cleaned, dehyphenated if that differs, title-journal-year;
     those of 12 characters or more, distinct without regard to case."""
-    base = clean_reference_query(context, doi)
-    cleaned, joined, parts = normalized_reference(base), dehyphenated(base), title_and_journal(context)
-    titled = F.concat_ws(" ", F.nullif(parts["title"], F.lit("")), F.nullif(parts["journal"], F.lit("")), F.nullif(first_year(context), F.lit("")))
-    row = lambda mode, q, ok: F.when(ok, F.struct(F.lit(mode).alias("mode"), F.trim(F.regexp_replace(limit_query(q, most), r"\s+", " ")).alias("query")))
-    made = F.array(
-        row("cleaned_context", cleaned, cleaned != ""),
-        row("dehyphenated_context", joined, (joined != "") & (joined != cleaned)),
-        row("title_journal_year", titled, parts["title"] != ""),
-    )
-    return let(F.filter(made, lambda x: x.isNotNull() & (F.length(x["query"]) >= 12)), lambda a: _distinct_by(a, lambda x: F.lower(x["query"])))
+
+    def rows(s: Column) -> Column:
+        parts = s["parts"]
+        titled = F.concat_ws(" ", F.nullif(parts["title"], F.lit("")), F.nullif(parts["journal"], F.lit("")), F.nullif(first_year(context), F.lit("")))
+        row = lambda mode, q, ok: F.when(ok, F.struct(F.lit(mode).alias("mode"), F.trim(F.regexp_replace(limit_query(q, most), r"\s+", " ")).alias("query")))
+        made = F.array(
+            row("cleaned_context", s["cleaned"], s["cleaned"] != ""),
+            row("dehyphenated_context", s["joined"], (s["joined"] != "") & (s["joined"] != s["cleaned"])),
+            row("title_journal_year", titled, parts["title"] != ""),
+        )
+        return let(F.filter(made, lambda x: x.isNotNull() & (F.length(x["query"]) >= 12)), lambda a: _distinct_by(a, lambda x: F.lower(x["query"])))
+
+    forms = lambda base: F.struct(normalized_reference(base).alias("cleaned"), dehyphenated(base).alias("joined"), title_and_journal(context).alias("parts"))
+    return let(let(clean_reference_query(context, doi), forms), rows)
 
 
 def title_queries(title: Column, year: Column, most: int = 4) -> Column:

@@ -52,7 +52,11 @@ def fuzzy_coverage(needle: Column, haystack: Column, stop: tuple[str, ...] = fix
 
 def author_coverage(surnames: Column, context: Column, stop: tuple[str, ...] = fixed.STOP_BASE) -> Column:
     """Of up to three surnames of over two letters, the share found among the context's tokens."""
-    words = tokens(normalize_text(context), stop)
+    return author_share(surnames, tokens(normalize_text(context), stop))
+
+
+def author_share(surnames: Column, words: Column) -> Column:
+    """``author_coverage`` for tokens that are already there."""
 
     def of(s: Column) -> Column:
         most = F.least(F.size(s["u"]), F.lit(3))

@@ -209,10 +209,12 @@ def parse_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References with works that share five title tokens or more, one of them rare."""
-    r = refs(spark, sf_dir).select("sample_index", "context", "publication_id", text.tokens(text.normalize_text(F.col("context"))).alias("tokens"))
-    w = works(spark, sf_dir).withColumn("tokens", text.tokens(text.normalize_text(F.col("title"))))
+    r = refs(spark, sf_dir).select("sample_index", "context", "publication_id", text.normalize_text(F.col("context")).alias("r_norm"))
+    w = works(spark, sf_dir).withColumn("w_norm", text.normalize_text(F.col("title")))
+    # Folded and split once for each reference and work, not for each pair.
+    r, w = r.withColumn("tokens", text.tokens(F.col("r_norm"))), w.withColumn("tokens", text.tokens(F.col("w_norm")))
     shared = candidates.token_candidates(r, w, "sample_index", "work_id", "tokens", 5, 20)
-    return shared.join(r.drop("tokens"), "sample_index").join(w.drop("tokens"), "work_id")
+    return shared.join(r.withColumnRenamed("tokens", "r_tokens"), "sample_index").join(w.withColumnRenamed("tokens", "w_tokens"), "work_id")
 
 
 _R_TOKENS = o.tokens(o.fold("context"))
@@ -233,14 +235,12 @@ def token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of the score; similarity is 1 for a contained title, else 0, so that SQL has it too."""
-    title, context = F.col("title"), F.col("context")
-    norm = text.normalize_text
     return _pairs(spark, sf_dir).withColumns({
-        "cov": similarity.title_coverage(title, context),
-        "sim": F.coalesce(similarity.contained(norm(title), norm(context)), F.lit(0.0)),
-        "authors": similarity.author_coverage(F.array("surname"), context),
-        "year_match": F.array_contains(text.years(context), F.col("year").cast("int")),
-        "n": F.size(text.tokens(norm(title))),
+        "cov": similarity.coverage(F.col("w_tokens"), F.col("r_tokens")),
+        "sim": F.coalesce(similarity.contained(F.col("w_norm"), F.col("r_norm")), F.lit(0.0)),
+        "authors": similarity.author_share(F.array("surname"), F.col("r_tokens")),
+        "year_match": F.array_contains(text.years(F.col("context")), F.col("year").cast("int")),
+        "n": F.size("w_tokens"),
     })
 
 
