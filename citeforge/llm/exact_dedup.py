@@ -16,7 +16,8 @@ def exact_dedup(
     keep: str = "min",
     ignore_ascii_case: bool = False,
 ) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, text_tag
+    (a 64-bit hash of the text as it is, to find the row again where ids are missing or repeated).
 
     Only (id, digests) rows are grouped; the text moves just for the members of groups of two
     or more, whose bytes are compared. A hot group costs one partial row per task before the
@@ -33,7 +34,7 @@ def exact_dedup(
     h128, sha = F.unhex(F.md5(norm)), F.sha2(norm, 256)
     # ``rid`` tells repeated rows apart; it is fixed once the digests are written.
     digests = written(
-        rows.select("doc_id", h128.alias("h128"), sha.alias("sha"), F.monotonically_increasing_id().alias("rid")),
+        rows.select("doc_id", h128.alias("h128"), sha.alias("sha"), F.xxhash64("text").alias("tag"), F.monotonically_increasing_id().alias("rid")),
         "exact_digests",
     )
     best = F.struct("doc_id", F.expr("-rid" if keep == "max" else "rid").alias("o"))
@@ -66,4 +67,5 @@ def exact_dedup(
         "group_size",
         (F.col("rid") == F.abs(F.col("b.o"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        F.col("tag").alias("text_tag"),
     )
