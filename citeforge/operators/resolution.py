@@ -48,7 +48,7 @@ def cumulative(resolution: DataFrame, policy: dict[str, tuple[str, ...]], total:
     """For each stage: newly found, found so far, and the rate over ``total`` (column n)."""
     first = found(resolution, policy).groupBy("sample_index").agg(F.min("stage").alias("stage"))
     counts = first.groupBy("stage").agg(F.count(F.lit(1)).alias("new_found"))
-    return running_total(counts, "stage", "new_found").join(F.broadcast(total)).withColumn("rate", percent(F.col("cumulative"), F.col("n"))).drop("n")
+    return running_total(counts, "stage", "new_found").withColumn("rate", percent(F.col("cumulative"), total.select("n").scalar()))
 
 
 def scoped(refs: DataFrame, resolution: DataFrame, scope: str) -> DataFrame:

@@ -58,9 +58,9 @@ def histogram(rows: DataFrame, column: str = "category", order: tuple[str, ...]
     counts = rows.groupBy(F.col(column).alias("category")).agg(F.count(F.lit(1)).alias("n"))
     values = rows.sparkSession.createDataFrame([(i, c) for i, c in enumerate(order)], "place int, category string")
     filled = values.join(counts, "category", "left").fillna(0, ["n"])
-    whole = rows.agg(F.count(F.lit(1)).alias("whole"))
-    shares = {"share": percent(F.col("n"), F.col("whole"))} | ({"share_of_total": percent(F.col("n"), total)} if total is not None else {})
-    return filled.join(F.broadcast(whole)).withColumns(shares).drop("whole")
+    whole = rows.agg(F.count(F.lit(1))).scalar()
+    shares = {"share": percent(F.col("n"), whole)} | ({"share_of_total": percent(F.col("n"), total)} if total is not None else {})
+    return filled.withColumns(shares)
 
 
 def flag_counts(rows: DataFrame, names: list[str]) -> DataFrame:
