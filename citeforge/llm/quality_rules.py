@@ -6,8 +6,10 @@ from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 
+import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from citeforge.llm.columns import arrow_rows, id_and_text
 
@@ -67,6 +69,46 @@ def repeat_words(words: list[bytes]) -> int:
     return covered
 
 
+class Judge:
+    """The measures and the verdict of one text: the columns of ``SCHEMA`` after doc_id."""
+
+    def __init__(self, bands: Bands, min_words: int, max_repeat_percent: int) -> None:
+        self.bands, self.min_words, self.max_repeat_percent = bands, min_words, max_repeat_percent
+
+    def __call__(self, text: bytes) -> tuple:
+        b = self.bands
+        squeeze = zstandard.ZstdCompressor(level=b.level).compress
+        words = text.split()
+        n = len(words)
+        repeated = repeat_words(words) if n > 2 else 0
+        ratio = len(squeeze(text)) / len(text) if text else 0.0
+        k = bisect_right(b.edges, len(text)) - 1
+        chunks = [len(squeeze(text[at : at + b.chunk_bytes])) / b.chunk_bytes for at in range(0, len(text) - b.chunk_bytes + 1, b.chunk_bytes)]
+        low, high = sum(r < b.chunk_low for r in chunks), sum(r > b.chunk_high for r in chunks)
+        base = n < self.min_words or 100 * repeated > self.max_repeat_percent * n
+        reason = (
+            "base" if base
+            else "repetitive" if ratio < b.low[k]
+            else "incompressible" if ratio > b.high[k]
+            else "chunks" if chunks and low + high > b.max_bad_chunks * len(chunks)
+            else None
+        )
+        symbols = len(text) - len(text.translate(None, SYMBOLS))
+        return n, word_chars(text), symbols, duplicate_lines(text), repeated, base, reason is None, ratio, len(chunks), low, high, reason
+
+
+def kept_rows(docs: DataFrame, text_col: str = "text", bands: Bands | None = None, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+    """The rows whose text passes, all columns. Only the text goes to Python, and no row has to be
+    found again by its id, so missing and repeated ids don't matter."""
+    judge = Judge(bands or Bands(), min_words, max_repeat_percent)
+
+    @F.pandas_udf("boolean")
+    def passes(texts: pd.Series) -> pd.Series:
+        return pd.Series([judge((t or "").encode())[6] for t in texts], dtype=bool)
+
+    return docs.filter(passes(docs[text_col].cast("string")))
+
+
 def quality_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -84,36 +126,10 @@ def quality_rules(
     """
     b = bands or Bands()
 
+    judge = Judge(b, min_words, max_repeat_percent)
+
     def make(ids: list, texts: list[bytes]) -> dict[str, list]:
-        squeeze = zstandard.ZstdCompressor(level=b.level, write_content_size=True).compress
-        out: dict[str, list] = {name.split()[0]: [] for name in SCHEMA.split(", ")}
-        for doc_id, text in zip(ids, texts, strict=True):
-            words = text.split()
-            n = len(words)
-            repeated = repeat_words(words) if n > 2 else 0
-            ratio = len(squeeze(text)) / len(text) if text else 0.0
-            k = bisect_right(b.edges, len(text)) - 1
-            low = high = chunks = 0
-            for at in range(0, len(text) - b.chunk_bytes + 1, b.chunk_bytes):
-                r = len(squeeze(text[at : at + b.chunk_bytes])) / b.chunk_bytes
-                chunks += 1
-                low += r < b.chunk_low
-                high += r > b.chunk_high
-            base = n < min_words or 100 * repeated > max_repeat_percent * n
-            reason = (
-                "base" if base
-                else "repetitive" if ratio < b.low[k]
-                else "incompressible" if ratio > b.high[k]
-                else "chunks" if chunks and low + high > b.max_bad_chunks * chunks
-                else None
-            )
-            for name, value in zip(
-                out,
-                (doc_id, n, word_chars(text), len(text) - len(text.translate(None, SYMBOLS)), duplicate_lines(text), repeated,
-                 base, reason is None, ratio, chunks, low, high, reason),
-                strict=True,
-            ):
-                out[name].append(value)
-        return out
+        rows = [(i, *judge(t)) for i, t in zip(ids, texts, strict=True)]
+        return {c.split()[0]: [r[k] for r in rows] for k, c in enumerate(SCHEMA.split(", "))}
 
     return arrow_rows(id_and_text(docs, id_col, text_col), SCHEMA, make)

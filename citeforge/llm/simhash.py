@@ -56,11 +56,12 @@ def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): a map without shuffle. Null and empty texts have fingerprint 0."""
+    """(doc_id, fp, text_tag): a map without shuffle. Null and empty texts have fingerprint 0;
+    the tag is Spark's 64-bit hash of the text."""
     return arrow_rows(
         id_and_text(docs, id_col, text_col),
-        "doc_id long, fp long",
-        lambda ids, texts: {"doc_id": ids, "fp": [signed(fingerprint(t)) for t in texts]},
+        "doc_id long, fp long, text_tag long",
+        lambda ids, texts: {"doc_id": ids, "fp": [signed(fingerprint(t)) for t in texts], "text_tag": [signed(xxhash.xxh64_intdigest(t, SEED)) for t in texts]},
     )
 
 
@@ -97,7 +98,8 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
+    """One row per input row: doc_id, fingerprint (16 hex digits), component_id,
+    text_tag.
 
     Documents are first reduced to distinct fingerprints, so copies never meet as pairs.
     ``component_id`` is the least doc_id that links reach, the row's own included; null ids are
@@ -112,4 +114,4 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
-    return own.join(apart(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(apart(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_tag")
