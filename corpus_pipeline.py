@@ -1,4 +1,11 @@
-"""The corpus pipeline: quality, exact copies, near copies, secrets, packing."""
+"""The corpus pipeline: quality, exact copies, near copies, secrets, packing.
+
+Each stage takes documents and, but for the last, returns documents with the same columns. A stage
+works on every row of its input. Rows are told apart by id and text; of rows that repeat both, the
+exact-copies stage keeps one. Rows without an id are judged like others; a group of near copies of
+which none has an id stays whole. Null texts count as empty, and fail the quality rules. An empty
+input gives an empty output with the same columns.
+"""
 
 from __future__ import annotations
 
@@ -7,39 +14,42 @@ from pyspark.sql import functions as F
 
 from citeforge.llm.exact_dedup import exact_dedup
 from citeforge.llm.packing import pack
-from citeforge.llm.quality_rules import quality_rules
+from citeforge.llm.quality_rules import kept_rows
 from citeforge.llm.scratch import written
-from citeforge.llm.secret_scan import scan_secrets
+from citeforge.llm.secret_scan import redacted
 from citeforge.llm.simhash import simhash_components
 
 REDACTED = "[SECRET]"
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``; ids of the corpus are unique."""
-    return docs.join(ids, "doc_id", "left_semi").select(docs.columns)
+def _only(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id, a missing one too, and text are in ``verdict``."""
+    kept = verdict.select(F.col("doc_id").alias("_i"), F.col("text_tag").alias("_t"))
+    tag = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_i"]) & (tag == kept["_t"]), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return _only(docs, quality_rules(docs).filter("kept").select("doc_id"))
+    return kept_rows(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z in either case) the one with the largest id stays."""
-    return _only(docs, exact_dedup(docs, keep="max", ignore_ascii_case=True).filter("kept").select("doc_id"))
+    verdict = exact_dedup(docs, keep="max", ignore_ascii_case=True)
+    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        docs = docs.dropDuplicates(["doc_id", "text"])  # costs a shuffle of texts, so only where ids repeat
+    return _only(docs, verdict.filter("kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the least id stays."""
-    return _only(docs, simhash_components(docs).filter("doc_id = component_id").select("doc_id"))
+    return _only(docs, simhash_components(docs).filter("doc_id <=> component_id"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced; every document stays."""
-    clean = scan_secrets(docs, redact=REDACTED).filter(F.size("spans") > 0).select("doc_id", F.col("text").alias("clean"))
-    text = F.coalesce("clean", "text")
-    return docs.join(clean, "doc_id", "left").withColumns({"n_chars": F.when(F.col("clean").isNull(), F.col("n_chars")).otherwise(F.length("clean")), "text": text}).select(docs.columns)
+    """Secrets are replaced, and ``n_chars`` follows; every document stays. A map: no join back."""
+    return redacted(docs, REDACTED).withColumn("n_chars", F.when(F.col("n_spans") == 0, F.col("n_chars")).otherwise(F.length("text"))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
