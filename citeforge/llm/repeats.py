@@ -11,8 +11,8 @@ that equal windows have equal anchors at equal places, and consecutive windows s
 2. Anchors with equal (q, c) stand for equal windows: all but the earliest are repeats, settled
    without looking at single windows.
 3. Where one anchor name comes with several texts, at the ends of repeats, their windows are split
-   into blocks of neighbours, named by the text that a block's windows have in common. Blocks that
-   occur once are done.
+   into blocks of neighbours, named by the text that a block's windows have in common, and steps 1
+   and 2 are repeated on blocks.
 4. What is left is settled window by window.
 
 Names are content hashes, so a name needs no dictionary and no exchange; what is compared is 128
@@ -39,8 +39,8 @@ NULL_ID = -(1 << 63)
 CHUNK = 1 << 17
 
 ANCHOR = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("p", pa.int32()), ("n", pa.int32()), ("o", pa.int32()), ("again", pa.bool_())])
-PART = pa.schema([("q", pa.int64()), ("w", pa.int64()), ("doc_id", pa.int64()), ("p", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
-PART_DDL = "q long, w long, doc_id long, p int, n int, again boolean"
+PART = pa.schema([("q", pa.int64()), ("w", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("p", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
+PART_DDL = "q long, w long, c long, doc_id long, p int, n int, again boolean"
 
 
 def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -120,81 +120,93 @@ def repeated_spans(
     width: int,
     block: int,
     anchors: Callable[[pa.RecordBatch], Iterator[list]],
-    named: Callable[[bytes], Callable[[np.ndarray, int], np.ndarray]],
+    named: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, Callable[[np.ndarray, int], np.ndarray]]],
     within: bool,
 ) -> DataFrame:
     """(doc_id, spans): for each document with repeats, array of (p, size) in units.
 
-    ``rows``: doc_id without nulls, text. ``named(text)`` gives a function of (places, size) that
-    names the strings of ``size`` units there; ``block`` is how many windows go together in step 3.
+    ``rows``: doc_id without nulls, text. ``named(texts)`` gives the first places and sizes of texts
+    that are put one after another, and a function of (places, size) that names the strings of ``size`` units
+    there; ``block`` is how many windows go together in step 3.
     ``within``: a window that stands earlier in the same document counts as repeated.
     """
     spark = rows.sparkSession
-    least, last = F.min("doc_id").alias("least"), F.max("doc_id").alias("last")
     several = F.col("m") > 1 if within else F.col("least") < F.col("last")
+    repeat = F.col("doc_id") > F.col("first")
+    repeat = repeat | F.col("again") if within else repeat
 
-    def shared(df: DataFrame, *keys: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), least, last).filter(several)
-
-    every = written(mapped(rows, anchors, ANCHOR, "q long, c long, doc_id long, p int, n int, o int, again boolean"), "anchors")
-    table = written(every.join(hashed(shared(every, "q").select("q")), "q", "left_semi"), "shared_anchors")
-    dropped(every)
-    release(spark)
+    def shared(df: DataFrame, names: list[str], doc: str) -> DataFrame:
+        """Names that several rows, or rows of several documents, have."""
+        return df.groupBy(*names).agg(F.count(F.lit(1)).alias("m"), F.min(doc).alias("least"), F.max(doc).alias("last")).filter(several)
 
-    # A name is open if its windows aren't settled by whole texts: several texts have it.
-    texts = table.groupBy("q", "c").agg(F.min("doc_id").alias("first"))
-    names = texts.groupBy("q").agg(F.count(F.lit(1)).alias("m"), F.min("first").alias("least"), F.max("first").alias("last")).filter(several)
-    verdict = apart(texts).join(hashed(names.select("q", F.lit(True).alias("open"))), "q", "left")
-    repeat = F.col("doc_id") > F.col("first")
-    judged = table.join(hashed(verdict), ["q", "c"]).select(
-        "q", "doc_id", "p", "n", "o", (repeat | F.col("again") if within else repeat).alias("repeat"), F.coalesce("open", F.lit(False)).alias("open")
-    )
-    judged = written(judged.filter("repeat or open"), "judged_anchors")
-    dropped(table)
-    release(spark)
+    def settled(every: DataFrame, names: list[str], label: str) -> DataFrame:
+        """Steps 1 and 2: rows that are repeats, and rows whose name is open: it has several texts,
+        so that their windows may still be repeats, or what others repeat."""
+        table = written(every.join(hashed(shared(every, names, "doc_id").select(*names)), names, "left_semi"), f"shared_{label}")
+        dropped(every)
+        release(spark)
+        texts = table.groupBy(*names, "c").agg(F.min("doc_id").alias("first"))
+        known = shared(texts, names, "first").select(*names, F.lit(True).alias("open"))
+        verdict = apart(texts).join(hashed(known), names, "left")
+        judged = table.join(hashed(verdict), [*names, "c"]).withColumns({"repeat": repeat, "open": F.coalesce("open", F.lit(False))})
+        judged = written(judged.filter("repeat or open").drop("c", "again", "first"), f"judged_{label}")
+        dropped(table)
+        release(spark)
+        return judged
 
-    def parts(found: DataFrame, fields: list[str], make: Callable, name: str) -> DataFrame:
-        """Maps (text, found rows of the document) to parts: q, w, p, n."""
-        grouped = found.groupBy("doc_id").agg(*(F.collect_list(f).alias(f) for f in fields))
+    def parts(found: DataFrame, fields: list[str], make: Callable, label: str) -> DataFrame:
+        """Maps (text, open rows of the document) to their parts, many documents at a time."""
+        grouped = found.filter("not repeat").groupBy("doc_id").agg(*(F.collect_list(f).alias(f) for f in fields))
 
         def run(batch: pa.RecordBatch) -> Iterator[list]:
-            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                own = [batch.column(k)[i].values.to_numpy().astype(np.int64) for k in range(2, 2 + len(fields))]
-                q, w, p, n = make(named(text), *own)
-                doc = np.zeros(len(q), np.int64)
-                order = np.lexsort((p,))
-                q, w, p, n = q[order], w[order].view(np.int64), p[order], n[order]
-                yield [q, w, doc + batch.column(0)[i].as_py(), p.astype(np.int32), n.astype(np.int32), again(q, w, doc)]
-
-        return written(mapped(rows.join(grouped, "doc_id").select("doc_id", "text", *fields), run, PART, PART_DDL), name)
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist()
+            ends = batch.column(2).offsets.to_numpy()
+            for i, j in chunks([len(t) for t in texts], 2 * CHUNK):
+                begin, size, names = named(texts[i:j])
+                flat = lambda k, i=i, j=j: batch.column(k).values.slice(ends[i], ends[j] - ends[i]).to_numpy().astype(np.int64)
+                own = dict(zip(fields, map(flat, range(2, 2 + len(fields))), strict=True))
+                doc = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
+                fits = own["p"] + own["n"] - 1 + width <= size[doc]  # another version of the document may be shorter
+                own, doc = {k: v[fits] for k, v in own.items()}, doc[fits]
+                if not len(doc):
+                    continue
+                own["p"] += begin[doc]
+                row, w, c, p, n = make(names, **own)
+                order = np.argsort(p, kind="stable")
+                row, w, c, p, n = row[order], w[order], c[order], p[order], n[order]
+                q, doc = own["q"][row], doc[row]
+                yield [q, w.view(np.int64), c.view(np.int64), ids[i:j][doc], (p - begin[doc]).astype(np.int32), n.astype(np.int32), again(q, mixed(w, c), doc)]
+
+        return written(mapped(rows.join(grouped, "doc_id").select("doc_id", "text", *fields), run, PART, PART_DDL), label)
 
     def blocks(names: Callable, p: np.ndarray, n: np.ndarray, o: np.ndarray, q: np.ndarray) -> tuple:
-        """Blocks of windows by their distance before the anchor, and the texts in common."""
+        """Blocks of windows by their distance before the anchor: named by the text in common."""
         size = np.repeat(n, n)
         at = np.arange(len(size)) - np.repeat(np.cumsum(n) - n, n)
         far, own = (np.repeat(o, n) - at) // block, np.repeat(np.arange(len(n)), n)
         new = np.flatnonzero(np.concatenate(([True], (far[1:] != far[:-1]) | (own[1:] != own[:-1]))))
-        which, far = own[new], far[new]
-        place = p[which] + o[which]
-        return q[which], mixed(names(place - far * block, width - block + 1), far.astype(np.uint64)), (p[own] + at)[new], np.diff(np.append(new, len(own)))
+        which, far, lo, m = own[new], far[new], (p[own] + at)[new], np.diff(np.append(new, len(own)))
+        anchor = p[which] + o[which]
+        core = mixed(names(anchor - far * block, width - block + 1), far.astype(np.uint64))
+        whole = mixed(mixed(names(lo, width), names(lo + m - 1, width)), (m << 20 | (anchor - lo)).astype(np.uint64))
+        return which, core, whole, lo, m
 
     def singles(names: Callable, p: np.ndarray, n: np.ndarray, q: np.ndarray) -> tuple:
         each = np.repeat(p - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.repeat(q, n), names(each, width), each, np.ones(len(each), np.int64)
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        out = written(df.join(hashed(shared(df, "q", "w").select("q", "w", F.col("least").alias("first"))), ["q", "w"]), name)
-        dropped(df)
-        release(spark)
-        return out
-
-    ends = kept(parts(judged.filter("not repeat"), ["p", "n", "o", "q"], blocks, "end_blocks"), "shared_blocks")
-    single = kept(parts(ends, ["p", "n", "q"], singles, "end_windows"), "shared_windows")
-    late = single.filter(repeat | F.col("again") if within else repeat).select("doc_id", "p", F.lit(width).alias("size"))
-    whole = judged.filter("repeat").select("doc_id", "p", (F.col("n") + (width - 1)).alias("size"))
-    spans = whole.unionByName(late).groupBy("doc_id").agg(F.collect_list("p").alias("p"), F.collect_list("size").alias("size"))
+        w = names(each, width)
+        return np.repeat(np.arange(len(n)), n), w, w, each, np.ones(len(each), np.int64)
+
+    table = written(mapped(rows, anchors, ANCHOR, "q long, c long, doc_id long, p int, n int, o int, again boolean"), "anchors")
+    first = settled(table, ["q"], "anchors")
+    second = settled(parts(first, ["p", "n", "o", "q"], blocks, "end_blocks"), ["q", "w"], "blocks")
+    third = settled(parts(second, ["p", "n", "q"], singles, "end_windows"), ["q", "w"], "windows")
+    spans = None
+    for t in (first, second, third):
+        own = t.filter("repeat").select("doc_id", "p", (F.col("n") + (width - 1)).alias("size"))
+        spans = own if spans is None else spans.unionByName(own)
+    spans = spans.groupBy("doc_id").agg(F.collect_list("p").alias("p"), F.collect_list("size").alias("size"))
     spans = written(spans, "repeated_spans")
-    for t in (judged, ends, single):
+    for t in (first, second, third):
         dropped(t)
     release(spark)
     return spans

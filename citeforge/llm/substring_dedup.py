@@ -15,40 +15,61 @@ verifies them and finds their ends to the word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeforge.llm.repeats import K2, anchor_rows, chunks, keyed, mixed, repeated_spans, with_spans
+from citeforge.llm.repeats import CHUNK, K2, anchor_rows, chunks, keyed, mixed, repeated_spans, with_spans
 
 WIDTH = 50
 ROUNDS = 7
 #: Windows that go together before single ones are compared.
 BLOCK = 8
-#: Words whose names a worker remembers before it starts afresh.
-MEMO_SIZE = 1 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 _U = np.uint64
+_WHITE = np.zeros(256, bool)
+_WHITE[list(b" \t\n\x0b\x0c\r")] = True
+#: A fixed random 64-bit number for each byte, and the odd base of the polynomial over them.
+_BYTE = np.random.default_rng(20260804).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+#: Bytes that one prefix sum covers, whole words only.
+SEGMENT = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-class _Names(dict):
-    """Word to name; a name is never 0, which marks the end of a document."""
+@lru_cache(4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_SIZE:
-            self.clear()
-        name = self[word] = xxhash.xxh3_64_intdigest(word) or 1
-        return name
 
+def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the words of all texts, one after another, and how many each text has.
 
-_names = _Names()
-
-
-def word_names(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_names.__getitem__, words), np.uint64, len(words))
+    A name is a polynomial over the word's bytes modulo 2**64, mixed; prefix sums over the bytes, a
+    segment at a time, give them all. It is never 0, which marks the end of a document.
+    """
+    b = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    if not len(b):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    edge = np.flatnonzero(np.diff(_WHITE[b].view(np.int8), prepend=1, append=1))
+    start, end = edge[::2], edge[1::2]
+    names, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + SEGMENT, "right")))
+        first, own = start[i], b[start[i] : end[j - 1]]
+        up, down = _powers(1 << len(own).bit_length())
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[own] * up[: len(own)], dtype=np.uint64)))
+        names[i:j] = (total[end[i:j] - first] - total[start[i:j] - first]) * down[start[i:j] - first]
+        i = j
+    names = mixed(names, (end - start).astype(np.uint64))
+    names[names == 0] = 1
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return names, np.diff(np.searchsorted(start, ends), prepend=0)
 
 
 def levels(names: np.ndarray, rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, ...]]:
@@ -110,29 +131,24 @@ def window_names(names: np.ndarray, p: np.ndarray, width: int = WIDTH) -> np.nda
     return mixed(h[p], h[p + width - depth])
 
 
-def word_strings(text: bytes):
-    """Names of the strings of a text by (places, words)."""
-    names = word_names(text.split())
-    return lambda p, size: window_names(names, p, size)
+def word_strings(texts: list[bytes]):
+    """First places and sizes of texts, and names of their strings by (places, words)."""
+    names, size = word_names(texts)
+    return np.cumsum(size) - size, size, lambda p, size: window_names(names, p, size)
 
 
 def word_anchors(batch: pa.RecordBatch, width: int = WIDTH) -> Iterator[list]:
     """Anchor rows of a batch of (doc_id, text)."""
-    ids = batch.column(0).to_numpy()
-    split = [t.split() for t in batch.column(1).cast(pa.binary()).to_pylist()]
-    long = [i for i, w in enumerate(split) if len(w) >= width]
-    ids, split = ids[long], [split[i] for i in long]
-    for i, j in chunks([len(w) for w in split]):
-        sizes = np.array([len(w) for w in split[i:j]], np.int64)
+    ids, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist()
+    for i, j in chunks([len(t) for t in texts], 6 * CHUNK):
+        words, sizes = word_names(texts[i:j])
         begin = np.cumsum(sizes + 1) - sizes
-        names = np.zeros(int(sizes.sum()) + len(sizes) + 1, np.uint64)
+        doc = np.repeat(np.arange(j - i), sizes)
+        place = np.arange(len(words)) + doc + 1
+        names = np.zeros(len(words) + len(sizes) + 1, np.uint64)
         of_doc = np.zeros(len(names), np.int64)
-        valid = np.zeros(len(names), bool)
-        for k, (b, words) in enumerate(zip(begin.tolist(), split[i:j], strict=True)):
-            names[b : b + len(words)] = word_names(words)
-            of_doc[b : b + len(words)] = k
-            valid[b : b + len(words) - width + 1] = True
-        p = np.flatnonzero(valid)
+        names[place], of_doc[place] = words, doc
+        p = place[place - begin[doc] <= sizes[doc] - width]
         anchor, q, todo = np.empty(len(p), np.int64), np.empty(len(p), np.uint64), np.arange(len(p))
         for level, (name, start, lo, hi) in reversed(list(enumerate(levels(names)))):
             a, b = np.searchsorted(lo, p[todo], "left"), np.searchsorted(hi, p[todo] + width, "right") - 1

@@ -80,10 +80,11 @@ def byte_anchors(batch: pa.RecordBatch, width: int = WIDTH) -> Iterator[list]:
         yield anchor_rows(ids[i:j], begin, of_doc, p, anchor, h[anchor], anchor, text_name)
 
 
-def byte_names(text: bytes):
-    """Names of the strings of a text by (places, size), from its 32-byte buckets."""
-    h = gram_buckets(np.frombuffer(text, np.uint8))
-    return lambda p, size: deep_buckets(h, p, size)
+def byte_names(texts: list[bytes]):
+    """First places and sizes of texts, and names of their strings by (places, size), from 32-byte buckets."""
+    size = np.array([len(t) for t in texts], np.int64)
+    h = gram_buckets(np.frombuffer(b"".join(texts), np.uint8))
+    return np.cumsum(size) - size, size, lambda p, size: deep_buckets(h, p, size)
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])

@@ -181,6 +181,18 @@ def test_repeats_on_small_alphabets(spark, seed):
     test_suffix_strings(docs)
 
 
+def test_versions_of_one_document(spark):
+    """Rows that share an id but not a text: nothing breaks, and others are judged as ever."""
+    rng = np.random.default_rng(5)
+    words = [str(w) for w in rng.integers(0, 10**6, 400)]
+    long, short, other = " ".join(words), " ".join(words[:70]), " ".join(["x"] * 3 + words[100:300])
+    docs = spark.createDataFrame([(1, long), (1, short), (1, ""), (2, other), (2, "q"), (0, "z " + " ".join(words[110:200]))], "doc_id long, text string")
+    got = bag(substring_dedup.substring_digest(docs).collect())
+    assert sum(got.values()) == 6
+    assert {(r[0], r[1], r[2]) for r in got} >= {(1, 400, 90), (2, 203, 200), (0, 91, 0), (1, 0, 0), (2, 1, 0)}
+    assert sum(bag(suffix_dedup.suffix_digest(docs).collect()).values()) == 6
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "HTTP://WWW.A.Example.COM/en/1?x#y", "https://example.com/en/77", "x://com/en/", "https://com#/en/", "http://a.net/de/8/q", "http://q.example.net/de/8", "ftp://Éa.org/es/1?/en/", "http://a.org/ES/1", "://only", "a://b://c/d"]
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
