@@ -13,7 +13,7 @@ LOCAL_FALLBACK = "/tmp/checkpoints"
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a local folder where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     return named or f"{LOCAL_FALLBACK}/{spark.sparkContext.applicationId}"
 
 
