@@ -142,8 +142,12 @@ def repeated_spans(
     def settled(every: DataFrame, names: list[str], label: str) -> DataFrame:
         """Steps 1 and 2: rows that are repeats, and rows whose name is open: it has several texts,
         so that their windows may still be repeats, or what others repeat."""
-        table = written(every.join(hashed(shared(every, names, "doc_id").select(*names)), names, "left_semi"), f"shared_{label}")
-        dropped(every)
+        # Written by itself, so that its shuffle is gone when all rows are dealt by name.
+        frequent = written(shared(every, names, "doc_id").select(*names), f"frequent_{label}")
+        release(spark)
+        table = written(every.join(frequent.hint("shuffle_hash"), names, "left_semi"), f"shared_{label}")
+        for t in (every, frequent):
+            dropped(t)
         release(spark)
         texts = table.groupBy(*names, "c").agg(F.min("doc_id").alias("first"))
         known = shared(texts, names, "first").select(*names, F.lit(True).alias("open"))
