@@ -3,8 +3,9 @@
 Native: DataFrame functions only. The tree is built over distinct (host, template) rows, not over
 pages: variable parts of a path become wildcards, the rare children of a node with many children
 become one, siblings with similar shares of blocked labels are pooled, and a template is rejected
-if the smoothed share of blocked labels in its pool is high enough. Labels are the verdicts of the
-rules, unless a table of labels is given.
+if the smoothed share of blocked labels in its pool is high enough. A template without labels is
+judged by its siblings' shares, each one observation. Labels are the verdicts of the rules, unless a
+table of labels is given.
 """
 
 from __future__ import annotations
@@ -91,9 +92,13 @@ def judged_templates(counts: DataFrame, tree: Tree) -> DataFrame:
     leaves = written(leaves.join(apart(pooled), ["host", "shape"], "left"), "url_leaves")
     error = F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("m"))
     near = F.abs(F.col("bad") / F.col("m") - F.col("share")) <= tree.z * error + 0.5 / F.col("m")
-    leaves = leaves.withColumn("pool", F.when((F.col("m") > 0) & near, F.col("shape")).otherwise(F.col("node")))
-    pools = leaves.groupBy("host", "pool").agg(F.sum("bad").alias("b"), F.sum("m").alias("labelled"))
-    purity = (F.col("b") + tree.weight * tree.prior) / (F.col("labelled") + tree.weight)
+    # An unlabelled leaf joins its siblings; there each labelled leaf is one observation, however
+    # many labels it has, since what one branch shows says little of another.
+    leaves = leaves.withColumn("pool", F.when(F.col("share").isNotNull() & ((F.col("m") == 0) | near), F.col("shape")).otherwise(F.col("node")))
+    own = F.when(F.col("m") > 0, F.col("bad") / F.col("m"))
+    pools = leaves.groupBy("host", "pool").agg(F.sum("bad").alias("b"), F.sum("m").alias("labelled"), F.sum(own).alias("shares"), F.count(own).alias("branches"))
+    smooth = lambda b, n: (b + tree.weight * tree.prior) / (n + tree.weight)
+    purity = F.when(F.col("m") > 0, smooth(F.col("b"), F.col("labelled"))).otherwise(smooth(F.coalesce("shares", F.lit(0.0)), F.col("branches")))
     leaves = leaves.join(apart(pools), ["host", "pool"]).select("host", "node", "labelled", purity.alias("purity"))
     return rows.select("host", "parts", "node").join(apart(leaves), ["host", "node"]).select("host", "parts", "node", "purity", "labelled")
 

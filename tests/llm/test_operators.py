@@ -217,6 +217,33 @@ def test_url_templates_reject_by_purity(spark):
     assert got[300].template == "/*/x"
 
 
+def test_url_unlabelled_branches_follow_their_siblings(spark):
+    rows = [(100 * k + i, f"http://s.example/{c}/item/{i}") for k, c in enumerate("abcdefgh") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    for few, verdict in ((3, "allow"), (7, "block")):  # labelled branches, all bad; h has no label
+        labels = spark.createDataFrame([(100 * k + i, True) for k in range(few) for i in range(5)], "page_id long, bad boolean")
+        got = {r.page_id: r for r in url_filter.url_filter(pages, rules=(), labels=labels).collect()}
+        assert got[0].verdict == "block"
+        assert got[700].verdict == verdict
+        assert got[700].purity == (few + 2) / (few + 4)
+
+
+def test_url_rules_as_labels_against_brute_force(spark, tmp_path):
+    """The registered query, on hosts with ruled and unruled pages."""
+    from citeforge.llm.registry import queries
+
+    urls = [f"http://{h}/{s}/{i}" for h in ("a.com", "b.net", "c.example.net", "d.org") for s in ("en", "de", "es", "fr") for i in range(12)]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries()["op5_url_filter"](spark, str(tmp_path)).collect()
+    ruled = {("a.com", "en"): 12, ("d.org", "es"): 12, ("b.net", "de"): 0, ("c.example.net", "de"): 1}  # blocked; /de/8
+    for r in got:
+        branch = (r.host, r.path.split("/")[1])
+        other = next(v for (h, _), v in ruled.items() if h == r.host)
+        purity = (ruled[branch] + 2) / (12 + 4) if branch in ruled else (other / 12 + 2) / (1 + 4)
+        assert abs(r.purity - purity) < 1e-12
+        assert r.verdict == ("block" if branch in ruled and (ruled[branch] == 12 or ruled[branch] == 1 and r.path == "/de/8") else "allow")
+
+
 def test_line_templates(docs):
     rows = {(r.doc_id, r.n_lines): r for r in line_dedup.line_dedup(docs).collect()}
     gone = [r for r in rows.values() if r.n_removed]
