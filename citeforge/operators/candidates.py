@@ -8,17 +8,32 @@ from pyspark.sql import functions as F
 from citeforge.operators.ranking import best
 
 
-def token_candidates(refs: DataFrame, works: DataFrame, ref_id: str, work_id: str, tokens: str, least: int, most_works: int) -> DataFrame:
+def _prefixes(of: DataFrame, key: str, counts: DataFrame, least: int) -> DataFrame:
+    """(key, token): of each row's n known tokens the n - ``least`` + 1 that the fewest works have."""
+    known = of.join(counts, "token").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("_t"))
+    known = known.filter(F.size("_t") >= least)
+    return known.select(key, F.explode(F.slice("_t", F.lit(1), F.size("_t") - least + 1)).alias("_t")).select(key, F.col("_t.token").alias("token"))
+
+
+def token_candidates(refs: DataFrame, works: DataFrame, ref_id: str, work_id: str, tokens: str, least: int, most_works: int | None = None) -> DataFrame:
     """(ref_id, work_id, shared): pairs that share ``least`` tokens or more, each token counted once.
 
-    The equi-join runs on tokens that at most ``most_works`` works have, as a search index would
-    weigh them; a pair must share one of those. The tokens of such a pair are then counted in
-    full, so ``shared`` is exact.
+    Without ``most_works`` every such pair: the equi-join runs on a prefix of each side, its rarest
+    tokens in one order. Two rows that share ``least`` tokens can't both have the first of these
+    after their prefix, so no pair is lost. With ``most_works``, a relevance limit: pairs that share
+    a token which at most so many works have. The tokens of a pair are then counted in full, so
+    ``shared`` is exact.
     """
-    w = works.select(work_id, F.explode(F.array_distinct(tokens)).alias("token"))
-    rare = w.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most_works).select("token")
-    r = refs.select(ref_id, F.explode(F.array_distinct(tokens)).alias("token"))
-    pairs = r.join(w.join(rare, "token", "left_semi"), "token").select(ref_id, work_id).distinct()
+    w = works.select(work_id, F.explode(F.array_distinct(tokens)).alias("token")).filter("token is not null")
+    r = refs.select(ref_id, F.explode(F.array_distinct(tokens)).alias("token")).filter("token is not null")
+    counts = w.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    if most_works is None:
+        least = max(least, 1)
+        pairs = _prefixes(r, ref_id, counts, least).join(_prefixes(w, work_id, counts, least), "token")
+    else:
+        rare = counts.filter(F.col("n") <= most_works).select("token")
+        pairs = r.join(w.join(rare, "token", "left_semi"), "token")
+    pairs = pairs.select(ref_id, work_id).distinct()
     full = pairs.join(refs.select(ref_id, F.col(tokens).alias("_r")), ref_id).join(works.select(work_id, F.col(tokens).alias("_w")), work_id)
     shared = F.size(F.array_intersect("_r", "_w"))
     return full.select(ref_id, work_id, shared.cast("long").alias("shared")).filter(F.col("shared") >= least)

@@ -66,6 +66,17 @@ def test_token_candidates(spark):
     assert len(rows(candidates.token_candidates(refs, works, "r", "w", "t", 2, 5))) == 5
 
 
+def test_token_candidates_lose_no_pair_of_common_tokens(spark):
+    import random
+
+    rng = random.Random(3)
+    sets = [[(i, rng.sample("abcdefghijklmno", rng.randint(0, 9))) for i in range(n)] for n in (40, 120)]
+    refs, works = (spark.createDataFrame(s, f"{k} int, t array<string>") for s, k in zip(sets, "rw", strict=True))
+    want = sorted((i, j, len(set(a) & set(b))) for i, a in sets[0] for j, b in sets[1] if len(set(a) & set(b)) >= 5)
+    assert want and rows(candidates.token_candidates(refs, works, "r", "w", "t", 5, 20)) == []  # all tokens are common
+    assert sorted(rows(candidates.token_candidates(refs, works, "r", "w", "t", 5))) == want
+
+
 def test_alignment_and_collections(spark):
     listed = spark.createDataFrame([("p", 1, "small birds of towers"), ("p", 2, "zzz")], "publication_id string, reference_order int, context string")
     parsed = spark.createDataFrame([("p", 1, "small birds of tower"), ("p", 2, "qq"), ("q", 1, "zzz")], "publication_id string, parsed_index int, raw string")
