@@ -253,6 +253,18 @@ def test_line_templates(docs):
     assert all(r.kept == texts[r.doc_id] for r in rows.values() if not r.n_removed and r.doc_id is not None)
 
 
+def test_line_templates_leave_a_common_opening(spark):
+    word = lambda i, j: hashlib.md5(f"{i} {j}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))[:6]
+    clean = [f"One of the {' '.join(word(i, j) for j in range(5))}" for i in range(60)]
+    rows = [(i, line) for i, line in enumerate(clean)]
+    rows += [(100 + i, f"{word(i, 9)}\nOne of the sites that we run today\nRead more\nPage {i}") for i in range(12)]  # 12 of 72 lines of the leaf
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for shortest, short in ((3, "Read more\n"), (1, "")):
+        got = {r.doc_id: r for r in line_dedup.line_dedup(docs, tree=line_dedup.LogTree(shortest=shortest)).collect()}
+        assert all(got[i].kept == clean[i] for i in range(60))
+        assert all(got[100 + i].kept == f"{word(i, 9)}\n{short}Page {i}" for i in range(12))
+
+
 def expected_spans(t: str) -> list[tuple[int, int, int]]:
     assign = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     found = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[1]) >= 6]
