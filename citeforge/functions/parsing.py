@@ -144,3 +144,9 @@ def parse_query_key(key: Column) -> Column:
     """struct(mode, year, query) of a key mode|year|query."""
     part = lambda i: F.coalesce(F.try_element_at(F.split(key, r"\|", 3), F.lit(i)), F.lit(""))
     return F.struct(part(1).alias("mode"), part(2).alias("year"), part(3).alias("query"))
+
+
+def title_searchable(title: Column, year: Column, n_tokens: Column) -> Column:
+    """Whether a parsed title can be searched for: with a year, four tokens, and at least one query
+    (eight letters)."""
+    return (title != "") & (year != "") & (n_tokens >= 4) & (F.size(title_queries(title, year)) > 0)

@@ -72,21 +72,42 @@ def contained(title_norm: Column, context_norm: Column) -> Column:
     return F.when((title_norm == "") | (context_norm == ""), 0.0).when(context_norm.contains(title_norm), 1.0)
 
 
+def folded_similarity(a: Column, b: Column, known: Column | None = None) -> Column:
+    """Of folded texts: 1 where ``b`` contains ``a``, else the ratio, computed only for other rows."""
+    known = contained(a, b) if known is None else known
+    return F.coalesce(known, ratio(F.when(known.isNull(), a), F.when(known.isNull(), b)))
+
+
+def similarity_bounds(a: Column, b: Column) -> tuple[Column, Column]:
+    """The least and the most that ``folded_similarity`` can be: the ratio is at most twice the shorter
+    length over both lengths."""
+    known, both = contained(a, b), F.length(a) + F.length(b)
+    return F.coalesce(known, F.lit(0.0)), F.coalesce(known, 2.0 * F.least(F.length(a), F.length(b)) / F.greatest(both, F.lit(1)))
+
+
 def title_similarity(title: Column, context: Column, both_ways: bool = False, casefold: bool = False) -> Column:
     """1 for a contained title, else the ratio, computed only for the other rows."""
     norm = normalize_casefold if casefold else normalize_text
     a, b = norm(title), norm(context)
     known = contained(a, b)
-    if both_ways:
-        known = F.coalesce(known, F.when(a.contains(b), 1.0))
-    return F.coalesce(known, ratio(F.when(known.isNull(), a), F.when(known.isNull(), b)))
+    return folded_similarity(a, b, F.coalesce(known, F.when(a.contains(b), 1.0)) if both_ways else known)
 
 
 def text_similarity(left: Column, right: Column) -> Column:
     """The larger of the ratios with and without spaces; 0 if either is empty."""
-    a, b = normalize_joined(left), normalize_joined(right)
+    return joined_similarity(normalize_joined(left), normalize_joined(right))
+
+
+def joined_similarity(a: Column, b: Column) -> Column:
+    """``text_similarity`` of texts that are folded already."""
     bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
-    return F.when((a == "") | (b == ""), 0.0).otherwise(F.greatest(ratio(a, b), ratio(bare(a), bare(b))))
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(_ratio_of(a, b), _ratio_of(bare(a), bare(b))))
+
+
+def _ratio_of(a: Column, b: Column) -> Column:
+    """The ratio where neither is empty and they differ; those rows alone go to Python."""
+    need = (a != "") & (b != "") & (a != b)
+    return F.when(a == b, 1.0).otherwise(ratio(F.when(need, a), F.when(need, b)))
 
 
 def jaccard(left: Column, right: Column) -> Column:
@@ -98,4 +119,5 @@ def name_similarity(left: Column, right: Column) -> Column:
     and 0.35 ratio, four decimals."""
     a, b = normalize_text(left), normalize_text(right)
     words = jaccard(F.split(a, " "), F.split(b, " "))
-    return F.when((a == "") | (b == ""), 0.0).when(b.contains(a) | a.contains(b), 1.0).otherwise(F.round(0.65 * words + 0.35 * ratio(a, b), 4))
+    need = (a != "") & (b != "") & ~b.contains(a) & ~a.contains(b)
+    return F.when((a == "") | (b == ""), 0.0).when(~need, 1.0).otherwise(F.round(0.65 * words + 0.35 * ratio(F.when(need, a), F.when(need, b)), 4))

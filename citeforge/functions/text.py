@@ -190,16 +190,6 @@ def salient_query(text: Column, most: int = 10) -> Column:
     return F.array_join(F.slice(useful, 1, most), " ")
 
 
-def first_tokens(text: Column, most: int = 60) -> Column:
-    return F.array_join(F.slice(F.split(squeeze(text), " "), 1, most), " ")
-
-
-def joined_query(pieces: list[Column], most: int) -> Column:
-    """Non-empty pieces in order, squeezed, cut back to a word."""
-    query = squeeze(F.concat_ws(" ", *(F.nullif(p, F.lit("")) for p in pieces)))
-    return F.when(F.length(query) <= most, query).otherwise(F.trim(F.regexp_extract(F.concat(F.substring(query, 1, most), F.lit("")), "^(.*) |^(.*)$", 1)))
-
-
 def years(text: Column) -> Column:
     """Distinct years 1900-2039 of a text."""
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(fixed.YEAR), F.lit(1)), lambda y: y.cast("int")))

@@ -2,41 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeforge.operators.ranking import best
+from citeforge.functions.text import normalize_text
+from citeforge.operators.ranking import best, top
 
 
-def _prefixes(of: DataFrame, key: str, counts: DataFrame, least: int) -> DataFrame:
-    """(key, token): of each row's n known tokens the n - ``least`` + 1 that the fewest works have."""
-    known = of.join(counts, "token").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("_t"))
-    known = known.filter(F.size("_t") >= least)
-    return known.select(key, F.explode(F.slice("_t", F.lit(1), F.size("_t") - least + 1)).alias("_t")).select(key, F.col("_t.token").alias("token"))
+def _in_order(rows: DataFrame, key: str, tokens: str, counts: DataFrame) -> DataFrame:
+    """(key, known): the distinct tokens of a row that some work has, rarest first, ties by name."""
+    each = rows.select(key, F.explode(F.array_distinct(tokens)).alias("token")).filter("token is not null").join(counts, "token")
+    return each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("_t")).select(key, F.col("_t.token").alias("known"))
 
 
-def token_candidates(refs: DataFrame, works: DataFrame, ref_id: str, work_id: str, tokens: str, least: int, most_works: int | None = None) -> DataFrame:
-    """(ref_id, work_id, shared): pairs that share ``least`` tokens or more, each token counted once.
+def _candidate_sets(refs: DataFrame, works: DataFrame, ref_id: str, work_id: str, tokens: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """(ref_id, known) and (known, work_id, shared): references by their set of known tokens, and for
+    each such set the works that share ``least`` or more of it.
 
-    Without ``most_works`` every such pair: the equi-join runs on a prefix of each side, its rarest
-    tokens in one order. Two rows that share ``least`` tokens can't both have the first of these
-    after their prefix, so no pair is lost. With ``most_works``, a relevance limit: pairs that share
-    a token which at most so many works have. The tokens of a pair are then counted in full, so
-    ``shared`` is exact.
+    References with the same known tokens have the same candidates, so sets are compared, once
+    each. The equi-join runs on a prefix of each side: of n tokens in one order, rarest first, the
+    n - ``least`` + 1 first. Sets that share ``least`` tokens have their first shared one in both
+    prefixes, so no pair is lost, and each is kept only where it meets at that token, so none comes
+    twice and nothing has to be deduplicated.
     """
-    w = works.select(work_id, F.explode(F.array_distinct(tokens)).alias("token")).filter("token is not null")
-    r = refs.select(ref_id, F.explode(F.array_distinct(tokens)).alias("token")).filter("token is not null")
-    counts = w.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    if most_works is None:
-        least = max(least, 1)
-        pairs = _prefixes(r, ref_id, counts, least).join(_prefixes(w, work_id, counts, least), "token")
-    else:
-        rare = counts.filter(F.col("n") <= most_works).select("token")
-        pairs = r.join(w.join(rare, "token", "left_semi"), "token")
-    pairs = pairs.select(ref_id, work_id).distinct()
-    full = pairs.join(refs.select(ref_id, F.col(tokens).alias("_r")), ref_id).join(works.select(work_id, F.col(tokens).alias("_w")), work_id)
-    shared = F.size(F.array_intersect("_r", "_w"))
-    return full.select(ref_id, work_id, shared.cast("long").alias("shared")).filter(F.col("shared") >= least)
+    least = max(least, 1)
+    each = works.select(work_id, F.explode(F.array_distinct(tokens)).alias("token")).filter("token is not null")
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    of_refs = _in_order(refs, ref_id, tokens, counts).filter(F.size("known") >= least)
+    of_works = _in_order(works, work_id, tokens, counts).filter(F.size("known") >= least)
+    prefix = lambda c: F.explode(F.slice(c, F.lit(1), F.size(c) - least + 1)).alias("token")
+    sets = of_refs.select("known").distinct().select("known", prefix(F.col("known")))
+    pairs = sets.join(of_works.select(work_id, F.col("known").alias("_w"), prefix(F.col("known"))), "token")
+    pairs = pairs.withColumn("_both", F.array_intersect("known", "_w")).filter((F.size("_both") >= least) & (F.col("_both")[0] == F.col("token")))
+    return of_refs, pairs.select("known", work_id, F.size("_both").cast("long").alias("shared"))
+
+
+def token_candidates(refs: DataFrame, works: DataFrame, ref_id: str, work_id: str, tokens: str, least: int) -> DataFrame:
+    """(ref_id, work_id, shared): every pair that shares ``least`` tokens or more, each counted once."""
+    of_refs, pairs = _candidate_sets(refs, works, ref_id, work_id, tokens, least)
+    return of_refs.join(pairs, "known").select(ref_id, work_id, "shared")
+
+
+def relevance_search(refs: DataFrame, works: DataFrame, ref_id: str, work_id: str, tokens: str, rows: int, least: int, order: list[Column]) -> DataFrame:
+    """(ref_id, work_id, shared): of each reference's candidates the ``rows`` that share most tokens,
+    ties by ``order`` over columns of ``works``: what a search engine's first page gives. The top of
+    a set of tokens is taken before it goes to the references."""
+    of_refs, pairs = _candidate_sets(refs, works, ref_id, work_id, tokens, least)
+    first = top(pairs.join(works.drop(tokens), work_id), ["known"], [F.desc("shared"), *order], rows)
+    return of_refs.join(first.select("known", work_id, "shared"), "known").select(ref_id, work_id, "shared")
 
 
 def blocked_pairs(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
@@ -44,23 +57,69 @@ def blocked_pairs(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
     return left.join(right, block)
 
 
+def _grams(name: Column, sizes: tuple[int, ...]) -> Column:
+    """All strings of these many letters in a name."""
+    of = lambda k: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: i + k - 1 <= F.length(name)), lambda i: F.substring(name, i, F.lit(k)))
+    return F.array_distinct(F.concat(*(of(k) for k in sizes)))
+
+
+def _holders(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """(n, h): pairs where ``h`` contains ``n``, and some where it doesn't: they meet at the needle's
+    rarest string of three letters, all of which the other must have."""
+    held = hay.select("h", F.explode(_grams(F.col("h"), (1, 2, 3))).alias("g"))
+    size = F.least(F.length("n"), F.lit(3))
+    own = needles.select("n", F.explode(F.filter(_grams(F.col("n"), (1, 2, 3)), lambda g: F.length(g) == size)).alias("g"))
+    counts = held.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    key = own.join(counts, "g").groupBy("n").agg(F.min(F.struct("c", "g")).alias("k")).select("n", F.col("k.g").alias("g"))
+    return key.join(held, "g").select("n", "h")
+
+
+def similar_names(left: DataFrame, right: DataFrame, a: str, b: str, score, threshold: float) -> DataFrame:
+    """(a, b, score): distinct pairs of names whose ``score`` is at ``threshold`` or more.
+
+    ``score``: a function of (a, b) that is 1 where one folded name contains the other, else at most
+    0.65 times the Jaccard index of their words plus 0.35. So over 0.35 the words of a pair must have
+    a Jaccard index of (threshold - 0.35) / 0.65, and pairs meet on one of their rarest words (an
+    exact prefix filter), or else where one contains the other. Empty names are like none.
+    """
+    if threshold <= 0.35:
+        raise ValueError("at 0.35 or less names need no word in common")
+    least = (threshold - 0.35) / 0.65
+    names = [d.select(c).distinct().withColumn(n, normalize_text(F.col(c))).filter(F.col(n) != "") for d, c, n in ((left, a, "_a"), (right, b, "_b"))]
+    folded = [d.select(n).distinct() for d, n in zip(names, ("_a", "_b"), strict=True)]
+    words = [d.select(n, F.array_distinct(F.split(n, " ")).alias("w")) for d, n in zip(folded, ("_a", "_b"), strict=True)]
+    counts = words[0].select(F.explode("w").alias("token")).unionAll(words[1].select(F.explode("w").alias("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rare = [_in_order(d, n, "w", counts).select(n, F.explode(F.slice("known", F.lit(1), F.size("known") - F.ceil(least * F.size("known")).cast("int") + 1)).alias("token")) for d, n in zip(words, ("_a", "_b"), strict=True)]
+    near = rare[0].join(rare[1], "token").select("_a", "_b")
+    inside = _holders(folded[0].select(F.col("_a").alias("n")), folded[1].select(F.col("_b").alias("h"))).select(F.col("n").alias("_a"), F.col("h").alias("_b"))
+    around = _holders(folded[1].select(F.col("_b").alias("n")), folded[0].select(F.col("_a").alias("h"))).select(F.col("h").alias("_a"), F.col("n").alias("_b"))
+    pairs = near.unionByName(inside).unionByName(around).distinct()
+    return pairs.join(names[0], "_a").join(names[1], "_b").select(a, b, score(F.col(a), F.col(b)).alias("score")).filter(F.col("score") >= threshold)
+
+
 def best_collection(journals: DataFrame, collections: DataFrame, score, threshold: float) -> DataFrame:
     """For each collection: its best journal, score, and the number of references for which it is
     the best collection at ``threshold`` or more.
 
-    ``journals``: journal, n (references); ``collections``: set_name, set_spec, a list of a few
-    thousand names, which is checked before it is broadcast to a nested loop; ``score``: a function
-    of (journal, set_name). Journals are compared once each, not once for each reference. The count
-    covers all references: it doesn't start afresh when a better journal turns up.
+    ``journals``: journal, n (references); ``collections``: set_name, set_spec. Journals are compared
+    once each, not once for each reference. The count covers all references: it doesn't start afresh
+    when a better journal turns up.
     """
-    if collections.limit(100_001).count() > 100_000:
-        raise ValueError("over 100,000 collections: block them first")
-    pairs = journals.join(F.broadcast(collections), F.lit(True)).withColumn("score", score(F.col("journal"), F.col("set_name"))).filter(F.col("score") >= threshold)
+    pairs = similar_names(journals, collections, "journal", "set_name", score, threshold).join(collections, "set_name").join(journals, "journal")
     own = best(pairs, ["journal"], [-F.col("score"), F.col("set_spec")])
     totals = own.groupBy("set_spec").agg(F.sum("n").alias("target_count"))
     return best(own, ["set_spec"], [-F.col("score"), F.col("journal")]).drop("n").join(totals, "set_spec")
 
 
+def records_of_collections(refs: DataFrame, records: DataFrame, ref_id: str, record_id: str, journal: str, set_name: str, tokens: str, score, threshold: float, least: int = 1) -> DataFrame:
+    """(ref_id, record_id, shared): records that share title tokens with a reference and whose
+    collection is named like its journal (``score`` at ``threshold``); where the reference has no
+    journal, those of every collection. Names are compared once for each distinct pair of them."""
+    like = similar_names(refs.filter(F.col(journal) != ""), records, journal, set_name, score, threshold).select(journal, set_name, F.lit(True).alias("_like"))
+    pairs = token_candidates(refs, records, ref_id, record_id, tokens, least).join(refs.select(ref_id, F.coalesce(journal, F.lit("")).alias(journal)), ref_id).join(records.select(record_id, set_name), record_id)
+    return pairs.join(like, [journal, set_name], "left").filter((F.col(journal) == "") | F.col("_like")).select(ref_id, record_id, "shared")
+
+
 def aligned(listed: DataFrame, parsed: DataFrame, similarity, threshold: float, decided: DataFrame | None = None) -> DataFrame:
     """One row per listed reference: the parsed one that a decision names, else the most similar
     raw text of the same publication at ``threshold`` or more.

@@ -8,18 +8,14 @@ from pyspark.sql import functions as F
 from citeforge.operators.ranking import best
 
 
-def keyed_lookup(rows: DataFrame, lookup: DataFrame, key: str, missing: str = "not_checked") -> DataFrame:
-    """Rows with the lookup's columns; ``status`` is ``missing`` where the key isn't there."""
-    return rows.join(lookup, key, "left").withColumn("status", F.coalesce("status", F.lit(missing)))
-
-
-def first_success(rows: DataFrame, id_col: str, keys: str, lookup: DataFrame, ranks: dict[str, int]) -> DataFrame:
+def first_success(rows: DataFrame, id_col: str, keys: str, lookup: DataFrame, ranks: dict[str, int], carry: list[str] | None = None, keep_empty: bool = False) -> DataFrame:
     """One row per id with candidates: the first candidate with the best-ranked status.
 
     ``keys``: array column, in order of preference; ``lookup``: key, status and more. Statuses that
-    ``ranks`` doesn't name, and missing keys, rank last; then the first candidate wins.
+    ``ranks`` doesn't name, and missing keys, rank last; then the first candidate wins. ``carry``: more
+    columns of ``rows`` to keep; ``keep_empty``: ids without candidates too, with nulls.
     """
-    each = rows.select(id_col, F.posexplode(keys).alias("pos", "key")).join(lookup, "key", "left")
+    each = rows.select(id_col, *(carry or []), (F.posexplode_outer if keep_empty else F.posexplode)(keys).alias("pos", "key")).join(lookup, "key", "left")
     order = F.coalesce(*(F.when(F.col("status") == s, F.lit(r)) for s, r in ranks.items()), F.lit(len(ranks) + 1))
     return best(each.withColumn("_rank", order), [id_col], [F.col("_rank"), F.col("pos")]).drop("_rank")
 

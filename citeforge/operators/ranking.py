@@ -32,8 +32,12 @@ def nonzero_best(rows: DataFrame, keys: list[str], score: Column, order: list[Co
 def numbered(rows: DataFrame, order: list[str], name: str = "number", start: int = 1) -> DataFrame:
     """Consecutive numbers over the whole table in the given order, without a single task.
 
-    Rows are range-sorted and kept; only the parts' sizes reach the driver.
+    Rows are range-sorted; only the parts' sizes reach the driver. All columns close the order, so a part
+    that has to be computed again has its rows in the same places. Rows that are equal throughout are
+    alike. The sorted rows are kept until ``rows.sparkSession.catalog.clearCache()`` or, without memory
+    or disk for them, sorted anew.
     """
+    order = [*order, *(c for c in rows.columns if c not in order)]
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
     parts = parts.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)).persist(StorageLevel.MEMORY_AND_DISK)
     before, offsets = start, []
@@ -80,7 +84,3 @@ def sample(rows: DataFrame, key: str, n: int, mode: str = "random", seed: int =
         raise ValueError(f"sample size {n} exceeds the {have} rows there are")
     order = [F.col(key)] if mode == "first" else [sample_hash(F.col(key), seed), F.col(key)]
     return rows.orderBy(*order).limit(n)
-
-
-def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    return rows.orderBy(sample_hash(F.col(key), seed), key)

@@ -87,3 +87,64 @@ def grouped_counts(rows: DataFrame, *keys: str, unknown: str = "unknown") -> Dat
 def last_filled(rows: DataFrame, value: str, order: str, by: list[str]) -> DataFrame:
     """The last value that isn't null, in the given order."""
     return rows.groupBy(*by).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias(value))
+
+
+#: Statuses of a looked-up target that count as resolved.
+ACCEPTED = ("strong_doi_crossref", "strong_doi_not_crossref_verified", "strong_trdizin_id")
+
+
+def _is(*statuses: str) -> Column:
+    return count_where(F.col("status").isin(*statuses))
+
+
+def fallback_summary(rows: DataFrame, base: int, sampled: int, with_doi: int) -> DataFrame:
+    """Of columns status, scope: for each scope the outcomes, and what is found with the ``base`` found
+    before, strictly and with possible matches, of all ``sampled`` and of those ``with_doi``. The last
+    rates are null for the scope ``no_doi``."""
+    one = rows.groupBy("scope").agg(
+        F.count(F.lit(1)).alias("target"), _is("strong").alias("strong"), _is("possible").alias("possible"), _is("no_match").alias("no_match"), _is("search_error").alias("search_error")
+    )
+    strict, broad = F.lit(base) + F.col("strong"), F.lit(base) + F.col("strong") + F.col("possible")
+    applies = F.col("scope") != "no_doi"
+    return one.withColumns({
+        "strict_found": strict, "broad_found": broad, "strict_rate": percent(strict, F.lit(sampled)), "broad_rate": percent(broad, F.lit(sampled)),
+        "strict_rate_doi": F.when(applies, percent(strict, F.lit(with_doi))), "broad_rate_doi": F.when(applies, percent(broad, F.lit(with_doi))), "doi_rate_applies": applies,
+        "recovery_strong": percent(F.col("strong"), F.col("target")), "recovery_broad": percent(F.col("strong") + F.col("possible"), F.col("target")),
+    })
+
+
+def form_summary(rows: DataFrame) -> DataFrame:
+    """Of columns doi, found: how many answers there are among references with a DOI and without."""
+    has, found = F.coalesce("doi", F.lit("")) != "", F.col("found")
+    one = rows.agg(
+        F.count(F.lit(1)).alias("sampled"), count_where(found).alias("found"), count_where(has).alias("with_doi"), count_where(has & found).alias("found_with_doi"), count_where(~has & found).alias("found_without_doi")
+    )
+    without = F.col("sampled") - F.col("with_doi")
+    return one.withColumns({"without_doi": without, "found_rate": percent(F.col("found"), F.col("sampled")), "found_rate_without_doi": percent(F.col("found_without_doi"), without)})
+
+
+def repository_summary(rows: DataFrame, base: int, sampled: int) -> DataFrame:
+    """Of columns query_mode, status: targets by mode, outcomes, cumulative totals and rates."""
+    mode = lambda *m: count_where(F.col("query_mode").isin(*m))
+    one = rows.agg(
+        F.count(F.lit(1)).alias("target"), mode("get_record", "list_records").alias("queryable"), *(mode(m).alias(m) for m in ("get_record", "list_records", "file_url_only", "no_oai_filter")),
+        *(_is(s).alias(s) for s in ("strong", "possible", "no_match", "search_error")),
+    )
+    strict, broad = F.lit(base) + F.col("strong"), F.lit(base) + F.col("strong") + F.col("possible")
+    return one.withColumns({"strict_found": strict, "broad_found": broad, "strict_rate": percent(strict, F.lit(sampled)), "broad_rate": percent(broad, F.lit(sampled)), "complete": F.col("search_error") == 0})
+
+
+def target_summary(rows: DataFrame, base: int, sampled: int) -> DataFrame:
+    """Of columns status, doi of looked-up targets: resolved ones by kind, failures, and totals."""
+    one = rows.agg(
+        F.count(F.lit(1)).alias("target"), _is(*ACCEPTED).alias("strong"), _is(ACCEPTED[0]).alias("doi_verified"), _is(ACCEPTED[1]).alias("doi_unverified"), _is(ACCEPTED[2]).alias("id_only"),
+        _is("error", "rate_limited").alias("errors"), _is("not_found").alias("not_found"), count_where(F.coalesce("doi", F.lit("")) != "").alias("with_doi"),
+    )
+    found = F.lit(base) + F.col("strong")
+    return one.withColumns({"found": found, "found_rate": percent(found, F.lit(sampled)), "new_rate": percent(F.col("strong"), F.lit(sampled))})
+
+
+def stage_summary(rows: DataFrame, sampled: int) -> DataFrame:
+    """Of columns resolver, status: a row for each stage."""
+    one = rows.groupBy("resolver").agg(F.count(F.lit(1)).alias("target"), _is("strong").alias("strong"), _is("possible").alias("possible"), count_where(~F.col("status").isin("strong", "possible")).alias("unmatched"))
+    return one.withColumns({"strong_rate": percent(F.col("strong"), F.col("target")), "new_rate": percent(F.col("strong"), F.lit(sampled))})

@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeforge.functions import classify, fixed, identifiers, parsing, scoring, similarity, text
 from citeforge.operators import candidates, lookup, ranking, resolution, store, summary
 from citeforge.plans import oracle as o
+from citeforge.plans.registry import ORACLE, QUERIES, query
 from citeforge.plans.views import refs, table, works
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 def listed(array: Column) -> Column:
     return F.array_join(array, ";")
 
@@ -207,102 +192,173 @@ def parse_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- similarity, scoring, candidates ---------------------------------------------------------------
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References with works that share five title tokens or more, one of them rare."""
-    r = refs(spark, sf_dir).select("sample_index", "context", "publication_id", text.normalize_text(F.col("context")).alias("r_norm"))
-    w = works(spark, sf_dir).withColumn("w_norm", text.normalize_text(F.col("title")))
-    # Folded and split once for each reference and work, not for each pair.
-    r, w = r.withColumn("tokens", text.tokens(F.col("r_norm"))), w.withColumn("tokens", text.tokens(F.col("w_norm")))
-    shared = candidates.token_candidates(r, w, "sample_index", "work_id", "tokens", 5, 20)
-    return shared.join(r.withColumnRenamed("tokens", "r_tokens"), "sample_index").join(w.withColumnRenamed("tokens", "w_tokens"), "work_id")
+#: A search gives the five best works, as the services' first page does.
+SEARCH_ROWS = 5
+LEAST_SHARED = 5
+
+
+def _token_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    r = refs(spark, sf_dir).select("sample_index", text.tokens(text.normalize_text(F.col("context"))).alias("tokens"))
+    w = works(spark, sf_dir).select("work_id", "engine_score", text.tokens(text.normalize_text(F.col("title"))).alias("tokens"))
+    return r, w
 
 
 _R_TOKENS = o.tokens(o.fold("context"))
 _W_TOKENS = o.tokens(o.fold("title"))
 _PAIRS = f"""{o.WITH_BOTH}, rt AS (SELECT sample_index, context, {_R_TOKENS} AS t FROM refs), wt AS (SELECT *, {_W_TOKENS} AS t FROM works),
-  we AS (SELECT work_id, unnest(list_distinct(t)) AS token FROM wt), rare AS (SELECT token FROM we GROUP BY token HAVING count(*) <= 20),
-  re AS (SELECT sample_index, unnest(list_distinct(t)) AS token FROM rt),
-  hit AS (SELECT DISTINCT re.sample_index, we.work_id FROM re JOIN rare USING (token) JOIN we USING (token)),
-  pairs AS (SELECT h.sample_index, h.work_id, len(list_intersect(rt.t, wt.t)) AS shared, rt.context, rt.t AS rtok, wt.t AS wtok, wt.title, wt.surname, wt.year, wt.doi, wt.engine_score
-            FROM hit h JOIN rt USING (sample_index) JOIN wt USING (work_id) WHERE len(list_intersect(rt.t, wt.t)) >= 5)"""
+  we AS (SELECT work_id, unnest(list_distinct(t)) AS token FROM wt), re AS (SELECT sample_index, unnest(list_distinct(t)) AS token FROM rt),
+  pairs AS (SELECT sample_index, work_id, count(*) AS shared FROM re JOIN we USING (token) GROUP BY sample_index, work_id HAVING count(*) >= {LEAST_SHARED})"""
+_FOUND = f"""{_PAIRS}, found AS (SELECT p.sample_index, p.work_id, p.shared, rt.context, rt.t AS rtok, wt.t AS wtok, wt.title, wt.surname, wt.year, wt.doi, wt.engine_score
+    FROM pairs p JOIN rt USING (sample_index) JOIN wt USING (work_id)
+    QUALIFY row_number() OVER (PARTITION BY p.sample_index ORDER BY shared DESC, wt.engine_score DESC, p.work_id) <= {SEARCH_ROWS})"""
 
 
 @query(f"{_PAIRS} SELECT sample_index, work_id, shared FROM pairs")
 def token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate works by shared tokens, without a cross join."""
-    return _pairs(spark, sf_dir).select("sample_index", "work_id", "shared")
+    """Every work that shares five title tokens with a reference, without a cross join."""
+    r, w = _token_sides(spark, sf_dir)
+    return candidates.token_candidates(r, w, "sample_index", "work_id", "tokens", LEAST_SHARED)
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of the score; similarity is 1 for a contained title, else 0, so that SQL has it too."""
-    return _pairs(spark, sf_dir).withColumns({
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, w = _token_sides(spark, sf_dir)
+    return candidates.relevance_search(r, w, "sample_index", "work_id", "tokens", SEARCH_ROWS, LEAST_SHARED, [F.desc("engine_score"), F.col("work_id")])
+
+
+@query(f"{_FOUND} SELECT sample_index, work_id, shared FROM found")
+def relevance_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search gives for each reference: the five works that share most tokens."""
+    return _found(spark, sf_dir)
+
+
+def _pairs(spark: SparkSession, sf_dir: str, parts: dict[str, Column] | None = None) -> DataFrame:
+    """References with the works that a search gives for them. ``parts``: more columns of a reference,
+    made once for each before the join."""
+    r = refs(spark, sf_dir).select("sample_index", "context", "publication_id", *(c.alias(n) for n, c in (parts or {}).items()))
+    found = _found(spark, sf_dir).join(r, "sample_index").join(works(spark, sf_dir).withColumn("w_norm", text.normalize_text(F.col("title"))), "work_id")
+    # A ratio takes far longer than its row is long: as many parts as cores, not as few as the bytes would need.
+    return found.repartition(spark.sparkContext.defaultParallelism, "sample_index", "work_id")
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a score is made of, but for the similarity."""
+    c = F.col("context")
+    p = _pairs(spark, sf_dir, {"r_norm": text.normalize_text(c), "years": text.years(c)})
+    p = p.withColumns({"r_tokens": text.tokens(F.col("r_norm")), "w_tokens": text.tokens(F.col("w_norm"))})
+    return p.withColumns({
         "cov": similarity.coverage(F.col("w_tokens"), F.col("r_tokens")),
-        "sim": F.coalesce(similarity.contained(F.col("w_norm"), F.col("r_norm")), F.lit(0.0)),
         "authors": similarity.author_share(F.array("surname"), F.col("r_tokens")),
-        "year_match": F.array_contains(text.years(F.col("context")), F.col("year").cast("int")),
+        "year_match": F.array_contains("years", F.col("year").cast("int")),
         "n": F.size("w_tokens"),
     })
 
 
-_SCORED = f"""{_PAIRS}, parts AS (SELECT *, CAST(len(list_filter(wtok, lambda x: list_contains(rtok, x))) AS DOUBLE) / len(wtok) AS cov,
-  CASE WHEN contains({o.fold("context")}, {o.fold("title")}) THEN 1.0 ELSE 0.0 END AS sim, CASE WHEN list_contains(rtok, surname) THEN 1.0 ELSE 0.0 END AS authors,
-  list_contains({o.every("context", fixed.YEAR)}, CAST(year AS VARCHAR)) AS ym, len(wtok) AS n FROM pairs),
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(spark, sf_dir).withColumn("sim", similarity.folded_similarity(F.col("w_norm"), F.col("r_norm")))
+
+
+def _score_parts() -> list[Column]:
+    return [F.col(c) for c in ("cov", "sim", "authors", "year_match", "n")]
+
+
+
+# SQL has no matching-blocks ratio. A status depends on it only from 0.98 on, and it is at most
+# 2 * the shorter length / both lengths: where that is below 0.98, SQL has the status exactly.
+_STATUS = f"""{_FOUND}, parts AS (SELECT *, CAST(len(list_filter(wtok, lambda x: list_contains(rtok, x))) AS DOUBLE) / len(wtok) AS cov,
+  CASE WHEN contains({o.fold("context")}, {o.fold("title")}) THEN 1.0 WHEN 2.0 * least(length({o.fold("context")}), length({o.fold("title")})) / (length({o.fold("context")}) + length({o.fold("title")})) < 0.98 THEN 0.0 ELSE error('needs the ratio') END AS sim,
+  CASE WHEN list_contains(rtok, surname) THEN 1.0 ELSE 0.0 END AS authors, list_contains({o.every("context", fixed.YEAR)}, CAST(year AS VARCHAR)) AS ym, len(wtok) AS n FROM found),
   scored AS (SELECT *, CASE WHEN (sim >= 0.98 AND (ym OR authors >= 0.34)) OR (n >= 6 AND cov >= 0.88 AND (ym OR authors >= 0.34)) OR (n >= 8 AND cov >= 0.78 AND authors >= 0.34 AND ym) THEN 'strong'
-  WHEN (n >= 6 AND cov >= 0.68 AND (ym OR authors >= 0.34)) OR (n >= 8 AND cov >= 0.58 AND authors >= 0.34) THEN 'possible' ELSE 'no_match' END AS status,
-  round(cov * 0.55 + sim * 0.20 + least(authors, 1.0) * 0.15 + (CASE WHEN ym THEN 1.0 ELSE 0.0 END) * 0.10, 4) AS confidence FROM parts),
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_index ORDER BY CASE status WHEN 'strong' THEN 2 WHEN 'possible' THEN 1 ELSE 0 END DESC, confidence DESC, engine_score DESC, work_id) AS rn FROM scored)"""
+  WHEN (n >= 6 AND cov >= 0.68 AND (ym OR authors >= 0.34)) OR (n >= 8 AND cov >= 0.58 AND authors >= 0.34) THEN 'possible' ELSE 'no_match' END AS status FROM parts),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_index ORDER BY CASE status WHEN 'strong' THEN 2 WHEN 'possible' THEN 1 ELSE 0 END DESC) AS rn FROM scored)"""
 
 
 def _best_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _scored(spark, sf_dir)
-    s = s.drop("status").select("*", F.inline(F.array(scoring.bibliographic_score(F.col("cov"), F.col("sim"), F.col("authors"), F.col("year_match"), F.col("n")))))
+    """The best work of each reference. The ratio is computed only for works that may be the best:
+    with the most their similarity could be, they reach the best work's score with the least of its."""
+    p = _parts(spark, sf_dir)
+    low, high = similarity.similarity_bounds(F.col("w_norm"), F.col("r_norm"))
+    score = lambda sim: scoring.bibliographic_score(F.col("cov"), sim, F.col("authors"), F.col("year_match"), F.col("n"))
+    ranked = lambda s: F.struct(scoring.rank(s["status"]).alias("rank"), s["confidence"].alias("confidence"))
+    p = p.withColumns({"_low": ranked(score(low)), "_high": ranked(score(high))})
+    p = p.withColumn("_floor", F.max("_low").over(Window.partitionBy("sample_index"))).filter(F.col("_high") >= F.col("_floor")).drop("_low", "_high", "_floor")
+    s = p.withColumn("sim", similarity.folded_similarity(F.col("w_norm"), F.col("r_norm")))
+    s = s.drop("status").select("*", F.inline(F.array(scoring.bibliographic_score(*_score_parts()))))
     keep = s.select("sample_index", "work_id", "doi", "status", "confidence", F.round("cov", 4).alias("title_coverage"), "engine_score")
     return ranking.best(keep, ["sample_index"], [-scoring.rank(F.col("status")), -F.col("confidence"), -F.col("engine_score"), F.col("work_id")]).drop("engine_score")
 
 
-@query(f"{_SCORED} SELECT sample_index, work_id, doi, status, confidence, round(cov, 4) AS title_coverage FROM ranked WHERE rn = 1")
+@query()
 def bibliographic_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best work for each reference, by status, confidence, engine score."""
+    """The best work for each reference, by status, confidence, engine score.
+    No SQL, for the ratio; ``tests`` hold it against plain Python, ``bibliographic_status`` its statuses."""
     return _best_works(spark, sf_dir)
 
 
-@query(f"{_SCORED} SELECT status, count(*) AS n, sum(CASE WHEN ym THEN 1 ELSE 0 END)::BIGINT AS with_year FROM ranked WHERE rn <= 3 GROUP BY status")
+@query(f"""{_STATUS}, by_status AS (SELECT sample_index, status, round(max(cov), 4) AS title_coverage FROM scored GROUP BY sample_index, status)
+  SELECT * FROM by_status QUALIFY row_number() OVER (PARTITION BY sample_index ORDER BY CASE status WHEN 'strong' THEN 2 WHEN 'possible' THEN 1 ELSE 0 END DESC) = 1""")
+def bibliographic_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reference's best status over its candidates, and the largest coverage at it."""
+    s = _scored(spark, sf_dir).drop("status").select("sample_index", "cov", scoring.bibliographic_score(*_score_parts())["status"].alias("status"))
+    by = s.groupBy("sample_index", "status").agg(F.round(F.max("cov"), 4).alias("title_coverage"))
+    return ranking.best(by, ["sample_index"], [-scoring.rank(F.col("status"))])
+
+
+@query(f"{_STATUS} SELECT status, count(*) AS n FROM ranked WHERE rn <= 3 GROUP BY status")
 def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best candidates of each reference, counted by status."""
-    s = _scored(spark, sf_dir).drop("status").select("*", F.inline(F.array(scoring.bibliographic_score(F.col("cov"), F.col("sim"), F.col("authors"), F.col("year_match"), F.col("n")))))
-    kept = ranking.top(s.select("sample_index", "work_id", "status", "confidence", "engine_score", "year_match"), ["sample_index"], [scoring.rank(F.col("status")).desc(), F.desc("confidence"), F.desc("engine_score"), F.col("work_id")], 3)
-    return kept.groupBy("status").agg(F.count(F.lit(1)).alias("n"), summary.count_where(F.col("year_match")).alias("with_year"))
-
-
-@query(f"""{_PAIRS}, parts AS (SELECT *, CAST(len(list_filter(wtok, lambda x: list_contains(rtok, x))) AS DOUBLE) / len(wtok) AS cov,
-  CASE WHEN contains({o.fold("context")}, {o.fold("title")}) THEN 1.0 ELSE 0.0 END AS sim, CASE WHEN list_contains(rtok, surname) THEN 1.0 ELSE 0.0 END AS authors,
-  list_contains({o.every("context", fixed.YEAR)}, CAST(year AS VARCHAR)) AS ym, len(wtok) AS n, sample_index % 10 = work_id % 10 AS exact FROM pairs),
-  kept AS (SELECT *, bool_or(exact) OVER (PARTITION BY sample_index) AS any_exact FROM parts),
-  s AS (SELECT *, CASE WHEN (n >= 5 AND cov >= 0.88 AND (ym OR authors >= 0.34)) OR (n >= 6 AND cov >= 0.78 AND authors >= 0.34 AND ym) THEN 'strong' WHEN n >= 6 AND cov >= 0.70 AND authors >= 0.34 THEN 'possible' ELSE 'no_match' END AS st,
-  round(cov * 0.56 + sim * 0.22 + authors * 0.14 + (CASE WHEN ym THEN 1.0 ELSE 0.0 END) * 0.08, 4) AS conf FROM kept WHERE exact OR NOT any_exact)
-  SELECT sample_index, work_id, CASE WHEN exact AND st = 'no_match' THEN 'strong' ELSE st END AS status, CASE WHEN exact AND st = 'no_match' THEN greatest(conf, 0.95) ELSE conf END AS confidence
-  FROM s QUALIFY row_number() OVER (PARTITION BY sample_index ORDER BY CASE st WHEN 'strong' THEN 2 WHEN 'possible' THEN 1 ELSE 0 END DESC, conf DESC, work_id) = 1""")
+    """The three best candidates of each reference, counted by status."""
+    s = _scored(spark, sf_dir).drop("status").select("*", F.inline(F.array(scoring.bibliographic_score(*_score_parts()))))
+    kept = ranking.top(s.select("sample_index", "work_id", "status", "confidence", "engine_score"), ["sample_index"], [scoring.rank(F.col("status")).desc(), F.desc("confidence"), F.desc("engine_score"), F.col("work_id")], 3)
+    return kept.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+_GUARD = "status IN ('strong', 'possible') AND n >= 6"
+
+
+@query(f"""{_STATUS} SELECT sample_index, work_id, {_GUARD} AND cov >= 0.88 AND ym AND authors >= 0.34 AS safe_cleanup, {_GUARD} AND cov >= 0.9 AND ym AND (authors >= 0.34 OR sim >= 0.97) AS safe_parsed,
+  CASE WHEN {_GUARD} AND cov >= 0.9 AND ym AND (authors >= 0.34 OR sim >= 0.97) THEN 'strong' ELSE status END AS status FROM scored""")
+def safe_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guards for uncertain queries; a match that passes the parsed one is strong."""
+    s = _scored(spark, sf_dir).drop("status").select("*", F.inline(F.array(scoring.bibliographic_score(*_score_parts()))))
+    own = (F.col("status"), F.col("n"), F.col("cov"), F.col("year_match"), F.col("authors"))
+    safe = scoring.safe_parsed(*own, F.col("sim"))
+    return s.select("sample_index", "work_id", scoring.safe_cleanup(*own).alias("safe_cleanup"), safe.alias("safe_parsed"), F.when(safe, "strong").otherwise(F.col("status")).alias("status"))
+
+
+@query()
 def harvested_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records with the very id preferred, scored, the best kept."""
-    s = lookup.prefer_exact(_scored(spark, sf_dir), "sample_index", F.col("sample_index") % 10 == F.col("work_id") % 10)
-    s = s.drop("status").select("sample_index", "work_id", F.inline(F.array(scoring.harvested_score(F.col("cov"), F.col("sim"), F.col("authors"), F.col("year_match"), F.col("n")))))
+    """Records with the very id preferred, scored, the best kept. No SQL, for the ratio."""
+    exact = F.col("sample_index") % 10 == F.col("work_id") % 10
+    s = lookup.prefer_exact(_scored(spark, sf_dir), "sample_index", exact)
+    s = s.drop("status").select("sample_index", "work_id", F.inline(F.array(scoring.harvested_score(*_score_parts()))))
     b = ranking.best(s, ["sample_index"], [-scoring.rank(F.col("status")), -F.col("confidence"), F.col("work_id")])
-    lifted = scoring.exact_record_status(F.col("status"), F.col("confidence"), F.col("sample_index") % 10 == F.col("work_id") % 10)
+    lifted = scoring.exact_record_status(F.col("status"), F.col("confidence"), exact)
     return b.select("sample_index", "work_id", F.inline(F.array(lifted)))
 
 
+@query(f"""{_STATUS}, k AS (SELECT *, sample_index % 10 = work_id % 10 AS exact FROM parts), h AS (SELECT *, bool_or(exact) OVER (PARTITION BY sample_index) AS any_exact FROM k),
+  s AS (SELECT sample_index, exact, CASE WHEN (n >= 5 AND cov >= 0.88 AND (ym OR authors >= 0.34)) OR (n >= 6 AND cov >= 0.78 AND authors >= 0.34 AND ym) THEN 'strong' WHEN n >= 6 AND cov >= 0.70 AND authors >= 0.34 THEN 'possible' ELSE 'no_match' END AS st FROM h WHERE exact OR NOT any_exact)
+  SELECT sample_index, CASE WHEN exact AND st = 'no_match' THEN 'strong' ELSE st END AS status FROM s QUALIFY row_number() OVER (PARTITION BY sample_index ORDER BY CASE st WHEN 'strong' THEN 2 WHEN 'possible' THEN 1 ELSE 0 END DESC) = 1""")
+def harvested_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statuses of ``harvested_best``."""
+    return harvested_best(spark, sf_dir).select("sample_index", "status")
+
+
 @query()
 def index_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title search with ratios, self matches excluded."""
-    p = _pairs(spark, sf_dir).withColumn("parsed", parsing.parse_reference(F.col("context")))
-    title, found = F.col("parsed.title"), F.col("title")
-    n = F.size(text.tokens(text.normalize_joined(title), fixed.STOP_INDEX))
-    p = p.filter((title != "") & (F.col("parsed.year") != "") & (n >= 4)).withColumns({
-        "sim": similarity.text_similarity(title, found),
-        "cov": F.greatest(similarity.fuzzy_coverage(found, title), similarity.fuzzy_coverage(title, found), similarity.fuzzy_coverage(found, F.col("context"))),
-        "year_match": (F.col("parsed.year") == F.col("year").cast("string")) | F.array_contains(text.years(F.col("context")), F.col("year").cast("int")),
-        "jsim": similarity.text_similarity(F.col("parsed.journal"), F.col("journal")),
-        "authors": similarity.author_coverage(F.array("surname"), F.col("context")), "n": n,
+    """Title search with ratios, self matches excluded. No SQL, for the ratio."""
+    # Generators, so that no expression is copied into what comes after.
+    p = _pairs(spark, sf_dir, {"parsed": F.explode(F.array(parsing.parse_reference(F.col("context"))))})
+    joined = text.normalize_joined
+    folded = F.struct(joined(F.col("parsed.title")).alias("p_title"), joined(F.col("title")).alias("f_title"), joined(F.col("parsed.journal")).alias("p_journal"), joined(F.col("journal")).alias("f_journal"))
+    p = p.select("*", F.inline(F.array(folded)))
+    title, found, context = F.col("parsed.title"), F.col("title"), F.col("context")
+    n = F.size(text.tokens(F.col("p_title"), fixed.STOP_INDEX))
+    p = p.filter(parsing.title_searchable(title, F.col("parsed.year"), n)).withColumns({
+        "sim": similarity.joined_similarity(F.col("p_title"), F.col("f_title")),
+        "cov": F.greatest(similarity.fuzzy_coverage(found, title), similarity.fuzzy_coverage(title, found), similarity.fuzzy_coverage(found, context)),
+        "year_match": (F.col("parsed.year") == F.col("year").cast("string")) | F.array_contains(text.years(context), F.col("year").cast("int")),
+        "jsim": similarity.joined_similarity(F.col("p_journal"), F.col("f_journal")),
+        "authors": similarity.author_coverage(F.array("surname"), context), "n": n,
     })
     own = F.col("publication_id") == F.col("work_id")
     s = p.select("sample_index", "work_id", "sim", "cov", F.inline(F.array(scoring.index_score(F.col("sim"), F.col("cov"), F.col("year_match"), F.col("jsim"), F.col("authors"), F.col("n"), own))))
@@ -312,14 +368,16 @@ def index_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def title_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containment, else the matching-blocks ratio; pair support."""
+    """Containment, else the matching-blocks ratio; pair support. No SQL, for the ratio."""
     p = _pairs(spark, sf_dir)
     title, context = F.col("title"), F.col("context")
     sim = similarity.title_similarity(title, context)
     both = similarity.title_similarity(title, context, both_ways=True, casefold=True)
-    t = lambda c: text.tokens(text.normalize_casefold(c), fixed.STOP_REPARSE)
-    cov = F.greatest(similarity.coverage(t(title), t(context)), similarity.coverage(t(context), t(title)))
-    return p.select("sample_index", "work_id", F.round(sim, 4).alias("similarity"), F.round(both, 4).alias("pair_similarity"), F.round(cov, 4).alias("pair_coverage")).withColumn("supported", scoring.pair_supported(F.lit(4), F.col("pair_similarity"), F.col("pair_coverage")))
+    p = p.withColumns({"_t": text.tokens(text.normalize_casefold(title), fixed.STOP_REPARSE), "_c": text.tokens(text.normalize_casefold(context), fixed.STOP_REPARSE)})
+    cov = F.greatest(similarity.coverage(F.col("_t"), F.col("_c")), similarity.coverage(F.col("_c"), F.col("_t")))
+    least = F.least(F.size("_t"), F.size("_c")).alias("n")
+    s = p.select("sample_index", "work_id", F.round(sim, 4).alias("similarity"), F.round(both, 4).alias("pair_similarity"), F.round(cov, 4).alias("pair_coverage"), least)
+    return s.withColumn("supported", scoring.pair_supported(F.col("n"), F.col("pair_similarity"), F.col("pair_coverage"))).drop("n")
 
 
 # Every journal here is contained in a collection's name, or contains one, so the best score is 1.
@@ -328,12 +386,27 @@ def title_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
   own AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY journal ORDER BY set_spec) = 1), tot AS (SELECT set_spec, CAST(sum(n) AS BIGINT) AS target_count FROM own GROUP BY set_spec)
   SELECT set_spec, journal, set_name, 1.0::DOUBLE AS score, target_count FROM (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY set_spec ORDER BY journal) = 1) JOIN tot USING (set_spec)""")
 def journal_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Journals matched to named collections."""
+    """Journals matched to named collections."""
     journals = works(spark, sf_dir).groupBy("journal").agg(F.count(F.lit(1)).alias("n"))
     sets = table(spark, sf_dir, "nation").select(F.concat(F.lit("Calisma Dergisi "), F.col("n_nationkey").cast("string")).alias("set_name"), F.concat(F.lit("set"), F.col("n_nationkey").cast("string")).alias("set_spec"))
     return candidates.best_collection(journals, sets, similarity.name_similarity, 0.72)
 
 
+_HAS_JOURNAL = "k % 4 <> 0"
+
+
+@query(f"""{_PAIRS}, r AS (SELECT sample_index, CASE WHEN {_HAS_JOURNAL} THEN 'Calisma Dergisi ' || part % 25 ELSE '' END AS journal FROM refs), jn AS (SELECT DISTINCT journal AS a, {o.fold("journal")} AS x FROM r), wn AS (SELECT DISTINCT journal AS b, {o.fold("journal")} AS y FROM works),
+  alike AS (SELECT a, b FROM jn, wn WHERE a = '' OR contains(x, y) OR contains(y, x) OR 0.65 * len(list_intersect(string_split(x, ' '), string_split(y, ' '))) / len(list_distinct(list_concat(string_split(x, ' '), string_split(y, ' ')))) + 0.35 >= 0.9)
+  SELECT p.sample_index, p.work_id, p.shared FROM pairs p JOIN r USING (sample_index) JOIN works w USING (work_id) JOIN alike ON a = r.journal AND b = w.journal""")
+def collection_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of collections named like the reference's journal, of all where it has none. At 0.9
+    or more, where two names of this form must contain each other, so that SQL has it without the ratio."""
+    r, w = _token_sides(spark, sf_dir)
+    journal = refs(spark, sf_dir).select("sample_index", F.when(F.expr(_HAS_JOURNAL), F.concat(F.lit("Calisma Dergisi "), (F.col("part") % 25).cast("string"))).otherwise("").alias("parsed_journal"))
+    records = w.drop("engine_score").join(works(spark, sf_dir).select("work_id", F.col("journal").alias("set_name")), "work_id")
+    return candidates.records_of_collections(r.join(journal, "sample_index"), records, "sample_index", "work_id", "parsed_journal", "set_name", "tokens", similarity.name_similarity, 0.9, LEAST_SHARED)
+
+
 @query(f"""{o.WITH_BOTH}, t AS (SELECT sample_index, context, part FROM refs WHERE regexp_matches(context, 'ISBN 978|ISBN: ')),
   j AS (SELECT t.sample_index, w.work_id, list_filter(string_split({o.fold("w.title")}, ' '), lambda x: length(x) > 2) AS tw, string_split({o.fold("t.context")}, ' ') AS cw
         FROM t JOIN works w ON w.work_id = t.part OR (w.work_id = t.part + 1)),
@@ -386,17 +459,29 @@ def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doi_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = refs(spark, sf_dir).select("sample_index", identifiers.doi_candidates(F.col("context")).alias("dois"))
+    """Every reference, its ``k``, and the first of its DOIs that is found; one pass over references."""
+    r = refs(spark, sf_dir).select("sample_index", "k", identifiers.doi_candidates(F.col("context")).alias("dois"))
     known = works(spark, sf_dir).filter("status <> 'not_found'").select(F.col("doi").alias("key"), "status")
-    tried = lookup.first_success(r, "sample_index", "dois", known, {"found": 0, "error": 1})
-    tried = tried.select("sample_index", F.col("key").alias("doi"), F.coalesce("status", F.lit("not_found")).alias("status"))
-    return r.select("sample_index").join(tried, "sample_index", "left").withColumn("status", F.coalesce("status", F.lit("no_doi")))
+    tried = lookup.first_success(r, "sample_index", "dois", known, {"found": 0, "error": 1}, carry=["k"], keep_empty=True)
+    status = F.when(F.col("key").isNull(), "no_doi").otherwise(F.coalesce("status", F.lit("not_found")))
+    return tried.select("sample_index", "k", F.col("key").alias("doi"), status.alias("status"))
+
+
+@query(f"""{o.WITH_BOTH}, {o.DOI_CANDIDATES}, l AS (SELECT c.sample_index, c.pos, c.doi, coalesce(w.status, 'not_found') AS status FROM doi_cand c LEFT JOIN works w ON w.doi = c.doi)
+  SELECT sample_index, doi, CASE WHEN status = 'found' THEN 'strong' ELSE status END AS status FROM l QUALIFY row_number() OVER (PARTITION BY sample_index ORDER BY CASE status WHEN 'found' THEN 0 ELSE 1 END, pos) = 1""")
+def hidden_first_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first DOI that is found is strong; else the status of the first that failed."""
+    r = refs(spark, sf_dir).select("sample_index", identifiers.doi_candidates(F.col("context")).alias("dois"))
+    known = works(spark, sf_dir).select(F.col("doi").alias("key"), "status")
+    tried = lookup.first_success(r, "sample_index", "dois", known, {"found": 0})
+    status = F.coalesce("status", F.lit("not_found"))
+    return tried.select("sample_index", F.col("key").alias("doi"), F.when(status == "found", "strong").otherwise(status).alias("status"))
 
 
 @query(f"{o.WITH_BOTH}, {o.DOI_STAGE} SELECT sample_index, doi, status FROM doi_stage")
 def doi_first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first DOI that is found, else the first error, else the first."""
-    return _doi_stage(spark, sf_dir)
+    return _doi_stage(spark, sf_dir).drop("k")
 
 
 @query(f"""{o.WITH_BOTH}, {o.DOI_STAGE} SELECT count(*) AS total, count(doi) AS with_doi, count(*) FILTER (status = 'found') AS found, count(*) FILTER (status = 'not_found') AS not_found,
@@ -514,15 +599,19 @@ def eligible_denominator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = refs(spark, sf_dir).select("sample_index", "k")
-    doi = _doi_stage(spark, sf_dir).filter("status = 'found'").select("sample_index", F.lit(1).alias("stage"), F.lit("doi").alias("resolver"), "status")
+    k = F.col("k")
+    hit = lambda when, stage, resolver, status: F.when(when, F.struct(F.lit(stage).alias("stage"), F.lit(resolver).alias("resolver"), status.alias("status")))
+    stages = F.array_compact(F.array(
+        hit(F.col("status") == "found", 1, "doi", F.lit("found")),
+        hit(k % 6 == 1, 3, "form", F.lit("found")),
+        hit(k % 9 == 4, 11, "title_search", F.when(k % 2 == 0, "strong").otherwise("possible")),
+    ))
+    own = _doi_stage(spark, sf_dir).select("sample_index", stages.alias("s")).select("sample_index", F.inline("s"))
     best = _best_works(spark, sf_dir).select("sample_index", F.lit(2).alias("stage"), F.lit("bibliographic").alias("resolver"), "status")
-    form = r.filter("k % 6 = 1").select("sample_index", F.lit(3).alias("stage"), F.lit("form").alias("resolver"), F.lit("found").alias("status"))
-    index = r.filter("k % 9 = 4").select("sample_index", F.lit(11).alias("stage"), F.lit("title_search").alias("resolver"), F.when(F.col("k") % 2 == 0, "strong").otherwise("possible").alias("status"))
-    return doi.unionByName(best).unionByName(form).unionByName(index)
+    return own.unionByName(best)
 
 
-_RESOLUTION = f"""{_SCORED}, {o.DOI_STAGE}, resolution AS (SELECT sample_index, 1 AS stage, 'doi' AS resolver, status FROM doi_stage WHERE status = 'found'
+_RESOLUTION = f"""{_STATUS}, {o.DOI_STAGE}, resolution AS (SELECT sample_index, 1 AS stage, 'doi' AS resolver, status FROM doi_stage WHERE status = 'found'
   UNION ALL SELECT sample_index, 2, 'bibliographic', status FROM ranked WHERE rn = 1
   UNION ALL SELECT sample_index, 3, 'form', 'found' FROM refs WHERE k % 6 = 1
   UNION ALL SELECT sample_index, 11, 'title_search', CASE WHEN k % 2 = 0 THEN 'strong' ELSE 'possible' END FROM refs WHERE k % 9 = 4),
@@ -668,10 +757,10 @@ def link_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.run_log(rows, F.col("event_type"))
 
 
-@query(f"{_SCORED} SELECT sample_index, work_id, confidence FROM ranked WHERE rn = 1 AND status = 'possible'")
+@query(f"{_STATUS} SELECT sample_index FROM ranked WHERE rn = 1 AND status = 'possible'")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches for a person to judge."""
-    return store.review_queue(_best_works(spark, sf_dir)).select("sample_index", "work_id", "confidence")
+    """References whose match a person has to judge."""
+    return store.review_queue(_best_works(spark, sf_dir)).select("sample_index")
 
 
 @query("SELECT user_id, arg_max(value, event_id) FILTER (event_type = 'purchase') AS value FROM events GROUP BY user_id")
@@ -701,3 +790,8 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doi_lookup_summary(spark, sf_dir)
+
+
+from citeforge.plans import record_queries, summary_queries  # noqa: E402  (they add their queries)
+
+__all__ = ["ORACLE", "QUERIES", "entry", "record_queries", "summary_queries"]

@@ -61,10 +61,11 @@ def read_jsonl(spark: SparkSession, path: str, ddl: str, optional: bool = False)
         raise
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, optional: bool = False) -> DataFrame:
-    """A table with a header, every column a string; quoted fields may span lines."""
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, optional: bool = False, multiline: bool = True) -> DataFrame:
+    """A table with a header, every column a string. With ``multiline`` quoted fields may span lines,
+    and every file is one task; without, large files are split."""
     try:
-        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        rows = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').csv(path)
         rows = rows.toDF(*(c.lstrip("﻿") for c in rows.columns))
         return rows.select(*columns) if columns else rows
     except AnalysisException as e:
@@ -82,8 +83,16 @@ def read_rows(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     raise ValueError(f"neither .jsonl nor .csv: {path}")
 
 
+def read_lookup_lines(spark: SparkSession, path: str, optional: bool = False) -> DataFrame:
+    """``read_lookup`` of JSON lines {"key": ..., "status": ..., "items": [...]}, which Spark splits at
+    will: the form for lookups of any size."""
+    item = LOOKUP.removeprefix("map<string,struct<").removesuffix(">>")
+    return read_jsonl(spark, path, f"key string, {item}", optional).filter("key is not null")
+
+
 def read_lookup(spark: SparkSession, path: str, optional: bool = False) -> DataFrame:
-    """A JSON object of request key to answer as rows key, status, http_status, error, items."""
+    """A JSON object of request key to answer as rows key, status, http_status, error, items; what is no
+    object has no rows. A file is one row, so for files that a task can hold; see ``read_lookup_lines``."""
     try:
         whole = spark.read.text(path, wholetext=True)
     except AnalysisException as e:

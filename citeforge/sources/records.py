@@ -43,13 +43,14 @@ def _bibl(bibl) -> dict:
         if full:
             names.append(full)
             last.append(_said(person.find(".//{*}surname")) or full)
-    dates = [d.get("when") or _said(d) for d in bibl.iterfind(".//{*}date")]
-    ids = [_said(x) for x in bibl.iterfind(".//{*}idno") if (x.get("type") or "").lower() == "doi"]
+    dates = (x for d in bibl.iterfind(".//{*}date") for x in (d.get("when") or "", _said(d)))
+    ids = (_said(x) for x in bibl.iterfind(".//{*}idno") if (x.get("type") or "").lower() == "doi")
     return {
         "raw": _said(bibl.find(".//{*}note[@type='raw_reference']")),
         "title": _said(bibl.find("{*}analytic//{*}title[@level='a']")) or _said(bibl.find("{*}monogr//{*}title[@level='m']")),
         "journal": _said(bibl.find("{*}monogr//{*}title[@level='j']")),
-        "date": " ".join(dates[:1]), "authors": names, "surnames": last, "idno": (ids or [""])[0],
+        "date": next((d for d in dates if re.search(fixed.YEAR, d)), ""), "authors": names, "surnames": last,
+        "idno": next((i for i in ids if re.sub(fixed.DOI_PREFIX, "", i.strip()).lstrip(fixed.TRIM_DOI).startswith("10.")), ""),
         "volume": _scope(bibl, "volume", "vol"), "issue": _scope(bibl, "issue"), "pages": _scope(bibl, "page", "pp"),
     }
 
@@ -159,7 +160,7 @@ def read_oai(spark: SparkSession, path: str) -> DataFrame:
 
 def _after(lines: Column, prefix: str) -> Column:
     """What follows a prefix in the lines that have it."""
-    return F.transform(F.filter(lines, lambda x: x.startswith(prefix)), lambda x: squeeze(F.substring(x, len(prefix) + 1, 10_000)))
+    return F.transform(F.filter(lines, lambda x: x.startswith(prefix)), lambda x: squeeze(F.substring(x, F.lit(len(prefix) + 1), F.length(x))))
 
 
 def _described(lines: Column, year: str) -> dict[str, Column]:
@@ -188,7 +189,7 @@ def record_page(markdown: Column, article_id: Column) -> Column:
 def record_list(pages: DataFrame) -> DataFrame:
     """One row per titled record of Markdown list pages (columns markdown, set_spec, set_name)."""
     chunks = F.split("markdown", r"\n## OAI Record:\s*")
-    each = pages.select("set_spec", "set_name", F.explode(F.slice(chunks, 2, 1_000_000)).alias("chunk"))
+    each = pages.select("set_spec", "set_name", F.explode(F.slice(chunks, F.lit(2), F.size(chunks))).alias("chunk"))
     each = each.withColumn("lines", F.transform(F.split("chunk", "\n"), F.trim))
     d = _described(F.col("lines"), fixed.YEAR_WIDE)
     rows = each.select(F.element_at("lines", 1).alias("oai_identifier"), "set_spec", "set_name", *(d[n].alias(n) for n in ("title", "creators", "year", "doi", "url", "source")))

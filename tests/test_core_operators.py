@@ -60,21 +60,53 @@ def test_streaks(spark):
 
 
 def test_token_candidates(spark):
-    refs = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "z"])], "r int, t array<string>")
-    works = spark.createDataFrame([(i, ["a", "b"] if i else ["a", "b", "c"]) for i in range(5)], "w int, t array<string>")
-    assert rows(candidates.token_candidates(refs, works, "r", "w", "t", 2, 1)) == [(1, 0, 3)]
-    assert len(rows(candidates.token_candidates(refs, works, "r", "w", "t", 2, 5))) == 5
+    refs = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "z"]), (3, ["c", "b", "a", "a"]), (4, None), (5, [])], "r int, t array<string>")
+    works = spark.createDataFrame([(i, ["a", "b"] if i else ["a", "b", "c"]) for i in range(5)] + [(9, None)], "w int, t array<string>")
+    assert rows(candidates.token_candidates(refs, works, "r", "w", "t", 2)) == sorted((r, w, 3 if w == 0 else 2) for r in (1, 3) for w in range(5))
+    first = candidates.relevance_search(refs, works, "r", "w", "t", 2, 2, [F.desc("w")])
+    assert rows(first) == [(1, 0, 3), (1, 4, 2), (3, 0, 3), (3, 4, 2)]
 
 
-def test_token_candidates_lose_no_pair_of_common_tokens(spark):
+@pytest.mark.parametrize("least", [1, 3, 5])
+def test_token_candidates_lose_no_pair_of_common_tokens(spark, least):
     import random
 
     rng = random.Random(3)
     sets = [[(i, rng.sample("abcdefghijklmno", rng.randint(0, 9))) for i in range(n)] for n in (40, 120)]
     refs, works = (spark.createDataFrame(s, f"{k} int, t array<string>") for s, k in zip(sets, "rw", strict=True))
-    want = sorted((i, j, len(set(a) & set(b))) for i, a in sets[0] for j, b in sets[1] if len(set(a) & set(b)) >= 5)
-    assert want and rows(candidates.token_candidates(refs, works, "r", "w", "t", 5, 20)) == []  # all tokens are common
-    assert sorted(rows(candidates.token_candidates(refs, works, "r", "w", "t", 5))) == want
+    want = sorted((i, j, len(set(a) & set(b))) for i, a in sets[0] for j, b in sets[1] if len(set(a) & set(b)) >= least)
+    assert want and rows(candidates.token_candidates(refs, works, "r", "w", "t", least)) == want
+
+
+def test_similar_names_lose_no_pair(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    words = ["journal", "of", "the", "a", "birds", "bird", "stones", "review", "j", "ab", "nal of"]
+    names = [sorted({" ".join(rng.choice(words) for _ in range(rng.randint(0, 4))) for _ in range(40)}) for _ in "ab"]
+
+    def score(a, b):
+        if not a or not b:
+            return 0.0
+        if a in b or b in a:
+            return 1.0
+        x, y = set(a.split()), set(b.split())
+        return round(0.65 * len(x & y) / len(x | y) + 0.35 * SequenceMatcher(None, a, b).ratio(), 4)
+
+    sides = [spark.createDataFrame([(n,) for n in own], f"{c} string") for own, c in zip(names, "xy", strict=True)]
+    for threshold in (0.55, 0.72):
+        want = sorted((a, b) for a in names[0] for b in names[1] if score(a, b) >= threshold)
+        assert rows(candidates.similar_names(*sides, "x", "y", similarity.name_similarity, threshold).select("x", "y")) == want
+    with pytest.raises(ValueError, match="in common"):
+        candidates.similar_names(*sides, "x", "y", similarity.name_similarity, 0.3)
+
+
+def test_records_of_collections(spark):
+    refs = spark.createDataFrame([(1, ["a", "b"], "J Birds"), (2, ["a", "b"], ""), (3, ["a"], None)], "r int, t array<string>, j string")
+    records = spark.createDataFrame([(10, ["a", "b"], "The J Birds"), (11, ["a", "b"], "Stones")], "w int, t array<string>, s string")
+    got = candidates.records_of_collections(refs, records, "r", "w", "j", "s", "t", similarity.name_similarity, 0.55, 2)
+    assert rows(got) == [(1, 10, 2), (2, 10, 2), (2, 11, 2)]
 
 
 def test_alignment_and_collections(spark):

@@ -50,10 +50,18 @@ def test_lookup_files(spark, tmp_path):
     assert [(r.reference_order, r.parsed_index) for r in files.read_match_report(spark, str(p)).collect()] == [(1, 4)]
 
 
+def test_lookup_lines(spark, tmp_path):
+    p = tmp_path / "c.jsonl"
+    p.write_text('{"key": "doi:a", "status": "ok", "items": [{"doi": "a"}]}\n{"status": "ok"}\n')
+    assert [(r.key, r.status, r["items"][0].doi) for r in files.read_lookup_lines(spark, str(p)).collect()] == [("doi:a", "ok", "a")]
+    (tmp_path / "broken.json").write_text("[1]")
+    assert files.read_lookup(spark, str(tmp_path / "broken.json")).collect() == []
+
+
 TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><listBibl>
 <biblStruct><analytic><title level="a">Small  birds</title><author><persName><forename>Jane</forename><surname>van Doe</surname></persName></author><author>Roe</author></analytic>
-<monogr><title level="j">J Birds</title><imprint><date when="2015-03"/><biblScope unit="volume">8</biblScope><biblScope unit="page" from="60" to="69"/></imprint></monogr>
-<idno type="DOI">10.1234/X.</idno><note type="raw_reference">raw one</note></biblStruct>
+<monogr><title level="j">J Birds</title><imprint><date when="n.d."/><date when="2015-03"/><biblScope unit="volume">8</biblScope><biblScope unit="page" from="60" to="69"/></imprint></monogr>
+<idno type="DOI">see PMID</idno><idno type="DOI">10.1234/X.</idno><note type="raw_reference">raw one</note></biblStruct>
 <biblStruct><monogr><title level="m">A book</title><author><persName><surname>Poe</surname></persName></author></monogr><note type="raw_reference">Poe 1999, 2001. 10.5555 / zz</note></biblStruct>
 </listBibl></text></TEI>"""
 
