@@ -7,13 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only where the session names no folder and runs on this machine alone, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local folder where that is unset."""
+    """The session's ``spark.checkpoint.dir``. A local folder where that is unset, in local mode only:
+    on a cluster each executor would write to its own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not (spark.sparkContext.master or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return named or f"{LOCAL_FALLBACK}/{spark.sparkContext.applicationId}"
 
 
@@ -26,14 +29,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
 
 
-def dropped(table: DataFrame) -> None:
-    """Deletes the files of a written table that nothing reads any more."""
-    spark = table.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of written tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 

@@ -14,7 +14,7 @@ verifies them and finds their ends to the word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeforge.llm.repeats import CHUNK, K2, anchor_rows, chunks, keyed, mixed, repeated_spans, with_spans
+from citeforge.llm.repeats import CHUNK, K2, Units, anchor_rows, chunks, mixed, without_repeats
 
 WIDTH = 50
 ROUNDS = 7
@@ -32,26 +32,35 @@ _LOW = np.uint64(0xFFFFFFFF)
 _U = np.uint64
 _WHITE = np.zeros(256, bool)
 _WHITE[list(b" \t\n\x0b\x0c\r")] = True
-#: A fixed random 64-bit number for each byte, and the odd base of the polynomial over them.
-_BYTE = np.random.default_rng(20260804).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-#: Bytes that one prefix sum covers, whole words only.
+#: Bytes that one prefix sum covers, whole words only; sums of that many residues fit into 64 bits.
 SEGMENT = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: The two prime moduli of a word's name.
+_PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
 
 
-@lru_cache(4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+@lru_cache(8)
+def _field(seed: int, prime: int) -> tuple[np.ndarray, int, int]:
+    """Of a seed and a prime: a residue for each byte, and a base and its inverse."""
+    rng = np.random.default_rng((seed, prime))
+    base = int(rng.integers(1 << 20, prime))
+    return rng.integers(1, prime, 256).astype(np.uint64), base, pow(base, -1, prime)
 
 
-def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(8)
+def _powers(base: int, prime: int, bits: int) -> np.ndarray:
+    """base ** i modulo prime for i under 2 ** bits, by doubling."""
+    out = np.ones(1, _U)
+    for k in range(bits):
+        out = np.concatenate((out, out * _U(pow(base, 1 << k, prime)) % _U(prime)))
+    return out
+
+
+def word_names(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Names of the words of all texts, one after another, and how many each text has.
 
-    A name is a polynomial over the word's bytes modulo 2**64, mixed; prefix sums over the bytes, a
-    segment at a time, give them all. It is never 0, which marks the end of a document.
+    A name is two polynomials over the word's bytes, modulo primes and at random places, mixed: two
+    words of n bytes agree for at most (n / 2 ** 31) ** 2 of all seeds. Prefix sums over the bytes,
+    a segment at a time, give them all. It is never 0, which marks the end of a document.
     """
     b = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     if not len(b):
@@ -62,11 +71,14 @@ def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + SEGMENT, "right")))
         first, own = start[i], b[start[i] : end[j - 1]]
-        up, down = _powers(1 << len(own).bit_length())
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[own] * up[: len(own)], dtype=np.uint64)))
-        names[i:j] = (total[end[i:j] - first] - total[start[i:j] - first]) * down[start[i:j] - first]
+        bits, parts = (len(own) - 1).bit_length(), []
+        for prime in _PRIMES:
+            of_byte, base, inverse = _field(seed, prime)
+            terms = of_byte[own] * _powers(base, prime, bits)[: len(own)] % _U(prime)
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
+            parts.append((total[end[i:j] - first] - total[start[i:j] - first]) % _U(prime) * _powers(inverse, prime, bits)[start[i:j] - first] % _U(prime))
+        names[i:j] = mixed(parts[0] << _U(32) | parts[1], (end[i:j] - start[i:j]).astype(np.uint64))
         i = j
-    names = mixed(names, (end - start).astype(np.uint64))
     names[names == 0] = 1
     ends = np.cumsum([len(t) + 1 for t in texts])
     return names, np.diff(np.searchsorted(start, ends), prepend=0)
@@ -131,17 +143,17 @@ def window_names(names: np.ndarray, p: np.ndarray, width: int = WIDTH) -> np.nda
     return mixed(h[p], h[p + width - depth])
 
 
-def word_strings(texts: list[bytes]):
-    """First places and sizes of texts, and names of their strings by (places, words)."""
-    names, size = word_names(texts)
-    return np.cumsum(size) - size, size, lambda p, size: window_names(names, p, size)
+def word_strings(texts: list[bytes], of_words: Callable):
+    """First places of texts, and names of their strings by (places, words)."""
+    names, size = of_words(texts)
+    return np.cumsum(size) - size, lambda p, size: window_names(names, p, size)
 
 
-def word_anchors(batch: pa.RecordBatch, width: int = WIDTH) -> Iterator[list]:
-    """Anchor rows of a batch of (doc_id, text)."""
-    ids, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist()
+def word_anchors(batch: pa.RecordBatch, width: int, of_words: Callable) -> Iterator[list]:
+    """Anchor rows of a batch of (doc_id, text, tag)."""
+    ids, texts, tags = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_numpy()
     for i, j in chunks([len(t) for t in texts], 6 * CHUNK):
-        words, sizes = word_names(texts[i:j])
+        words, sizes = of_words(texts[i:j])
         begin = np.cumsum(sizes + 1) - sizes
         doc = np.repeat(np.arange(j - i), sizes)
         place = np.arange(len(words)) + doc + 1
@@ -166,30 +178,29 @@ def word_anchors(batch: pa.RecordBatch, width: int = WIDTH) -> Iterator[list]:
             both = mixed(window_names(names, lo, width), window_names(names, hi, width))
             return mixed(both, ((hi - lo) << 20 | (at - lo)).astype(np.uint64))
 
-        yield anchor_rows(ids[i:j], begin, of_doc, p, anchor, q, anchor >> 5, text_name)
+        yield anchor_rows(ids[i:j], tags[i:j], begin, of_doc, p, anchor, q, anchor >> 5, text_name)
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary()), ("n_kept", pa.int64())])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, names: Callable = word_names) -> DataFrame:
     """One row per input row: doc_id, n_words, spans (first, past last word of what goes), kept
     (UTF-8 of the other words, joined by one space), n_kept.
 
     Every word goes that is covered by a ``width``-word window whose words also stand in a row in
     a document with a smaller id; windows are judged on the input. Words are runs of anything but
     the six ASCII white-space characters. Null and empty texts have no words; null ids come first.
-    Rows that repeat an id are versions of one document: equal ones get equal results, and what is
-    found in any is cut from each, within its length. Columns besides the two are ignored.
+    Rows that share an id are documents of their own, none smaller than the other; equal rows get
+    equal results. Columns besides the two are ignored. ``names(texts, seed)`` names words.
     """
-    rows = keyed(docs, id_col, text_col)
-    spans = repeated_spans(
-        rows, width, BLOCK, lambda batch: word_anchors(batch, width), word_strings, within=False
-    )
 
-    def cut(text: bytes, runs) -> tuple:
+    def taken(text: bytes):
+        words = text.split()
+        return lambda at, size: b" ".join(words[at : at + size])
+
+    def cut(text: bytes, gone: list) -> tuple:
         words = text.split()
-        gone = runs(len(words))
         kept, at = [], 0
         for s, e in gone:
             kept += words[at:s]
@@ -197,7 +208,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         kept += words[at:]
         return len(words), gone, b" ".join(kept), len(kept)
 
-    return with_spans(rows, spans, cut, OUT, "doc_id long, n_words long, spans array<array<long>>, kept binary, n_kept long")
+    def units(seed: int) -> Units:
+        of_words = lambda texts: names(texts, seed)
+        return Units(lambda batch: word_anchors(batch, width, of_words), lambda texts: word_strings(texts, of_words), taken, cut)
+
+    return without_repeats(docs, id_col, text_col, width, BLOCK, False, units, OUT, "doc_id long, n_words long, spans array<array<long>>, kept binary, n_kept long")
 
 
 def substring_digest(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeforge.llm.repeats import K1, anchor_rows, chunks, keyed, mixed, repeated_spans, with_spans
+from citeforge.llm.repeats import K1, Units, anchor_rows, chunks, mixed, without_repeats
 
 WIDTH = 100
 GRAM = 32
@@ -29,9 +29,9 @@ _BYTE *= np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def gram_buckets(b: np.ndarray) -> np.ndarray:
+def gram_buckets(b: np.ndarray, seed: int) -> np.ndarray:
     """Bucket names of the 32-byte strings at each place (fewer places than bytes by 31)."""
-    h, depth = _BYTE[b], 1
+    h, depth = mixed(_BYTE, np.full(1, seed, np.uint64))[b], 1
     while depth < GRAM:
         h = mixed(h[:-depth], h[depth:])
         depth *= 2
@@ -53,15 +53,15 @@ def sliding_least(x: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (span - have)], x[span - have :]) if span > have else x
 
 
-def byte_anchors(batch: pa.RecordBatch, width: int = WIDTH) -> Iterator[list]:
-    """Anchor rows of a batch of (doc_id, text)."""
-    ids, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist()
+def byte_anchors(batch: pa.RecordBatch, width: int, seed: int) -> Iterator[list]:
+    """Anchor rows of a batch of (doc_id, text, tag)."""
+    ids, texts, tags = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_numpy()
     long = [i for i, t in enumerate(texts) if len(t) >= width]
-    ids, texts = ids[long], [texts[i] for i in long]
+    ids, tags, texts = ids[long], tags[long], [texts[i] for i in long]
     for i, j in chunks([len(t) for t in texts]):
         sizes = np.array([len(t) for t in texts[i:j]], np.int64)
         b = np.frombuffer(b"".join(texts[i:j]), np.uint8)
-        h = gram_buckets(b)
+        h = gram_buckets(b, seed)
         order = h & ~_LOW
         order |= np.arange(len(h), dtype=np.uint64)  # ties go to the left
         anchor = (sliding_least(order, width - GRAM + 1) & _LOW).astype(np.int64)
@@ -77,14 +77,14 @@ def byte_anchors(batch: pa.RecordBatch, width: int = WIDTH) -> Iterator[list]:
             both = mixed(deep_buckets(h, lo, width), deep_buckets(h, hi, width))
             return mixed(both, ((hi - lo) << 20 | (at - lo)).astype(np.uint64))
 
-        yield anchor_rows(ids[i:j], begin, of_doc, p, anchor, h[anchor], anchor, text_name)
+        yield anchor_rows(ids[i:j], tags[i:j], begin, of_doc, p, anchor, h[anchor], anchor, text_name)
 
 
-def byte_names(texts: list[bytes]):
-    """First places and sizes of texts, and names of their strings by (places, size), from 32-byte buckets."""
+def byte_names(texts: list[bytes], seed: int):
+    """First places of texts, and names of their strings by (places, size), from 32-byte buckets."""
     size = np.array([len(t) for t in texts], np.int64)
-    h = gram_buckets(np.frombuffer(b"".join(texts), np.uint8))
-    return np.cumsum(size) - size, size, lambda p, size: deep_buckets(h, p, size)
+    h = gram_buckets(np.frombuffer(b"".join(texts), np.uint8), seed)
+    return np.cumsum(size) - size, lambda p, size: deep_buckets(h, p, size)
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
@@ -96,23 +96,23 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Every byte goes that is covered by a ``width``-byte string (81 to 128) which also starts
     earlier, in a document with a smaller id or before in the same document; overlaps count, and
     strings are judged on the input. Null and empty texts have nothing to remove; null ids come
-    first. Rows that repeat an id are versions of one document: equal ones get equal results, and
-    what is found in any is cut from each, within its length. Columns besides the two are ignored.
+    first. Rows that share an id are documents of their own, none smaller than the other; equal rows
+    get equal results. Columns besides the two are ignored.
     """
     if not 2 * GRAM + BLOCK <= width <= 4 * GRAM:
         raise ValueError(f"width must be from {2 * GRAM + BLOCK} to {4 * GRAM}")
-    rows = keyed(docs, id_col, text_col)
-    spans = repeated_spans(rows, width, BLOCK, lambda batch: byte_anchors(batch, width), byte_names, within=True)
 
-    def cut(text: bytes, runs) -> tuple:
-        gone = runs(len(text))
+    def cut(text: bytes, gone: list) -> tuple:
         parts, at = [], 0
         for s, e in gone:
             parts.append(text[at:s])
             at = e
         return len(text), gone, b"".join([*parts, text[at:]]) if gone else text
 
-    return with_spans(rows, spans, cut, OUT, "doc_id long, n_bytes long, spans array<array<long>>, kept binary")
+    def units(seed: int) -> Units:
+        return Units(lambda batch: byte_anchors(batch, width, seed), lambda texts: byte_names(texts, seed), lambda text: lambda at, size: text[at : at + size], cut)
+
+    return without_repeats(docs, id_col, text_col, width, BLOCK, True, units, OUT, "doc_id long, n_bytes long, spans array<array<long>>, kept binary")
 
 
 def suffix_digest(docs: DataFrame) -> DataFrame:
