@@ -2,9 +2,9 @@
 
 Native: DataFrame functions only. The tree is built over distinct (host, template) rows, not over
 pages: variable parts of a path become wildcards, the rare children of a node with many children
-become one, siblings with similar shares of blocked labels are pooled, and a template is rejected
-if the smoothed share of blocked labels in its pool is high enough. A template without labels is
-judged by its siblings' shares, each one observation. Labels are the verdicts of the rules, unless a
+become one, siblings at any level with similar shares of blocked labels are pooled, and a template is
+rejected if the smoothed share of blocked labels in its pool is high enough. A template without labels
+is judged by the shares of its nearest siblings, each one observation. Labels are the verdicts of the rules, unless a
 table of labels is given.
 """
 
@@ -35,7 +35,7 @@ class Tree:
     standard errors a sibling may be from its siblings' pooled share. ``weight``, ``prior``:
     the smoothing. ``purity``, ``labelled``: least smoothed share and labels to reject."""
 
-    depth: int = 4
+    depth: int = 16
     children: int = 20
     support: int = 50
     z: float = 2.0
@@ -85,22 +85,27 @@ def judged_templates(counts: DataFrame, tree: Tree) -> DataFrame:
         rows = written(rows, "url_nodes")  # else the plan would treble with each level
     rows = rows.withColumn("node", F.concat("node", F.slice("parts", tree.depth + 1, 1)))
 
-    # Siblings: nodes that differ in the first segment only.
-    leaves = rows.groupBy("host", "node").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    leaves = leaves.withColumn("shape", F.concat(F.array(F.lit("*")), F.slice("node", 2, tree.depth + 1))).withColumn("m", F.col("bad") + F.col("good"))
-    pooled = leaves.filter("m > 0").groupBy("host", "shape").agg((F.sum("bad") / F.sum("m")).alias("share"))
-    leaves = written(leaves.join(apart(pooled), ["host", "shape"], "left"), "url_leaves")
+    # Siblings, at every level: leaves of a host that differ in one segment only. Of each such pool
+    # the labelled leaves whose share is near the pool's count.
+    leaves = written(rows.groupBy("host", "node").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).withColumn("m", F.col("bad") + F.col("good")), "url_leaves")
+    shape = lambda l: F.concat(F.slice("node", F.lit(1), l - 1), F.array(F.lit("*")), F.slice("node", l + 1, F.size("node")))
+    levels = F.when(F.size("node") > 0, F.sequence(F.lit(1), F.size("node")))
+    each = leaves.select("*", F.explode(levels).alias("level")).withColumn("shape", shape(F.col("level")))
+    shares = each.filter("m > 0").groupBy("host", "level", "shape").agg((F.sum("bad") / F.sum("m")).alias("share"))
     error = F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("m"))
     near = F.abs(F.col("bad") / F.col("m") - F.col("share")) <= tree.z * error + 0.5 / F.col("m")
-    # An unlabelled leaf joins its siblings; there each labelled leaf is one observation, however
-    # many labels it has, since what one branch shows says little of another.
-    leaves = leaves.withColumn("pool", F.when(F.col("share").isNotNull() & ((F.col("m") == 0) | near), F.col("shape")).otherwise(F.col("node")))
-    own = F.when(F.col("m") > 0, F.col("bad") / F.col("m"))
-    pools = leaves.groupBy("host", "pool").agg(F.sum("bad").alias("b"), F.sum("m").alias("labelled"), F.sum(own).alias("shares"), F.count(own).alias("branches"))
+    each = written(each.join(apart(shares), ["host", "level", "shape"]).withColumn("near", F.col("m").eqNullSafe(0) | near), "url_siblings")
+    own = F.col("bad") / F.col("m")
+    pools = each.filter("m > 0 and near").groupBy("host", "level", "shape").agg(F.sum("bad").alias("b"), F.sum("m").alias("labelled"), F.sum(own).alias("shares"), F.count(F.lit(1)).alias("branches"))
+    # A leaf takes the deepest pool that has another labelled leaf. One without labels of its own
+    # counts each leaf there as one observation, however many labels it has, since what one branch
+    # shows says little of another.
+    fits = each.filter("near").join(apart(pools), ["host", "level", "shape"]).filter((F.col("m") == 0) | (F.col("branches") > 1))
+    fits = fits.groupBy("host", "node").agg(*(F.max_by(c, "level").alias(c) for c in ("b", "labelled", "shares", "branches")))
     smooth = lambda b, n: (b + tree.weight * tree.prior) / (n + tree.weight)
-    purity = F.when(F.col("m") > 0, smooth(F.col("b"), F.col("labelled"))).otherwise(smooth(F.coalesce("shares", F.lit(0.0)), F.col("branches")))
-    leaves = leaves.join(apart(pools), ["host", "pool"]).select("host", "node", "labelled", purity.alias("purity"))
-    return rows.select("host", "parts", "node").join(apart(leaves), ["host", "node"]).select("host", "parts", "node", "purity", "labelled")
+    purity = F.when(F.col("m") > 0, smooth(F.coalesce("b", "bad"), F.coalesce("labelled", "m"))).otherwise(smooth(F.coalesce("shares", F.lit(0.0)), F.coalesce("branches", F.lit(0))))
+    judged = leaves.join(apart(fits), ["host", "node"], "left").select("host", "node", F.coalesce("labelled", "m").alias("labelled"), purity.alias("purity"))
+    return rows.select("host", "parts", "node").join(apart(judged), ["host", "node"]).select("host", "parts", "node", "purity", "labelled")
 
 
 def url_filter(
