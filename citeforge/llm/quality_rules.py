@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -22,9 +23,9 @@ class Bands:
     """Limits of zstandard ratios (compressed / raw bytes) by length.
 
     ``edges`` are the lower ends of the length classes in bytes; a text whose ratio is below
-    ``low`` of its class is repetitive, above ``high`` incompressible. A document also fails
-    if more than ``max_bad_chunks`` of its full chunks of ``chunk_bytes`` leave their band:
-    so junk inside an otherwise clean long text shows.
+    ``low`` of its class is repetitive, above ``high`` incompressible. A text over ``chunk_bytes``
+    also fails if more than ``max_bad_chunks`` of its chunks leave their band, which is that of
+    their length class for the shorter last one: so junk inside an otherwise clean long text shows.
     """
 
     edges: tuple[int, ...] = (0, 128, 256, 512, 1024, 2048, 4096, 8192)
@@ -33,7 +34,7 @@ class Bands:
     chunk_bytes: int = 2048
     chunk_low: float = 0.28
     chunk_high: float = 0.77
-    max_bad_chunks: float = 0.5
+    max_bad_chunks: float = 0.1
     level: int = 3
 
 
@@ -75,6 +76,18 @@ class Judge:
     def __init__(self, bands: Bands, min_words: int, max_repeat_percent: int) -> None:
         self.bands, self.min_words, self.max_repeat_percent = bands, min_words, max_repeat_percent
 
+    def chunks(self, text: bytes) -> Iterator[bytes]:
+        """All of a text over one chunk, the last chunk as long as it is."""
+        size = self.bands.chunk_bytes
+        return (text[at : at + size] for at in range(0, len(text), size)) if len(text) > size else iter(())
+
+    def outside(self, chunk: bytes, squeeze: Callable[[bytes], bytes]) -> str | None:
+        """Which limit a chunk is beyond."""
+        b, ratio = self.bands, len(squeeze(chunk)) / len(chunk)
+        k = bisect_right(b.edges, len(chunk)) - 1
+        least, most = (b.chunk_low, b.chunk_high) if len(chunk) == b.chunk_bytes else (b.low[k], b.high[k])
+        return "low" if ratio < least else "high" if ratio > most else None
+
     def __call__(self, text: bytes) -> tuple:
         b = self.bands
         squeeze = zstandard.ZstdCompressor(level=b.level).compress
@@ -83,18 +96,18 @@ class Judge:
         repeated = repeat_words(words) if n > 2 else 0
         ratio = len(squeeze(text)) / len(text) if text else 0.0
         k = bisect_right(b.edges, len(text)) - 1
-        chunks = [len(squeeze(text[at : at + b.chunk_bytes])) / b.chunk_bytes for at in range(0, len(text) - b.chunk_bytes + 1, b.chunk_bytes)]
-        low, high = sum(r < b.chunk_low for r in chunks), sum(r > b.chunk_high for r in chunks)
+        bad = [self.outside(chunk, squeeze) for chunk in self.chunks(text)]
+        low, high = bad.count("low"), bad.count("high")
         base = n < self.min_words or 100 * repeated > self.max_repeat_percent * n
         reason = (
             "base" if base
             else "repetitive" if ratio < b.low[k]
             else "incompressible" if ratio > b.high[k]
-            else "chunks" if chunks and low + high > b.max_bad_chunks * len(chunks)
+            else "chunks" if low + high > b.max_bad_chunks * len(bad)
             else None
         )
         symbols = len(text) - len(text.translate(None, SYMBOLS))
-        return n, word_chars(text), symbols, duplicate_lines(text), repeated, base, reason is None, ratio, len(chunks), low, high, reason
+        return n, word_chars(text), symbols, duplicate_lines(text), repeated, base, reason is None, ratio, len(bad), low, high, reason
 
 
 def kept_rows(docs: DataFrame, text_col: str = "text", bands: Bands | None = None, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
