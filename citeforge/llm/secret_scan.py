@@ -125,11 +125,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return arrow_rows(id_and_text(docs, id_col, text_col), schema, make)
 
 
-def redacted(docs: DataFrame, by: str, text_col: str = "text", count_col: str = "n_spans") -> DataFrame:
-    """All columns, with the secrets of the text replaced by ``by`` and their number added.
+def redacted(docs: DataFrame, by: str, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """All columns, with the secrets of the text replaced by ``by``; where some were, ``length_col`` becomes
+    the new text's length.
 
     Null texts stay null. Equal rows get equal results. The text is rewritten where it stands, by
-    an Arrow function of that one column, so no row has to find its way back.
+    an Arrow function of that one column, so no row has to find its way back, and no column of
+    the input can clash: the result is one struct, under a name that none of them has.
     """
 
     @F.pandas_udf("text string, n int")
@@ -137,8 +139,13 @@ def redacted(docs: DataFrame, by: str, text_col: str = "text", count_col: str =
         done = [(None, 0) if t is None else replaced(t, by) for t in texts]
         return pd.DataFrame(done, columns=["text", "n"])
 
-    out = docs.withColumn("_clean", clean(F.col(text_col).cast("string")))
-    return out.withColumns({text_col: F.col("_clean.text"), count_col: F.col("_clean.n")}).drop("_clean")
+    own = "_" * (1 + max(map(len, docs.columns))) + "clean"
+    out = docs.withColumn(own, clean(docs[text_col].cast("string")))
+    new = {text_col: F.col(f"{own}.text")}
+    if length_col is not None and length_col in docs.columns:
+        kind = docs.schema[length_col].dataType
+        new[length_col] = F.when(F.col(f"{own}.n") == 0, docs[length_col]).otherwise(F.length(F.col(f"{own}.text")).cast(kind))
+    return out.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
 
 
 def joined(spans: Column) -> Column:

@@ -113,5 +113,5 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
+    named = rooted.join(apart(ids), "root").select("fp", "component_id")
     return own.join(apart(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_tag")

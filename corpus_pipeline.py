@@ -3,7 +3,8 @@
 Each stage takes documents and, but for the last, returns documents with the same columns. A stage
 works on every row of its input. Rows are told apart by id and text; of rows that repeat both, the
 exact-copies stage keeps one. Rows without an id are judged like others; a group of near copies of
-which none has an id stays whole. Null texts count as empty, and fail the quality rules. An empty
+which none has an id stays whole, as do near copies that share the least id of their group.
+Further columns of any name pass through, and ``n_chars`` need not be there. Null texts count as empty, and fail the quality rules. An empty
 input gives an empty output with the same columns.
 """
 
@@ -24,9 +25,10 @@ REDACTED = "[SECRET]"
 
 def _only(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id, a missing one too, and text are in ``verdict``."""
-    kept = verdict.select(F.col("doc_id").alias("_i"), F.col("text_tag").alias("_t"))
-    tag = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_i"]) & (tag == kept["_t"]), "left_semi")
+    kept = verdict.select(F.struct("doc_id", "text_tag").alias("kept"))
+    own = F.struct(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_tag"))
+    # The right side's column is named by its own table, so no column of the documents can clash.
+    return docs.alias("d").join(kept.alias("k"), own.eqNullSafe(F.col("k.kept")), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced, and ``n_chars`` follows; every document stays. A map: no join back."""
-    return redacted(docs, REDACTED).withColumn("n_chars", F.when(F.col("n_spans") == 0, F.col("n_chars")).otherwise(F.length("text"))).select(docs.columns)
+    return redacted(docs, REDACTED, length_col="n_chars")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

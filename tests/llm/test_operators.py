@@ -63,6 +63,44 @@ def test_quality_rejects_repetitive_and_incompressible(spark):
     assert got[2].reason == "repetitive"
 
 
+def expected_verdict(text: str) -> str | None:
+    """The bands once more, by other means."""
+    import zstandard
+
+    raw, b = text.encode(), quality_rules.Bands()
+    ratio = lambda x: len(zstandard.compress(x, b.level)) / len(x)
+    band = lambda n: max(k for k, edge in enumerate(b.edges) if edge <= n)
+    if expected_quality(text)[-1]:
+        return "base"
+    if ratio(raw) < b.low[band(len(raw))]:
+        return "repetitive"
+    if ratio(raw) > b.high[band(len(raw))]:
+        return "incompressible"
+    bad, n = 0, 0
+    while len(raw) > 2048 and n * 2048 < len(raw):
+        chunk = raw[n * 2048 : n * 2048 + 2048]
+        low, high = (b.chunk_low, b.chunk_high) if len(chunk) == 2048 else (b.low[band(len(chunk))], b.high[band(len(chunk))])
+        bad, n = bad + (not low <= ratio(chunk) <= high), n + 1
+    return "chunks" if bad > b.max_bad_chunks * n else None
+
+
+def test_quality_verdicts_once_more(spark, docs):
+    import base64
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    clean = " ".join(rng.choice(words) for _ in range(9000))
+    junk = base64.b64encode(rng.randbytes(9000)).decode()
+    texts = [clean, clean[:20000] + " " + junk + " " + clean[20000:], clean[:4097], clean[:2100] + "x" * 1500, clean[:2048], clean[:2049]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.reason for r in quality_rules.quality_rules(rows).collect()}
+    assert (got[0], got[1]) == (None, "chunks")  # junk in a fifth of a long text
+    assert got == {i: expected_verdict(t) for i, t in enumerate(texts)}
+    kept = quality_rules.quality_rules(docs).select("doc_id", "kept", "reason").collect()
+    assert Counter((r.doc_id, r.kept, r.reason) for r in kept) == Counter((i, (v := expected_verdict(t)) is None, v) for i, t in pairs(docs))
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
@@ -275,6 +313,27 @@ def test_url_unlabelled_branches_follow_their_siblings(spark):
         assert got[700].purity == (few + 2) / (few + 4)
 
 
+def test_url_siblings_are_pooled_at_every_level(spark):
+    """Fifteen categories under one segment with three bad labels each, another with good ones; and paths
+    that part after the fifth segment."""
+    rows = [(100 * k + i, f"http://s.example/shop/{chr(97 + k)}/item/{i}") for k in range(15) for i in range(4)]
+    rows += [(2000 + 100 * k + i, f"http://s.example/news/{chr(97 + k)}/item/{i}") for k in range(15) for i in range(4)]
+    rows += [(5000 + 100 * k + i, f"http://s.example/blog/y/m/d/{c}/{i}") for k, c in enumerate(("casino", "news")) for i in range(12)]
+    rows += [(9000, "http://s.example/shop/z/item/1"), (9001, "http://s.example/" + "/".join("abcdefgh" * 5000)), (9001, "http://s.example/shop/z/item/1"), (None, "http://s.example/shop/z/item/2")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = [(100 * k + i, True) for k in range(15) for i in range(3)] + [(2000 + 100 * k + i, False) for k in range(15) for i in range(3)]
+    labels += [(5000 + i, True) for i in range(12)] + [(5100 + i, False) for i in range(12)]
+    got = url_filter.url_filter(pages, rules=(), labels=spark.createDataFrame(labels, "page_id long, bad boolean")).collect()
+    assert len(got) == len(rows)
+    verdicts = {r.page_id: r for r in got if r.page_id != 9001}
+    assert all(verdicts[100 * k + i].verdict == "block" for k in range(15) for i in range(4))
+    assert all(verdicts[2000 + 100 * k + i].verdict == "allow" for k in range(15) for i in range(4))
+    assert {verdicts[5000 + i].verdict for i in range(12)} == {"block"} and {verdicts[5100 + i].verdict for i in range(12)} == {"allow"}
+    assert verdicts[100].purity == (45 + 2) / (45 + 4)
+    assert verdicts[9000].purity == verdicts[None].purity == (15 + 2) / (15 + 4)
+    assert sorted(r.verdict for r in got if r.page_id == 9001) == ["allow", "block"]
+
+
 def test_url_rules_as_labels_against_brute_force(spark, tmp_path):
     """The registered query, on hosts with ruled and unruled pages."""
     from citeforge.llm.registry import queries
