@@ -1,27 +1,31 @@
 """Best-fit packing of token pieces into sequences of a fixed length.
 
-Bulk-synchronous best-fit decreasing. Pieces are range-sorted by length over the cluster, which
-gives every piece a rank among those of its length. Supersteps go from the longest length down:
-all pieces of one length are matched at once to their successor gaps (the smallest gaps that hold
-them) by a sweep over the sorted gaps; who gets which gap is resolved by rank; gaps are updated;
-the next length follows. Pieces of a length and sequences of a gap are alike, so the supersteps
-work on run-length coded gaps: at most ``capacity`` lengths and gaps, however many documents. Only
-ranks and the final placing touch rows, and both are maps.
+Bulk-synchronous best-fit. Lengths fall into bands (capacity / k), longest first. Each superstep of
+a band is a few Spark jobs over two tables, the band's open pieces and the gaps of all sequences:
+
+1. pieces and gaps are range-sorted by size together, largest first;
+2. a sweep over each sorted part hands every piece its successor, the smallest free gap that holds it;
+3. pieces that found none in their part are numbered, as are the gaps that their parts left over, so
+   that the last gap before a piece is its own: conflicts are resolved by rank, and a join on the
+   number closes what crosses parts;
+4. gaps shrink by what they took, and new sequences open for the pieces that are left.
+
+A gap takes as many pieces of a band at once as it certainly holds, so the number of supersteps
+depends on ``capacity``, not on the number of documents. The driver sees one row for each part.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, insort
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from citeforge.llm.columns import id_and_text
 from citeforge.llm.scratch import written
@@ -32,6 +36,11 @@ RANKS_FILE = "byte_bpe_50k.tiktoken"
 SEPARATOR_ID = 2
 CAPACITY = 1024
 
+#: A band ends at capacity // k; pieces of a band fit k times into an empty sequence.
+BANDS = (1, 2, 3, 4, 5, 6, 8, 11, 16, 32, 64, 256)
+#: Pieces and gaps that one task sorts and sweeps.
+ROWS_A_PART = 100_000
+
 #: Texts of these characters split into pre-tokens alike under any version of the character
 #: tables, so the faster encoder of the same vocabulary may take them.
 PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ɏ]*").fullmatch
@@ -106,119 +115,157 @@ def token_pieces(
     )
 
 
-class Plan:
-    """Where each rank of each length goes: by length, sorted ranges of ranks."""
-
-    def __init__(self, counts: dict[int, int], capacity: int) -> None:
-        self.n_sequences = 0
-        self.ranges: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # first rank, first sequence, offset
-        gaps: list[int] = []  # sorted; by_gap has runs (first sequence, how many) of each
-        by_gap: dict[int, list[tuple[int, int]]] = {}
-
-        def put(gap: int, first: int, n: int) -> None:
-            if gap and n:
-                if gap not in by_gap:
-                    by_gap[gap] = []
-                    insort(gaps, gap)
-                by_gap[gap].append((first, n))
-
-        for length in sorted(counts, reverse=True):
-            rank, left = 0, counts[length]
-            while left:
-                k = bisect_left(gaps, length)
-                if k < len(gaps):
-                    gap = gaps[k]
-                    first, n = by_gap[gap].pop()
-                    if not by_gap[gap]:
-                        del by_gap[gap], gaps[k]
-                else:
-                    gap, first = capacity, self.n_sequences
-                    n = -(-left // (capacity // length))
-                    self.n_sequences += n
-                per = gap // length
-                whole = min(n, left // per)  # sequences that take all they can
-                for j in range(per):
-                    self._range(length, rank + j * whole, first, capacity - gap + j * length, whole)
-                rank, left = rank + per * whole, left - per * whole
-                put(gap - per * length, first, whole)
-                rest = first + whole
-                if whole < n and left:  # fewer than ``per`` are left: one sequence takes them
-                    for j in range(left):
-                        self._range(length, rank + j, rest, capacity - gap + j * length, 1)
-                    put(gap - left * length, rest, 1)
-                    rank, left, rest = rank + left, 0, rest + 1
-                put(gap, rest, first + n - rest)
-
-    def _range(self, length: int, rank: int, sequence: int, offset: int, n: int) -> None:
-        if n:
-            self.ranges[length].append((rank, sequence, offset))
-
-    def arrays(self) -> dict[int, tuple[np.ndarray, ...]]:
-        return {length: tuple(np.array(x, np.int64) for x in zip(*sorted(r), strict=True)) for length, r in self.ranges.items()}
-
-
-def ranked(pieces: DataFrame) -> DataFrame:
-    """Range-sorts pieces by length and adds ``part`` and ``rank``, the place in that part's run
-    of the same length. A length that a third of all pieces share spreads over many parts,
-    since ids follow in the sort key.
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+SWEPT = f"{PIECE}, sequence_id long, part int, at long, slots long"
+
+
+def swept(pieces: DataFrame, gaps: DataFrame, longest: int, parts: int) -> DataFrame:
+    """Pieces with the sequence of their successor gap, as far as it lies in their part of the sort.
+
+    ``at`` counts a part's pieces without one; ``slots`` is set for gaps that the part leaves over,
+    whose slots are counted from ``at``. A gap has a slot for each ``longest`` that it holds.
     """
-    spread = pieces.repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece", "ids_crc32")
+    offered = gaps.select(
+        *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in PIECE.split(", "))),
+        "sequence_id", F.greatest(F.lit(1), F.floor(F.col("free") / longest)).cast("long").alias("slots"),
+        F.least("free", F.lit(longest).cast("long")).alias("size"), "free",
+    )
+    wanted = pieces.withColumns(
+        {"sequence_id": F.lit(None).cast("long"), "slots": F.lit(0).cast("long"), "size": F.col("length"), "free": F.lit(0).cast("long")}
+    )
+    # Gaps stand before pieces of their size, and of gaps that hold all pieces the tightest stands last.
+    order = [F.desc("size"), F.desc(F.col("slots") > 0), F.desc("free"), "sequence_id", "doc_id", "piece", "start", "ids_crc32"]
+    rows = wanted.unionByName(offered).repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        last, seen = -1, 0
+        part, open_pieces = TaskContext.get().partitionId(), 0
+        stack: list[list[int]] = []  # gaps, the smallest last: sequence, free slots
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            length = batch.column("length").to_numpy()
-            new = np.flatnonzero(np.diff(length, prepend=-1))
-            at = np.arange(len(length))
-            rank = at - np.repeat(new, np.diff(np.append(new, len(length))))
-            if length[0] == last:
-                rank[: new[1] if len(new) > 1 else len(length)] += seen
-            last, seen = length[-1], rank[-1] + 1
+            to: list[int | None] = []
+            at: list[int | None] = []
+            slots = batch.column("slots").to_pylist()
+            for n, sequence in zip(slots, batch.column("sequence_id").to_pylist(), strict=True):
+                if n:
+                    stack.append([sequence, n])
+                elif stack:
+                    to.append(stack[-1][0])
+                    at.append(None)
+                    stack[-1][1] -= 1
+                    if not stack[-1][1]:
+                        stack.pop()
+                else:
+                    to.append(None)
+                    at.append(open_pieces)
+                    open_pieces += 1
+            of_pieces = batch.filter(pa.array(np.array(slots, np.int64) == 0))
+            n = len(to)
+            yield pa.RecordBatch.from_arrays(
+                [*of_pieces.columns[:5], pa.array(to, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(at, pa.int64()), pa.nulls(n, pa.int64())],
+                names=[x.split()[0] for x in SWEPT.split(", ")],
+            )
+        if stack and parts > 1:
+            sequence, n = np.array(stack, np.int64).T
+            own = [pa.nulls(len(n), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(rank.astype(np.int64))],
-                schema=pa.schema([*batch.schema, ("part", pa.int32()), ("rank", pa.int64())]),
+                [*own, pa.array(sequence), pa.array([part] * len(n), pa.int32()), pa.array(np.cumsum(n) - n), pa.array(n)],
+                names=[x.split()[0] for x in SWEPT.split(", ")],
             )
 
-    return written(spread.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"), "ranked_pieces")
+    return written(rows.mapInArrow(run, SWEPT), "packing_swept")
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to rows of (doc_id, piece, start, length, ids_crc32).
+def across_parts(counts: list[tuple[int, int, int]]) -> tuple[list[tuple], list[tuple]]:
+    """Which open pieces of a part take which left-over slots of the parts before it.
 
-    The driver sees a count for each (part, length): parts are sorted ranges, so those are at
-    most parts + capacity rows. Full pieces (length = capacity) are classes like any other.
+    ``counts`` has (part, open pieces, left-over slots) in the order of parts. Returns runs
+    (part, first, end, number of the first) of pieces, and of slots, whose numbers fall.
     """
-    rows = ranked(pieces)
-    found = sorted((r.length, r.part, r.n) for r in rows.groupBy("length", "part").count().withColumnRenamed("count", "n").collect())
-    totals: dict[int, int] = defaultdict(int)
-    before = []
-    for length, _, n in found:
-        before.append(totals[length])
-        totals[length] += n
-    width = 1 + max((part for _, part, _ in found), default=0)
-    keys = np.array([length * width + part for length, part, _ in found], np.int64)
-    shared = rows.sparkSession.sparkContext.broadcast((keys, np.array(before, np.int64), Plan(totals, capacity).arrays()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, before, ranges = shared.value
-        for batch in batches:
-            length, part = batch.column("length").to_numpy(), batch.column("part").to_numpy()
-            rank = batch.column("rank").to_numpy() + before[np.searchsorted(keys, length * width + part)] if batch.num_rows else length
-            sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-            for own in np.unique(length):
-                here = np.flatnonzero(length == own)
-                first, to, at = ranges[int(own)]
-                k = np.searchsorted(first, rank[here], side="right") - 1
-                sequence[here], offset[here] = to[k] + rank[here] - first[k], at[k]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array(sequence), pa.array(offset)],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
-            )
-
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    pieces, slots, stack, number = [], [], [], 0
+    for part, n_pieces, n_slots in counts:
+        done = 0
+        while done < n_pieces and stack:
+            owner, end = stack.pop()
+            n = min(end, n_pieces - done)
+            pieces.append((part, done, done + n, number))
+            slots.append((owner, end - n, end, number))
+            done, number = done + n, number + n
+            if end > n:
+                stack.append((owner, end - n))
+        if n_slots:
+            stack.append((part, n_slots))
+    return pieces, slots
+
+
+def joined_across(rows: DataFrame, runs: tuple[list[tuple], list[tuple]]) -> DataFrame:
+    """The open pieces of ``rows`` with the sequence of a slot of an earlier part, if there is one."""
+    small = [F.broadcast(rows.sparkSession.createDataFrame(r, "part int, first long, end long, number long")) for r in runs]  # two rows a part
+    p, s = F.col("p.at"), F.col("s.at")
+    pieces = rows.filter("sequence_id is null").alias("p").join(
+        small[0].alias("r"), (F.col("p.part") == F.col("r.part")) & (p >= F.col("r.first")) & (p < F.col("r.end")), "left"
+    ).select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", (F.col("r.number") + p - F.col("r.first")).alias("number"))
+    slots = rows.filter("slots is not null").alias("s").join(
+        small[1].alias("r"), (F.col("s.part") == F.col("r.part")) & (s < F.col("r.end")) & (s + F.col("s.slots") > F.col("r.first"))
+    ).select("s.sequence_id", "r.end", "r.number", F.explode(F.sequence(F.greatest(s, "r.first"), F.least(s + F.col("s.slots"), "r.end") - 1)).alias("slot"))
+    slots = slots.select("sequence_id", (F.col("number") + F.col("end") - 1 - F.col("slot")).alias("number"))
+    return written(pieces.join(slots, "number", "left").drop("number"), "packing_joined")
+
+
+def placed(pieces: DataFrame, capacity: int = CAPACITY, rows_a_part: int = ROWS_A_PART) -> DataFrame:
+    """Pieces shorter than ``capacity`` with their sequence_id, from 0, and the ``step`` that put them there."""
+    spark = pieces.sparkSession
+    highs = sorted({capacity // k for k in BANDS if capacity // k} | {1}, reverse=True)
+    band = F.lit(0)
+    for k, high in enumerate(highs):
+        band = F.when(F.col("length") <= high, k).otherwise(band)
+    short = pieces.filter(F.col("length") < capacity)
+    sizes = F.sum("length"), F.min("length"), F.max("length")
+    found = short.groupBy(band.alias("band")).agg(F.count("*"), *sizes).collect()
+    gaps = spark.createDataFrame([], "sequence_id long, free long")
+    done = [spark.createDataFrame([], f"{PIECE}, sequence_id long, step int")]
+    opened = step = 0
+    for k, n, total, least, longest in sorted(tuple(r) for r in found):
+        left, first = short.filter(band == k).select(*(x.split()[0] for x in PIECE.split(", "))), True
+        while n:
+            if not first or not opened:  # new sequences are offered too; the sweep takes them last
+                more = max(-(-total // capacity), -(-n // (capacity // least)))
+                gaps = gaps.unionByName(spark.range(opened, opened + more, 1, 1 + more // rows_a_part).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("free")))
+                opened += more
+            first = False
+            rows = swept(left, gaps.filter(F.col("free") >= least), longest, 1 + (n + opened) // rows_a_part)
+            is_open = F.col("sequence_id").isNull()
+            counts = rows.groupBy("part").agg(F.count_if(is_open), F.coalesce(F.sum("slots"), F.lit(0))).collect()
+            pairs, left = rows.filter("sequence_id is not null and slots is null"), rows.filter(is_open)
+            runs = across_parts(sorted(tuple(r) for r in counts))
+            if runs[0]:
+                rest = joined_across(rows, runs)
+                pairs, left = pairs.unionByName(rest.filter("sequence_id is not null"), allowMissingColumns=True), rest.filter(is_open)
+            n = sum(r[1] for r in counts) - sum(end - begin for _, begin, end, _ in runs[0])
+            columns = [x.split()[0] for x in PIECE.split(", ")]
+            pairs, left = pairs.select(*columns, "sequence_id", F.lit(step).alias("step")), left.select(*columns)
+            if n:
+                total, least, longest = left.agg(*sizes).first()
+            taken = pairs.select("sequence_id", (-F.col("length")).alias("free"))
+            gaps = written(gaps.unionByName(taken).groupBy("sequence_id").agg(F.sum("free").alias("free")).filter("free > 0"), "packing_gaps")
+            done.append(pairs)
+            step += 1
+    out = done[0]
+    for pairs in done[1:]:
+        out = out.unionByName(pairs)
+    return out
+
+
+def place(pieces: DataFrame, capacity: int = CAPACITY, rows_a_part: int = ROWS_A_PART) -> DataFrame:
+    """Adds sequence_id and offset to rows of (doc_id, piece, start, length, ids_crc32, row).
+
+    ``row`` is any number of the row's own, from 0; a full piece is a sequence by itself, with a
+    number below 0.
+    """
+    columns = [x.split()[0] for x in PIECE.split(", ")]
+    own = Window.partitionBy("sequence_id").orderBy("step", F.desc("length"), "doc_id", "piece", "start", "ids_crc32")
+    before = F.coalesce(F.sum("length").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    short = placed(pieces, capacity, rows_a_part).select(*columns, "sequence_id", before.alias("offset"))
+    full = pieces.filter(F.col("length") == capacity).select(*columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return short.unionByName(full)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, **paths: str) -> DataFrame:
@@ -229,4 +276,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     their own; pieces of equal length are interchangeable, and ties go by id. An empty table
     gives an empty result.
     """
-    return place(written(token_pieces(docs, id_col, text_col, capacity, **paths), "pieces"), capacity)
+    pieces = token_pieces(docs, id_col, text_col, capacity, **paths).withColumn("row", F.monotonically_increasing_id())
+    return place(written(pieces, "pieces"), capacity)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -125,26 +126,58 @@ def test_packing(docs):
     assert len(by) <= sum(r.length for r in rows) // 1024 + 2
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_plan_places_every_rank_once(seed):
-    rng = np.random.default_rng(seed)
-    counts = {int(n): int(rng.integers(1, 200)) for n in rng.integers(1, 65, 30)}
-    plan = packing.Plan(counts, 64)
-    filled: dict[int, list] = {}
-    for length, (first, to, at) in plan.arrays().items():
-        for rank in range(counts[length]):
-            k = np.searchsorted(first, rank, side="right") - 1
-            filled.setdefault(int(to[k] + rank - first[k]), []).append((int(at[k]), length))
-    total = sum(n * c for n, c in counts.items())
-    assert sum(length for parts in filled.values() for _, length in parts) == total
-    for parts in filled.values():
+def check_sequences(rows, lengths, capacity):
+    """Every piece is placed once, gapless from 0; returns the number of sequences."""
+    assert Counter((r.doc_id, r.length) for r in rows) == Counter(enumerate(lengths))
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
         at = 0
         for offset, length in sorted(parts):
             assert offset == at
             at += length
-        assert at <= 64
-    least = max(total / 64, sum(c for n, c in counts.items() if n > 32))
-    assert len(filled) == plan.n_sequences <= least * 1.1 + 2
+        assert at <= capacity
+    return len(by)
+
+
+@pytest.mark.parametrize(
+    ("name", "capacity", "rows_a_part"),
+    [("even", 64, 1000), ("even", 64, 40), ("even", 64, 7), ("small", 64, 25), ("thirds", 64, 30), ("full", 64, 50), ("ones", 1, 50)],
+)
+def test_supersteps_pack_as_best_fit_does(spark, name, capacity, rows_a_part):
+    """As few sequences as the plain best-fit decreasing loop, whether one part sweeps all or many do."""
+    rng = np.random.default_rng(3)
+    lengths = {
+        "even": rng.integers(1, 65, 240), "small": rng.integers(1, 6, 300), "thirds": rng.integers(17, 30, 150),
+        "full": np.append(rng.integers(1, 9, 40), [64] * 40), "ones": np.ones(60, int),
+    }[name].tolist()
+    pieces = spark.createDataFrame([(i, 0, 0, n, 7, i) for i, n in enumerate(lengths)], packing.PIECE + ", row long")
+    got = check_sequences(packing.place(pieces, capacity, rows_a_part).collect(), lengths, capacity)
+    gaps: list[int] = []  # of the plain loop
+    for n in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= n]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else capacity) - n)
+    assert got <= len(gaps) * 1.02 + 1
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_slots_across_parts(seed):
+    """Numbers of runs pair each piece with the last slot before it that none has taken."""
+    rng = random.Random(seed)
+    counts = [(part, rng.choice([0, 1, 5]), rng.choice([0, 2, 4])) for part in range(8)]
+    pieces, slots = packing.across_parts(counts)
+    piece_of = {number + i: (part, first + i) for part, first, end, number in pieces for i in range(end - first)}
+    slot_of = {number + i: (part, end - 1 - i) for part, first, end, number in slots for i in range(end - first)}
+    stack, want = [], {}
+    for part, n_pieces, n_slots in counts:
+        for i in range(n_pieces):
+            if stack:
+                want[part, i] = stack.pop()
+        stack += [(part, i) for i in range(n_slots)]
+    assert {piece_of[n]: slot_of[n] for n in piece_of} == want and piece_of.keys() == slot_of.keys()
 
 
 def test_tokens_agree_with_the_library():
