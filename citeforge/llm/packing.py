@@ -116,14 +116,15 @@ def token_pieces(
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-SWEPT = f"{PIECE}, sequence_id long, part int, at long, slots long"
+SWEPT = f"{PIECE}, sequence_id long, part int, at long, slots long, free long"
 
 
 def swept(pieces: DataFrame, gaps: DataFrame, longest: int, parts: int) -> DataFrame:
     """Pieces with the sequence of their successor gap, as far as it lies in their part of the sort.
 
     ``at`` counts a part's pieces without one; ``slots`` is set for gaps that the part leaves over,
-    whose slots are counted from ``at``. A gap has a slot for each ``longest`` that it holds.
+    whose slots are counted from ``at``. A gap has a slot for each ``longest`` that it holds. Where
+    all rows fit one part, all gaps come back instead, and ``free`` is what the pieces left of them.
     """
     offered = gaps.select(
         *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in PIECE.split(", "))),
@@ -135,22 +136,28 @@ def swept(pieces: DataFrame, gaps: DataFrame, longest: int, parts: int) -> DataF
     )
     # Gaps stand before pieces of their size, and of gaps that hold all pieces the tightest stands last.
     order = [F.desc("size"), F.desc(F.col("slots") > 0), F.desc("free"), "sequence_id", "doc_id", "piece", "start", "ids_crc32"]
-    rows = wanted.unionByName(offered).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = wanted.unionByName(offered)
+    rows = (rows.repartition(1) if parts == 1 else rows.repartitionByRange(parts, *order)).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, open_pieces = TaskContext.get().partitionId(), 0
-        stack: list[list[int]] = []  # gaps, the smallest last: sequence, free slots
+        stack: list[list[int]] = []  # gaps, the smallest last: sequence, slots, free
+        seen: list[list[int]] = []
         for batch in batches:
             to: list[int | None] = []
             at: list[int | None] = []
             slots = batch.column("slots").to_pylist()
-            for n, sequence in zip(slots, batch.column("sequence_id").to_pylist(), strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("sequence_id", "free", "length"))
+            for n, sequence, free, length in zip(slots, *columns, strict=True):
                 if n:
-                    stack.append([sequence, n])
+                    stack.append([sequence, n, free])
+                    if parts == 1:
+                        seen.append(stack[-1])
                 elif stack:
                     to.append(stack[-1][0])
                     at.append(None)
                     stack[-1][1] -= 1
+                    stack[-1][2] -= length
                     if not stack[-1][1]:
                         stack.pop()
                 else:
@@ -160,14 +167,14 @@ def swept(pieces: DataFrame, gaps: DataFrame, longest: int, parts: int) -> DataF
             of_pieces = batch.filter(pa.array(np.array(slots, np.int64) == 0))
             n = len(to)
             yield pa.RecordBatch.from_arrays(
-                [*of_pieces.columns[:5], pa.array(to, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(at, pa.int64()), pa.nulls(n, pa.int64())],
+                [*of_pieces.columns[:5], pa.array(to, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(at, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
                 names=[x.split()[0] for x in SWEPT.split(", ")],
             )
-        if stack and parts > 1:
-            sequence, n = np.array(stack, np.int64).T
+        if seen or stack:
+            sequence, n, free = np.array(seen or stack, np.int64).T
             own = [pa.nulls(len(n), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [*own, pa.array(sequence), pa.array([part] * len(n), pa.int32()), pa.array(np.cumsum(n) - n), pa.array(n)],
+                [*own, pa.array(sequence), pa.array([part] * len(n), pa.int32()), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(free)],
                 names=[x.split()[0] for x in SWEPT.split(", ")],
             )
 
@@ -231,7 +238,8 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY, rows_a_part: int = ROWS_
                 gaps = gaps.unionByName(spark.range(opened, opened + more, 1, 1 + more // rows_a_part).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("free")))
                 opened += more
             first = False
-            rows = swept(left, gaps.filter(F.col("free") >= least), longest, 1 + (n + opened) // rows_a_part)
+            parts = 1 + (n + opened) // rows_a_part
+            rows = swept(left, gaps if parts == 1 else gaps.filter(F.col("free") >= least), longest, parts)
             is_open = F.col("sequence_id").isNull()
             counts = rows.groupBy("part").agg(F.count_if(is_open), F.coalesce(F.sum("slots"), F.lit(0))).collect()
             pairs, left = rows.filter("sequence_id is not null and slots is null"), rows.filter(is_open)
@@ -244,8 +252,11 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY, rows_a_part: int = ROWS_
             pairs, left = pairs.select(*columns, "sequence_id", F.lit(step).alias("step")), left.select(*columns)
             if n:
                 total, least, longest = left.agg(*sizes).first()
-            taken = pairs.select("sequence_id", (-F.col("length")).alias("free"))
-            gaps = written(gaps.unionByName(taken).groupBy("sequence_id").agg(F.sum("free").alias("free")).filter("free > 0"), "packing_gaps")
+            if parts == 1:
+                gaps = rows.filter("slots is not null and free > 0").select("sequence_id", "free")
+            else:
+                taken = pairs.select("sequence_id", (-F.col("length")).alias("free"))
+                gaps = written(gaps.unionByName(taken).groupBy("sequence_id").agg(F.sum("free").alias("free")).filter("free > 0"), "packing_gaps")
             done.append(pairs)
             step += 1
     out = done[0]
