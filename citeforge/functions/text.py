@@ -107,6 +107,10 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+#: Blanks at the ends of a field; the built-in trim takes spaces alone.
+WHITE = " \t\r\n\f\v"
+
+
 def strip(text: Column, chars: str) -> Column:
     return F.trim(text, F.lit(chars))
 
@@ -218,7 +222,7 @@ def limit_headers(headers: Column) -> Column:
 
 
 def truthy(value: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(value.cast("string"))).isin("1", "true", "yes", "y"), F.lit(False))
+    return F.coalesce(F.lower(strip(value.cast("string"), WHITE)).isin("1", "true", "yes", "y"), F.lit(False))
 
 
 def as_int(value: Column) -> Column:
@@ -227,7 +231,7 @@ def as_int(value: Column) -> Column:
 
 def first_filled(*values: Column) -> Column:
     """The first value that isn't blank, trimmed."""
-    return F.coalesce(*(F.nullif(F.trim(v), F.lit("")) for v in values))
+    return F.coalesce(*(F.nullif(strip(v, WHITE), F.lit("")) for v in values))
 
 
 def percent(part: Column, whole: Column) -> Column:

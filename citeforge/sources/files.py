@@ -41,7 +41,7 @@ def references(publications: DataFrame) -> DataFrame:
     own = publications.filter("metadata is not null")
     each = own.select(F.coalesce(as_int(F.col("metadata.id")), as_int(F.col("id"))).alias("publication_id"), F.explode("metadata.references").alias("r"))
     target = as_int(F.col("r.targetPublication"))
-    return each.filter(F.trim("r.context") != "").select(
+    return each.filter(squeeze(F.col("r.context")) != "").select(
         "publication_id", as_int(F.col("r.id")).alias("reference_id"), as_int(F.col("r.`order`")).cast("int").alias("reference_order"), squeeze(F.col("r.context")).alias("context"),
         "r.year", F.col("r.journalCode").alias("journal_code"), F.when(target > 0, target).alias("target_id"), "r.authors",
     )

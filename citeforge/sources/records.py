@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from citeforge.functions import fixed
 from citeforge.functions.identifiers import normalize_doi_form, normalize_doi_works
-from citeforge.functions.text import latest_year, let, normalize_casefold, squeeze, tokens
+from citeforge.functions.text import WHITE, latest_year, let, normalize_casefold, squeeze, strip, tokens
 from citeforge.operators.ranking import best
 
 # --- TEI ---------------------------------------------------------------------------------------------
@@ -55,19 +56,29 @@ def _bibl(bibl) -> dict:
     }
 
 
+def _tei_files(spark: SparkSession, directory: str, suffix: str) -> DataFrame:
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(directory)
+    return found.select(F.regexp_extract("path", rf"([^/]+){re.escape(suffix)}$", 1).alias("publication_id"), "content")
+
+
+def first_place(files: DataFrame) -> DataFrame:
+    """Of files of one publication (publication_id, place, content) those of its least place."""
+    chosen = files.groupBy("publication_id").agg(F.min("place").alias("place"))
+    return files.join(chosen, ["publication_id", "place"]).select("publication_id", "content")
+
+
 def read_tei(spark: SparkSession, directories: list[str], suffix: str = ".tei.xml") -> DataFrame:
-    """Structured references of <publication id>.tei.xml files, numbered from 1 in each.
+    """``tei_references`` of <publication id>.tei.xml files; of several directories the first that has a
+    publication counts."""
+    files = [_tei_files(spark, d, suffix).withColumn("place", F.lit(i)) for i, d in enumerate(directories)]
+    return tei_references(first_place(functools.reduce(DataFrame.unionByName, files)))
+
+
+def tei_references(files: DataFrame) -> DataFrame:
+    """Structured references of documents (publication_id, content), numbered from 1 in each.
 
-    Of several directories the first that has a publication counts. A file that is no XML gives no
-    rows. Years, DOIs and surnames are then taken by column functions.
+    A document that is no XML gives no rows. Years, DOIs and surnames are then taken by column functions.
     """
-    files = None
-    for i, d in enumerate(directories):
-        found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(d)
-        found = found.select(F.regexp_extract("path", rf"([^/]+){re.escape(suffix)}$", 1).alias("publication_id"), F.lit(i).alias("place"), "content")
-        files = found if files is None else files.unionByName(found)
-    chosen = files.groupBy("publication_id").agg(F.min("place").alias("place"))
-    files = files.join(chosen, ["publication_id", "place"]).select("publication_id", "content")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in _TEI.split(", ")]
@@ -97,10 +108,12 @@ _TRAINING = "publication_id string, reference_order int, main string, author str
 
 
 def read_training_tei(spark: SparkSession, directory: str) -> DataFrame:
-    """(publication_id, reference_order, query) of training files, whose entries start ``N.``."""
-    suffix = ".training.references.tei.xml"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(directory)
-    files = files.select(F.regexp_extract("path", rf"([^/]+){re.escape(suffix)}$", 1).alias("publication_id"), "content")
+    """``training_queries`` of <publication id>.training.references.tei.xml files."""
+    return training_queries(_tei_files(spark, directory, ".training.references.tei.xml"))
+
+
+def training_queries(files: DataFrame) -> DataFrame:
+    """(publication_id, reference_order, query) of training documents, whose entries start ``N.``."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -142,8 +155,12 @@ def _identified(ids: Column) -> tuple[Column, Column]:
 
 
 def read_oai(spark: SparkSession, path: str) -> DataFrame:
-    """Dublin Core records of a repository's XML answers."""
-    raw = spark.read.format("xml").option("rowTag", "record").option("ignoreNamespace", True).schema(OAI_RECORD).load(path)
+    """``oai_records`` of a repository's XML answers."""
+    return oai_records(spark.read.format("xml").option("rowTag", "record").option("ignoreNamespace", True).schema(OAI_RECORD).load(path))
+
+
+def oai_records(raw: DataFrame) -> DataFrame:
+    """Dublin Core records (columns as in OAI_RECORD) as flat rows."""
     clean = lambda n: F.filter(F.transform(F.coalesce(F.col(f"metadata.dc.{n}"), F.array().cast(_DC)), squeeze), lambda x: x != "")
     first = lambda n: F.coalesce(F.try_element_at(clean(n), F.lit(1)), F.lit(""))
     doi, url = _identified(clean("identifier"))
@@ -158,6 +175,10 @@ def read_oai(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _lines_of(text: Column) -> Column:
+    return F.transform(F.split(text, "\n"), lambda x: strip(x, WHITE))
+
+
 def _after(lines: Column, prefix: str) -> Column:
     """What follows a prefix in the lines that have it."""
     return F.transform(F.filter(lines, lambda x: x.startswith(prefix)), lambda x: squeeze(F.substring(x, F.lit(len(prefix) + 1), F.length(x))))
@@ -183,14 +204,14 @@ def record_page(markdown: Column, article_id: Column) -> Column:
         d = _described(lines, "(19[0-9]{2}|20[0-3][0-9])")
         return F.struct(F.coalesce(named, F.concat(F.lit("article/"), article_id)).alias("oai_identifier"), article_id.alias("article_id"), *(c.alias(n) for n, c in d.items()))
 
-    return F.when(markdown.contains("Markdown Content:"), let(F.transform(F.split(section, "\n"), F.trim), of))
+    return F.when(markdown.contains("Markdown Content:"), let(_lines_of(section), of))
 
 
 def record_list(pages: DataFrame) -> DataFrame:
     """One row per titled record of Markdown list pages (columns markdown, set_spec, set_name)."""
     chunks = F.split("markdown", r"\n## OAI Record:\s*")
     each = pages.select("set_spec", "set_name", F.explode(F.slice(chunks, F.lit(2), F.size(chunks))).alias("chunk"))
-    each = each.withColumn("lines", F.transform(F.split("chunk", "\n"), F.trim))
+    each = each.withColumn("lines", _lines_of(F.col("chunk")))
     d = _described(F.col("lines"), fixed.YEAR_WIDE)
     rows = each.select(F.element_at("lines", 1).alias("oai_identifier"), "set_spec", "set_name", *(d[n].alias(n) for n in ("title", "creators", "year", "doi", "url", "source")))
     return rows.filter("title <> ''").withColumn("source", F.coalesce(F.nullif("source", F.lit("")), "set_name"))
@@ -258,7 +279,7 @@ def form_key(html: Column, name: str = "key") -> Column:
 
 def citation_answer(raw: Column) -> Column:
     """The numeric id that ends a pipe-separated answer, else ''."""
-    last = F.trim(F.element_at(F.split(F.trim(raw), r"\|"), -1))
+    last = strip(F.element_at(F.split(raw, r"\|"), -1), WHITE)
     return F.when(last.rlike("^[0-9]+$"), last).otherwise(F.lit(""))
 
 
