@@ -16,7 +16,7 @@ def test_publications(spark, tmp_path):
     p = tmp_path / "p.jsonl"
     rows = [
         {"id": 1, "metadata": {"id": "7", "references": [{"id": 3, "order": "2", "context": " a\n b ", "targetPublication": "12"}, {"id": "x", "order": None, "context": "  "}]}},
-        {"id": "9", "metadata": {"references": [{"context": "c", "targetPublication": 0}]}},
+        {"id": "9", "metadata": {"references": [{"context": "c", "targetPublication": 0}, {"context": "\t\n"}]}},
         {"id": 2},
     ]
     p.write_text("\n".join(json.dumps(r) for r in rows) + "\n\n")
@@ -97,6 +97,10 @@ def test_harvested(spark, tmp_path):
     assert (m.oai_identifier, m.title, list(m.creators), m.year, m.doi, m.url) == ("oai:7", "One two", ["Doe", "Roe"], 2001, "10.1234/q", "http://a")
     pages = spark.createDataFrame([("head\n## OAI Record: r1\nTitle A b\nDate 1850\n\n## OAI Record: r2\nDate 2000\n\n## OAI Record: r3\nTitle C\nSource S", "spec", "Name")], "markdown string, set_spec string, set_name string")
     assert [(r.oai_identifier, r.title, r.year, r.source) for r in records.record_list(pages).collect()] == [("r1", "A b", 1850, "Name"), ("r3", "C", None, "S")]
+    # Lines that end in their own number keep it.
+    lines = "Markdown Content:\n" + "\n".join(f"Author or Creator A{i}{i}" for i in range(1, 9))
+    m = spark.createDataFrame([(lines, "7")], "m string, i string").select(records.record_page(F.col("m"), F.col("i")).alias("r")).first().r
+    assert list(m.creators) == [f"A{i}{i}" for i in range(1, 9)]
     sets = spark.createDataFrame([("setName J  Birds setSpec jb \nsetName K setSpec k-1 \n",)], "m string").select(records.set_list(F.col("m")).alias("s")).first().s
     assert [tuple(x) for x in sets] == [("J Birds", "jb"), ("K", "k-1")]
 
@@ -106,7 +110,7 @@ def test_form_pages(spark):
     links = "<a href='https://doi.org/10.1/x'>x</a><a href='https://other/'>y</a><a href='https://doi.org/10.1/y'>z</a>"
     df = spark.createDataFrame([(1, page, 3), (2, links, 3)], "batch long, html string, n int")
     assert [tuple(r) for r in records.form_answers(df).orderBy("batch", "pos").collect()] == [(1, 1, "10.1/a"), (1, 2, None), (1, 3, "10.1/c"), (2, 1, "10.1/x"), (2, 2, "10.1/y"), (2, 3, None)]
-    one = spark.createDataFrame([("J|1|2||a||k|12345", "<input name='key' type=x value='abc'>")], "raw string, html string")
+    one = spark.createDataFrame([("J|1|2||a||k| 12345\n", "<input name='key' type=x value='abc'>")], "raw string, html string")
     assert tuple(one.select(records.citation_answer(F.col("raw")), records.form_key(F.col("html"))).first()) == ("12345", "abc")
 
 
