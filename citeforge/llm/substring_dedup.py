@@ -114,8 +114,12 @@ def levels(names: np.ndarray, rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray
         low, high = np.minimum.reduceat(lo, head), np.maximum.reduceat(hi, head)
         # What is no pair depends on both neighbours, which are then not its partners.
         free = ~paired & inner[head]
-        low[free] = np.minimum(low[free], lo[head[free] - 1])
-        high[free] = np.maximum(high[free], hi[last[free] + 1])
+        before, after = head[free] - 1, last[free] + 1
+        # A neighbour of the same name is half of a pair, or else it would stand in the run: its partner counts.
+        before = before - (name[before] == name[head[free]])
+        after = after + (name[after] == name[head[free]])
+        low[free] = np.minimum(low[free], lo[before])
+        high[free] = np.maximum(high[free], hi[after])
         new[(new == 0) & inner[head]] = 1
         name, start, lo, hi = new, start[head], low, high
         yield name, start, lo, hi

@@ -266,6 +266,37 @@ def test_repeats_on_small_alphabets(spark):
         test_suffix_strings(docs)
 
 
+def anchors_of_windows(texts: list[str]) -> list[dict[int, tuple[int, int]]]:
+    """Of each text: window to (name of its anchor, the anchor's place in the window)."""
+    import pyarrow as pa
+
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "tag": pa.array([0] * len(texts), pa.int64())})
+    out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
+    for q, _, doc, _, p, n, o, _ in substring_dedup.word_anchors(batch, 50, lambda t: substring_dedup.word_names(t, 0)):
+        for row in zip(q.tolist(), doc.tolist(), p.tolist(), n.tolist(), o.tolist(), strict=True):
+            out[row[1]] |= {row[2] + i: (row[0], row[4] - i) for i in range(row[3])}
+    return out
+
+
+def test_equal_windows_have_equal_anchors():
+    """Windows with runs at their ends, between all kinds of neighbours, the run's own word too."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    for _ in range(400):
+        own = [rng.choice(words) for _ in range(rng.randint(30, 50))]
+        run = [rng.choice(words)] * rng.randint(1, 12)
+        tail = [rng.choice(words)] * (50 - len(own) - min(len(run), 50 - len(own)))
+        window = ([*run[: 50 - len(own)], *own, *tail])[:50]
+        texts, places = [], []
+        for _ in range(8):
+            before = [rng.choice([*words, window[0]]) for _ in range(rng.randint(0, 6))] + [window[0]] * rng.randint(0, 3)
+            after = [window[-1]] * rng.randint(0, 3) + [rng.choice([*words, window[-1]]) for _ in range(rng.randint(0, 6))]
+            texts.append(" ".join([*before, *window, *after]))
+            places.append(len(before))
+        found = anchors_of_windows(texts)
+        assert len({own[at] for own, at in zip(found, places, strict=True)}) == 1, window
+
+
 def test_versions_of_one_document(spark):
     """Rows that share an id or have none are documents of their own; others are judged as ever."""
     rng = np.random.default_rng(5)
@@ -278,6 +309,22 @@ def test_versions_of_one_document(spark):
     test_suffix_strings(docs)
 
 
+@pytest.mark.parametrize("ids", [(1, 5), (None, 10)])
+@pytest.mark.parametrize("copies", [2, 1000])
+def test_repeated_rows_with_open_ends(spark, ids, copies):
+    """A later row has the opening of a repeated one: the repeated rows lose nothing, however many."""
+    noise = random.Random(2).choices("abcdefghijklmnopqrstuvwxyz ", k=1200)
+    t, own = "".join(noise).strip(), " ".join(f"q{i}" for i in range(60))
+    words = " ".join(f"{a}{b}" for a, b in zip(noise, noise[1:], strict=False) if a != " " != b)
+    for op, text, opening in ((suffix_dedup.suffix_digest, t, t[:600]), (substring_dedup.substring_digest, words, " ".join(words.split()[:100]))):
+        docs = spark.createDataFrame([(ids[0], text)] * copies + [(ids[1], f"{own} {opening}")], "doc_id long, text string")
+        got = op(docs).collect()
+        assert len(got) == copies + 1
+        assert {r.n_removed for r in got if r.doc_id == ids[0]} == {0}
+        kept = own + " " * (op is suffix_dedup.suffix_digest)
+        assert [r.kept_sha256 for r in got if r.doc_id == ids[1]] == [sha(kept)]
+
+
 def test_words_that_polynomials_modulo_a_power_of_two_confuse(spark):
     """Thue-Morse strings: equal under such a polynomial whatever its base."""
     bits = [bin(i).count("1") % 2 for i in range(1024)]
