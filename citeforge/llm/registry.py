@@ -71,12 +71,19 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_docs(spark, sf_dir)).drop("text_tag")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeforge.llm.ranked_search import ranked_search
+
+    return ranked_search(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_quality_rules, op2_best_fit_packing, op3_substring_dedup, op4_suffix_array_dedup, op5_url_filter,
             op6_line_dedup, op7_secret_scan, op8_exact_dedup, op9_byte_bpe, op10_simhash_dedup,
+            op13_ranked_search,
         )
     }
 
@@ -89,4 +96,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_suffix_array_dedup": oracle.OP4,
         "op6_line_dedup": oracle.OP6,
         "op8_exact_dedup": oracle.OP8,
+        "op13_ranked_search": oracle.OP13,
     }
