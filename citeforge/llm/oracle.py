@@ -75,3 +75,26 @@ sc AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (1
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
 FROM sc WHERE score > 0 QUALIFY rank <= 10
 """
+
+#: Every phrase of up to five words; every part of a longer candidate.
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]') AS ps FROM documents),
+pieces AS (SELECT d, lang, unnest(ps) AS piece, generate_subscripts(ps, 1) AS p FROM d),
+ws AS (SELECT d, p, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+words AS (SELECT d, p, lang, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM ws),
+suffix AS (SELECT lang, x AS w1, lead(x, 1) OVER o AS w2, lead(x, 2) OVER o AS w3, lead(x, 3) OVER o AS w4, lead(x, 4) OVER o AS w5 FROM words WINDOW o AS (PARTITION BY d, p ORDER BY i)),
+f AS (SELECT lang, 1 AS k, w1 AS phrase, count(*) AS f FROM suffix GROUP BY ALL
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM suffix WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM suffix WHERE w3 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM suffix WHERE w4 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 5, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5, count(*) FROM suffix WHERE w5 IS NOT NULL GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+inner_ AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(f) AS longer FROM cand, range(1, 5) a(i), range(2, 5) b(m) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+cut AS (SELECT c.lang, c.phrase, c.f AS a, j, l.f AS l, r.f AS r, n, ((1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cand c JOIN range(1, 5) js(j) ON j < c.k JOIN n ON n.lang = c.lang
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1 : c.k], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best LEFT JOIN inner_ USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a QUALIFY rank <= 2000
+"""

@@ -71,6 +71,18 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_docs(spark, sf_dir)).drop("text_tag")
 
 
+def op11_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeforge.llm.rotated_codes import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeforge.llm.collocations import collocations
+
+    return collocations(_docs(spark, sf_dir))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeforge.llm.ranked_search import ranked_search
 
@@ -83,7 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_quality_rules, op2_best_fit_packing, op3_substring_dedup, op4_suffix_array_dedup, op5_url_filter,
             op6_line_dedup, op7_secret_scan, op8_exact_dedup, op9_byte_bpe, op10_simhash_dedup,
-            op13_ranked_search,
+            op11_rotated_codes, op12_collocations, op13_ranked_search,
         )
     }
 
@@ -96,5 +108,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_suffix_array_dedup": oracle.OP4,
         "op6_line_dedup": oracle.OP6,
         "op8_exact_dedup": oracle.OP8,
+        "op12_collocations": oracle.OP12,
         "op13_ranked_search": oracle.OP13,
     }

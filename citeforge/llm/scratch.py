@@ -6,6 +6,7 @@ import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no folder and runs on this machine alone, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints"
@@ -42,6 +43,20 @@ def dropped(*tables: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def numbered(df: DataFrame, name: str, label: str) -> DataFrame:
+    """``df`` with numbers from 0 without gaps in a column ``name``, in no given order. The rows are written
+    with their places, so the numbers never change; the driver sees one size a part."""
+    placed = written(df.withColumn("_place", F.monotonically_increasing_id()), label)
+    sizes = placed.groupBy(F.shiftright("_place", 33).alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect()
+    before, offsets = 0, []
+    for r in sorted(sizes, key=lambda r: r["_part"]):
+        offsets.append((r["_part"], before))
+        before += r["n"]
+    small = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part long, _before long"))  # a row a part
+    at = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", F.shiftright("_place", 33)).join(small, "_part").withColumn(name, at).drop("_part", "_place", "_before")
+
+
 def apart(df: DataFrame) -> DataFrame:
     """An exchange between an aggregate and a join on the same key.
 

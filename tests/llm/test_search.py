@@ -10,7 +10,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from citeforge.llm import collocations as co
 from citeforge.llm import ranked_search as rs
+from citeforge.llm import rotated_codes as rc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -70,3 +72,105 @@ def test_ranked_search_of_nothing(spark, docs, empty):
     assert rs.ranked_search(empty, items).count() == 0
     assert rs.ranked_search(docs, items.limit(0)).count() == 0
     assert rs.ranked_search(docs.filter("text is null"), items).count() == 0
+
+
+def expected_collocations(rows: list[tuple], least: int, first: int, max_n: int = 5) -> Counter:
+    f, n = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(LOWER)):
+            w = re.findall("[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, tuple(w[i : i + k])) for i in range(len(w)) for k in range(1, max_n + 1) if i + k <= len(w))
+    cands = {p: a for p, a in f.items() if len(p[1]) > 1 and a >= least}
+    inside = Counter()
+    for (lang, p), a in cands.items():
+        for i in range(len(p)):
+            for j in range(i + 1, len(p) + 1):
+                if j - i < len(p):
+                    inside[(lang, p[i:j])] = max(inside[(lang, p[i:j])], a)
+    by = {}
+    for (lang, p), a in cands.items():
+        if inside[(lang, p)] >= a:
+            continue
+        score, _, left, right = min((1000 * a * n[lang] // (f[(lang, p[:k])] * f[(lang, p[k:])]), k, f[(lang, p[:k])], f[(lang, p[k:])]) for k in range(1, len(p)))
+        by.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), left, right, n[lang]))
+    return Counter((lang, rank, p.decode(), -a, x, y, m, -s) for lang, own in by.items() for rank, (s, a, p, x, y, m) in enumerate(sorted(own)[:first], 1))
+
+
+def _speech(rng: random.Random, n: int) -> str:
+    words = ["a", "A", "b", "c", "dé", "É", "日本", "x\x1fy", "e"]
+    return "".join(rng.choice(words) + rng.choice([" "] * 12 + ["\t", ", ", ".", "\n", "\r", "  "]) for _ in range(n))
+
+
+@pytest.mark.parametrize(("sent_words", "share"), [(co.SENT_WORDS, 256), (0, 256), (co.SENT_WORDS, 6), (0, 2)])
+def test_collocations(spark, monkeypatch, sent_words, share):
+    """Words sent or joined; prefixes of a large share split by further words."""
+    monkeypatch.setattr(co, "SHARE", share)
+    rng = random.Random(share)
+    rows = [(_speech(rng, rng.randint(0, 120)), rng.choice(["en", "de", None, "", "und"]), 1, "p") for _ in range(60)]
+    rows += [("b c b c b c b c b c", "en", 1, "p")] * 30 + [(None, "en", 1, "p"), ("", None, 1, "p"), ("zz yy. zz yy", "fr", 1, "p")]
+    frame = spark.createDataFrame(rows, "text string, lang string, rank long, phrase string").repartition(5)
+    for least, first, max_n in ((4, 2000, 5), (1, 7, 3)):
+        got = co.collocations(frame, least=least, first=first, sent_words=sent_words, max_n=max_n)
+        assert Counter(tuple(r) for r in got.collect()) == expected_collocations([r[:2] for r in rows], least, first, max_n)
+
+
+def test_collocations_of_nothing(spark, docs, empty):
+    assert co.collocations(empty).count() == 0
+    assert co.collocations(docs.filter("text is null")).count() == 0
+
+
+def expected_nearest(rows: list[tuple], k: int, every: int) -> dict[int, list[tuple]]:
+    """Of each query row, in order of id: (-score, id) of its nearest."""
+    usable = [(i, np.array(v, float)) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = {}
+    for n, (i, v) in enumerate(usable):
+        if i is not None and i % every == 0:
+            scored = [(-float(rc.cosines(v[None], w[None])[0]), -1 << 63 if j is None else j) for m, (j, w) in enumerate(usable) if m != n and len(w) == len(v)]
+            out[n] = (i, sorted(scored)[:k])
+    return out
+
+
+def test_nearest_with_oddities(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(5).tolist()) for i in range(60)]
+    rows += [(i, rows[50][1]) for i in range(100, 130)] + [(50, rows[50][1])] * 2 + [(None, rows[50][1]), (None, rows[3][1]), (0, rows[7][1])]
+    rows += [(200, None), (201, []), (250, [0.0] * 5), (251, [1.0, None, 0.0, 0.0, 0.0]), (252, [float("nan")] * 5), (300, [float("inf")] + [1.0] * 4), (350, [1.0, 2.0]), (351, [2.0, 1.0]), (400, [3.0])]
+    rows += [(450, [1e-30, 0.0, 0.0, 0.0, 0.0]), (451, [1e30, 1e30, 0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame([(*r, 0.5, 1) for r in rows], "vec_id long, embedding array<double>, score double, row int").repartition(4)
+    table = sorted(rc.nearest(frame).collect(), key=lambda r: (r.query_id, r.rank))
+    assert all(r.query_id != 400 for r in table)
+    want = expected_nearest(rows, 5, 50)
+    assert Counter((q, -s, None if i == -1 << 63 else i) for q, own in want.values() for s, i in own) == Counter((r.query_id, r.score, r.vec_id) for r in table)
+    ranks = Counter((r.query_id, r.rank) for r in table)
+    assert ranks[(50, 1)] == 3 and ranks[(0, 5)] == 2 and ranks[(350, 1)] == 1 and (350, 2) not in ranks
+    assert rc.nearest(frame.limit(0)).count() == 0 and rc.nearest(frame.filter("embedding is null")).count() == 0
+
+
+def test_nearest_recall(spark, monkeypatch):
+    """Of the whole table at sf0.01, and of a larger one without clusters: at least nine in ten found, scores exact."""
+    monkeypatch.setattr(rc, "SAMPLE", 100)  # most thresholds then come from the tasks
+    monkeypatch.setattr(rc, "BLOCK_NUMBERS", 64 * 4)
+    rng = np.random.default_rng(8)
+    noise = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((3000, 48)).astype(np.float32))]
+    given = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    for rows in (given, noise):
+        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in rc.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()}
+        want = {(q, rank): (i, -s) for q, own in expected_nearest(rows, 5, 50).values() for rank, (s, i) in enumerate(own, 1)}
+        assert got.keys() == want.keys()
+        assert sum(got[x] == want[x] for x in want) >= 0.98 * len(want)
+
+
+def test_errors_of_estimates_stay_below_their_bounds():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((2000, 64)) + 0.5
+    y = rc.units(rng.standard_normal((50, 64)) + 0.5)
+    mean, turn = rc.units(x).mean(axis=0), rc.rotation(64)
+    code, *scalars = rc.encode(x, mean, turn)
+    guess, error = rc.estimates(code, *scalars, y, mean, turn)
+    true = rc.units(x) @ y.T
+    assert (np.abs(guess - true) <= error).mean() > 0.99
+    assert abs((guess - true).mean()) < 0.005
+    for t in (rotation := rc.rotation(7),):
+        assert t.shape == (256, 7) and np.allclose(rotation.T @ rotation, np.eye(7), atol=1e-5)
