@@ -20,6 +20,53 @@ def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
+def common_letters(a: str, b: str) -> int:
+    """Letters of the longest common subsequence: a bit for each letter of ``a``."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    whole = left = (1 << len(a)) - 1
+    for c in b:
+        hit = left & where.get(c, 0)
+        left = (left + hit | left - hit) & whole
+    return len(a) - left.bit_count()
+
+
+@F.pandas_udf(T.DoubleType())
+def ratio_from(left: pd.Series, right: pd.Series, least: pd.Series) -> pd.Series:
+    """``ratio`` where it is ``least`` or more, else null. Matching blocks are a common subsequence, so
+    where the longest one is too short no blocks are sought."""
+
+    def one(a: str | None, b: str | None, least: float) -> float | None:
+        if a is None or b is None or 2.0 * common_letters(a, b) / max(len(a) + len(b), 1) < least:
+            return None
+        found = SequenceMatcher(None, a, b).ratio()
+        return found if found >= least else None
+
+    return pd.Series([one(*x) for x in zip(left, right, least, strict=True)], dtype="float64")
+
+
+#: What folded texts are made of; the blank is last.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def letter_counts(folded: Column) -> Column:
+    """How often a folded text has each of ``LETTERS``: once for a text, before it meets others."""
+    return F.transform(F.array(*(F.lit(c) for c in LETTERS)), lambda c: F.length(folded) - F.length(F.replace(folded, c, F.lit(""))))
+
+
+def ratio_bound(a: Column, b: Column, a_counts: Column, b_counts: Column, blanks: bool = True) -> Column:
+    """What ``ratio`` of two folded texts can't pass: the letters that both have, repeats counted, are no
+    fewer than those in matching blocks. Without ``blanks``: of the texts without them."""
+    both = F.zip_with(a_counts, b_counts, lambda x, y: F.least(x, y))
+    gap = lambda counts: F.element_at(counts, -1)
+    common = F.aggregate(both, F.lit(0), lambda total, x: total + x)
+    size = F.length(a) + F.length(b)
+    if not blanks:
+        common, size = common - gap(both), size - gap(a_counts) - gap(b_counts)
+    return 2.0 * common / F.greatest(size, F.lit(1))
+
+
 def coverage(needle: Column, haystack: Column) -> Column:
     """Share of the needle's tokens, repeats counted, that the haystack's tokens include."""
     return F.when(F.size(needle) == 0, 0.0).otherwise(
@@ -78,11 +125,10 @@ def folded_similarity(a: Column, b: Column, known: Column | None = None) -> Colu
     return F.coalesce(known, ratio(F.when(known.isNull(), a), F.when(known.isNull(), b)))
 
 
-def similarity_bounds(a: Column, b: Column) -> tuple[Column, Column]:
-    """The least and the most that ``folded_similarity`` can be: the ratio is at most twice the shorter
-    length over both lengths."""
-    known, both = contained(a, b), F.length(a) + F.length(b)
-    return F.coalesce(known, F.lit(0.0)), F.coalesce(known, 2.0 * F.least(F.length(a), F.length(b)) / F.greatest(both, F.lit(1)))
+def similarity_bounds(a: Column, b: Column, a_counts: Column, b_counts: Column) -> tuple[Column, Column]:
+    """The least and the most that ``folded_similarity`` can be, by ``letter_counts``."""
+    known = contained(a, b)
+    return F.coalesce(known, F.lit(0.0)), F.coalesce(known, ratio_bound(a, b, a_counts, b_counts))
 
 
 def title_similarity(title: Column, context: Column, both_ways: bool = False, casefold: bool = False) -> Column:
@@ -104,6 +150,13 @@ def joined_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(_ratio_of(a, b), _ratio_of(bare(a), bare(b))))
 
 
+def joined_bounds(a: Column, b: Column, a_counts: Column, b_counts: Column) -> tuple[Column, Column]:
+    """The least and the most that ``joined_similarity`` can be."""
+    known = F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0)
+    high = F.greatest(ratio_bound(a, b, a_counts, b_counts), ratio_bound(a, b, a_counts, b_counts, blanks=False))
+    return F.coalesce(known, F.lit(0.0)), F.coalesce(known, high)
+
+
 def _ratio_of(a: Column, b: Column) -> Column:
     """The ratio where neither is empty and they differ; those rows alone go to Python."""
     need = (a != "") & (b != "") & (a != b)

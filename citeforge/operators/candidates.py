@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeforge.functions.text import normalize_text
+from citeforge.functions.similarity import letter_counts, ratio_bound, ratio_from
+from citeforge.functions.text import normalize_casefold, normalize_text
 from citeforge.operators.ranking import best, top
 
 
@@ -52,11 +53,6 @@ def relevance_search(refs: DataFrame, works: DataFrame, ref_id: str, work_id: st
     return of_refs.join(first.select("known", work_id, "shared"), "known").select(ref_id, work_id, "shared")
 
 
-def blocked_pairs(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
-    """Pairs within a block, such as the parsed and the listed references of one publication."""
-    return left.join(right, block)
-
-
 def _grams(name: Column, sizes: tuple[int, ...]) -> Column:
     """All strings of these many letters in a name."""
     of = lambda k: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: i + k - 1 <= F.length(name)), lambda i: F.substring(name, i, F.lit(k)))
@@ -120,20 +116,46 @@ def records_of_collections(refs: DataFrame, records: DataFrame, ref_id: str, rec
     return pairs.join(like, [journal, set_name], "left").filter((F.col(journal) == "") | F.col("_like")).select(ref_id, record_id, "shared")
 
 
-def aligned(listed: DataFrame, parsed: DataFrame, similarity, threshold: float, decided: DataFrame | None = None) -> DataFrame:
-    """One row per listed reference: the parsed one that a decision names, else the most similar
-    raw text of the same publication at ``threshold`` or more.
-
-    ``listed``: publication_id, reference_order, context; ``parsed``: publication_id, parsed_index,
-    raw; ``decided``: publication_id, reference_order, parsed_index.
+def alignment_pairs(listed: DataFrame, parsed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of one publication whose texts may be ``threshold`` alike: all but those that lengths or
+    letters rule out. ``listed``: publication_id and what identifies a row, context; ``parsed``:
+    publication_id, parsed_index, raw. Adds the folded texts ``_c`` and ``_r`` and ``_inside``."""
+    c, r = F.col("_c"), F.col("_r")
+    a = listed.withColumn("_c", normalize_casefold(F.col("context"))).filter(c != "").withColumn("_cc", letter_counts(c))
+    b = parsed.withColumn("_r", normalize_casefold(F.col("raw"))).filter(r != "").withColumn("_rc", letter_counts(r))
+    length = 2.0 * F.least(F.length(c), F.length(r)) >= threshold * (F.length(c) + F.length(r))
+    inside = c.contains(r) | r.contains(c)
+    pairs = a.join(b, "publication_id").filter(length | inside).withColumn("_inside", inside)
+    return pairs.filter(F.col("_inside") | (ratio_bound(r, c, F.col("_rc"), F.col("_cc")) >= threshold)).drop("_cc", "_rc")
+
+
+def aligned(listed: DataFrame, parsed: DataFrame, threshold: float, decided: DataFrame | None = None, row_id: str = "reference_order") -> DataFrame:
+    """One row per listed reference: publication_id, ``row_id``, parsed_index, alignment_score, alignment_source.
+
+    A decision (publication_id, ``row_id``, parsed_index, score) with a score of ``threshold`` or more
+    counts, if there is such a parsed reference (``match_report``); else the parsed reference of the
+    publication whose raw text is most like the context, the first of several, at ``threshold`` or more
+    (``raw_similarity``): 1 where one folded text contains the other, else the matching-blocks ratio.
+    Others have no index and no score: ``missing`` where nothing was parsed, ``missing_raw`` where
+    no text was, else ``low_alignment``.
     """
-    pairs = blocked_pairs(listed, parsed, "publication_id").withColumn("alignment_score", similarity(F.col("raw"), F.col("context")))
-    pairs = pairs.withColumn("alignment_source", F.lit("text"))
+    keys = ["publication_id", row_id]
+    listed = listed.select(*keys, "context")
+    reported = None
+    rest = listed
     if decided is not None:
-        named = decided.withColumn("_named", F.lit(True))
-        pairs = pairs.join(named, ["publication_id", "reference_order", "parsed_index"], "left")
-        pairs = pairs.withColumn("alignment_source", F.when(F.col("_named"), "report").otherwise(F.col("alignment_source")))
-        pairs = pairs.withColumn("alignment_score", F.when(F.col("_named"), 1.0).otherwise(F.col("alignment_score"))).drop("_named")
-    good = pairs.filter((F.col("alignment_source") == "report") | (F.col("alignment_score") >= threshold))
-    first = F.when(F.col("alignment_source") == "report", 0).otherwise(1)
-    return best(good, ["publication_id", "reference_order"], [first, -F.col("alignment_score"), F.col("parsed_index")])
+        good = decided.filter(F.col("score") >= threshold).join(parsed.select("publication_id", "parsed_index"), ["publication_id", "parsed_index"])
+        reported = listed.select(*keys).distinct().join(best(good.select(*keys, "parsed_index", F.round("score", 4).alias("alignment_score")), keys, [F.col("parsed_index")]), keys)
+        reported = reported.withColumn("alignment_source", F.lit("match_report"))
+        rest = listed.join(reported.select(*keys), keys, "left_anti")
+    pairs = alignment_pairs(rest, parsed, threshold)
+    need = lambda c: F.when(~F.col("_inside"), F.col(c))
+    score = F.when(F.col("_inside"), 1.0).otherwise(ratio_from(need("_r"), need("_c"), F.lit(float(threshold))))
+    alike = pairs.select(*keys, "parsed_index", score.alias("alignment_score")).filter("alignment_score is not null")
+    alike = best(alike, keys, [-F.col("alignment_score"), F.col("parsed_index")])
+    have = parsed.groupBy("publication_id").agg(F.max(F.coalesce(F.length("raw"), F.lit(0))).alias("_raw"))
+    found = rest.select(*keys).distinct().join(alike, keys, "left").join(have, "publication_id", "left")
+    other = F.when(F.col("_raw").isNull(), "missing").when(F.col("_raw") == 0, "missing_raw").otherwise("low_alignment")
+    source = F.when(F.col("parsed_index").isNotNull(), "raw_similarity").otherwise(other)
+    out = found.select(*keys, "parsed_index", F.round("alignment_score", 4).alias("alignment_score"), source.alias("alignment_source"))
+    return out if reported is None else out.unionByName(reported)

@@ -235,15 +235,16 @@ def _pairs(spark: SparkSession, sf_dir: str, parts: dict[str, Column] | None = N
     """References with the works that a search gives for them. ``parts``: more columns of a reference,
     made once for each before the join."""
     r = refs(spark, sf_dir).select("sample_index", "context", "publication_id", *(c.alias(n) for n, c in (parts or {}).items()))
-    found = _found(spark, sf_dir).join(r, "sample_index").join(works(spark, sf_dir).withColumn("w_norm", text.normalize_text(F.col("title"))), "work_id")
-    # A ratio takes far longer than its row is long: as many parts as cores, not as few as the bytes would need.
-    return found.repartition(spark.sparkContext.defaultParallelism, "sample_index", "work_id")
+    w = works(spark, sf_dir).withColumn("w_norm", text.normalize_text(F.col("title"))).withColumn("w_letters", similarity.letter_counts(F.col("w_norm")))
+    found = _found(spark, sf_dir).join(r, "sample_index").join(w, "work_id")
+    # A ratio takes far longer than its row is long: all of a shuffle's parts, not as few as the bytes would need.
+    return found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sample_index", "work_id")
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a score is made of, but for the similarity."""
     c = F.col("context")
-    p = _pairs(spark, sf_dir, {"r_norm": text.normalize_text(c), "years": text.years(c)})
+    p = _pairs(spark, sf_dir, {"r_norm": text.normalize_text(c), "r_letters": similarity.letter_counts(text.normalize_text(c)), "years": text.years(c)})
     p = p.withColumns({"r_tokens": text.tokens(F.col("r_norm")), "w_tokens": text.tokens(F.col("w_norm"))})
     return p.withColumns({
         "cov": similarity.coverage(F.col("w_tokens"), F.col("r_tokens")),
@@ -253,8 +254,29 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(spark, sf_dir).withColumn("sim", similarity.folded_similarity(F.col("w_norm"), F.col("r_norm")))
+def _scored(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
+    """With the similarity, or 0 where it can't be ``least``: enough for what only asks for one of that size."""
+    p = _parts(spark, sf_dir)
+    a, b = F.col("w_norm"), F.col("r_norm")
+    low, high = similarity.similarity_bounds(a, b, F.col("w_letters"), F.col("r_letters"))
+    p = p.withColumn("_known", F.when((low == high) | (high < least), low))
+    return p.withColumn("sim", similarity.folded_similarity(a, b, F.col("_known"))).drop("_known")
+
+
+def _leading(pairs: DataFrame, low: Column, high: Column) -> DataFrame:
+    """Of each reference the pairs that may be its best: with the most that their similarity could be (``high``, a
+    struct of status and confidence) they reach the best pair's score with the least of its (``low``)."""
+    ranked = lambda s: F.struct(scoring.rank(s["status"]).alias("rank"), s["confidence"].alias("confidence"))
+    p = pairs.withColumns({"_low": ranked(low), "_high": ranked(high)})
+    p = p.withColumn("_floor", F.max("_low").over(Window.partitionBy("sample_index")))
+    return p.filter(F.col("_high") >= F.col("_floor")).drop("_low", "_high", "_floor")
+
+
+def _leading_by(pairs: DataFrame, score) -> DataFrame:
+    """``_leading`` with the similarity that is needed. ``score``: of (coverage, similarity, authors, year match, tokens)."""
+    low, high = similarity.similarity_bounds(F.col("w_norm"), F.col("r_norm"), F.col("w_letters"), F.col("r_letters"))
+    of = lambda sim: score(F.col("cov"), sim, F.col("authors"), F.col("year_match"), F.col("n"))
+    return _leading(pairs, of(low), of(high)).withColumn("sim", similarity.folded_similarity(F.col("w_norm"), F.col("r_norm")))
 
 
 def _score_parts() -> list[Column]:
@@ -273,20 +295,20 @@ _STATUS = f"""{_FOUND}, parts AS (SELECT *, CAST(len(list_filter(wtok, lambda x:
 
 
 def _best_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best work of each reference. The ratio is computed only for works that may be the best:
-    with the most their similarity could be, they reach the best work's score with the least of its."""
-    p = _parts(spark, sf_dir)
-    low, high = similarity.similarity_bounds(F.col("w_norm"), F.col("r_norm"))
-    score = lambda sim: scoring.bibliographic_score(F.col("cov"), sim, F.col("authors"), F.col("year_match"), F.col("n"))
-    ranked = lambda s: F.struct(scoring.rank(s["status"]).alias("rank"), s["confidence"].alias("confidence"))
-    p = p.withColumns({"_low": ranked(score(low)), "_high": ranked(score(high))})
-    p = p.withColumn("_floor", F.max("_low").over(Window.partitionBy("sample_index"))).filter(F.col("_high") >= F.col("_floor")).drop("_low", "_high", "_floor")
-    s = p.withColumn("sim", similarity.folded_similarity(F.col("w_norm"), F.col("r_norm")))
+    """The best work of each reference. The ratio is computed only for works that may be the best."""
+    s = _leading_by(_parts(spark, sf_dir), scoring.bibliographic_score)
     s = s.drop("status").select("*", F.inline(F.array(scoring.bibliographic_score(*_score_parts()))))
     keep = s.select("sample_index", "work_id", "doi", "status", "confidence", F.round("cov", 4).alias("title_coverage"), "engine_score")
     return ranking.best(keep, ["sample_index"], [-scoring.rank(F.col("status")), -F.col("confidence"), -F.col("engine_score"), F.col("work_id")]).drop("engine_score")
 
 
+def _best_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample_index, status, title_coverage): what a status needs of the similarity is whether it is 0.98."""
+    s = _scored(spark, sf_dir, 0.98).drop("status").select("sample_index", "cov", scoring.bibliographic_score(*_score_parts())["status"].alias("status"))
+    by = s.groupBy("sample_index", "status").agg(F.round(F.max("cov"), 4).alias("title_coverage"))
+    return ranking.best(by, ["sample_index"], [-scoring.rank(F.col("status"))])
+
+
 @query()
 def bibliographic_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best work for each reference, by status, confidence, engine score.
@@ -298,15 +320,13 @@ def bibliographic_best(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT * FROM by_status QUALIFY row_number() OVER (PARTITION BY sample_index ORDER BY CASE status WHEN 'strong' THEN 2 WHEN 'possible' THEN 1 ELSE 0 END DESC) = 1""")
 def bibliographic_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each reference's best status over its candidates, and the largest coverage at it."""
-    s = _scored(spark, sf_dir).drop("status").select("sample_index", "cov", scoring.bibliographic_score(*_score_parts())["status"].alias("status"))
-    by = s.groupBy("sample_index", "status").agg(F.round(F.max("cov"), 4).alias("title_coverage"))
-    return ranking.best(by, ["sample_index"], [-scoring.rank(F.col("status"))])
+    return _best_status(spark, sf_dir)
 
 
 @query(f"{_STATUS} SELECT status, count(*) AS n FROM ranked WHERE rn <= 3 GROUP BY status")
 def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best candidates of each reference, counted by status."""
-    s = _scored(spark, sf_dir).drop("status").select("*", F.inline(F.array(scoring.bibliographic_score(*_score_parts()))))
+    s = _scored(spark, sf_dir, 0.0).drop("status").select("*", F.inline(F.array(scoring.bibliographic_score(*_score_parts()))))
     kept = ranking.top(s.select("sample_index", "work_id", "status", "confidence", "engine_score"), ["sample_index"], [scoring.rank(F.col("status")).desc(), F.desc("confidence"), F.desc("engine_score"), F.col("work_id")], 3)
     return kept.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -318,7 +338,7 @@ _GUARD = "status IN ('strong', 'possible') AND n >= 6"
   CASE WHEN {_GUARD} AND cov >= 0.9 AND ym AND (authors >= 0.34 OR sim >= 0.97) THEN 'strong' ELSE status END AS status FROM scored""")
 def safe_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guards for uncertain queries; a match that passes the parsed one is strong."""
-    s = _scored(spark, sf_dir).drop("status").select("*", F.inline(F.array(scoring.bibliographic_score(*_score_parts()))))
+    s = _scored(spark, sf_dir, 0.97).drop("status").select("*", F.inline(F.array(scoring.bibliographic_score(*_score_parts()))))
     own = (F.col("status"), F.col("n"), F.col("cov"), F.col("year_match"), F.col("authors"))
     safe = scoring.safe_parsed(*own, F.col("sim"))
     return s.select("sample_index", "work_id", scoring.safe_cleanup(*own).alias("safe_cleanup"), safe.alias("safe_parsed"), F.when(safe, "strong").otherwise(F.col("status")).alias("status"))
@@ -328,7 +348,7 @@ def safe_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def harvested_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with the very id preferred, scored, the best kept. No SQL, for the ratio."""
     exact = F.col("sample_index") % 10 == F.col("work_id") % 10
-    s = lookup.prefer_exact(_scored(spark, sf_dir), "sample_index", exact)
+    s = _leading_by(lookup.prefer_exact(_parts(spark, sf_dir), "sample_index", exact), scoring.harvested_score)
     s = s.drop("status").select("sample_index", "work_id", F.inline(F.array(scoring.harvested_score(*_score_parts()))))
     b = ranking.best(s, ["sample_index"], [-scoring.rank(F.col("status")), -F.col("confidence"), F.col("work_id")])
     lifted = scoring.exact_record_status(F.col("status"), F.col("confidence"), exact)
@@ -354,14 +374,16 @@ def index_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     title, found, context = F.col("parsed.title"), F.col("title"), F.col("context")
     n = F.size(text.tokens(F.col("p_title"), fixed.STOP_INDEX))
     p = p.filter(parsing.title_searchable(title, F.col("parsed.year"), n)).withColumns({
-        "sim": similarity.joined_similarity(F.col("p_title"), F.col("f_title")),
         "cov": F.greatest(similarity.fuzzy_coverage(found, title), similarity.fuzzy_coverage(title, found), similarity.fuzzy_coverage(found, context)),
         "year_match": (F.col("parsed.year") == F.col("year").cast("string")) | F.array_contains(text.years(context), F.col("year").cast("int")),
-        "jsim": similarity.joined_similarity(F.col("p_journal"), F.col("f_journal")),
         "authors": similarity.author_coverage(F.array("surname"), context), "n": n,
     })
-    own = F.col("publication_id") == F.col("work_id")
-    s = p.select("sample_index", "work_id", "sim", "cov", F.inline(F.array(scoring.index_score(F.col("sim"), F.col("cov"), F.col("year_match"), F.col("jsim"), F.col("authors"), F.col("n"), own))))
+    sides = (("p_title", "f_title"), ("p_journal", "f_journal"))
+    bounds = [similarity.joined_bounds(F.col(a), F.col(b), similarity.letter_counts(F.col(a)), similarity.letter_counts(F.col(b))) for a, b in sides]
+    score = lambda sim, jsim: scoring.index_score(sim, F.col("cov"), F.col("year_match"), jsim, F.col("authors"), F.col("n"), F.col("publication_id") == F.col("work_id"))
+    p = _leading(p.drop("status"), *(score(title_, journal) for title_, journal in zip(*bounds, strict=True)))
+    p = p.withColumns({name: similarity.joined_similarity(F.col(a), F.col(b)) for name, (a, b) in zip(("sim", "jsim"), sides, strict=True)})
+    s = p.select("sample_index", "work_id", "sim", "cov", F.inline(F.array(score(F.col("sim"), F.col("jsim")))))
     b = ranking.best(s, ["sample_index"], [-scoring.rank(F.col("status")), -F.col("confidence"), -F.col("sim"), -F.col("cov"), F.col("work_id")])
     return b.select("sample_index", "work_id", "status", "confidence", F.round("sim", 4).alias("title_similarity"), F.round("cov", 4).alias("title_coverage"))
 
@@ -380,6 +402,33 @@ def title_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("supported", scoring.pair_supported(F.col("n"), F.col("pair_similarity"), F.col("pair_coverage"))).drop("n")
 
 
+def _listed_and_parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """References as listed, as a parser returned them, and decisions of a match report.
+
+    Parsed texts lose their numbers, some letters, an end or a line's hyphen; some are swapped for a
+    text of another reference, some lack a text, some publications have none at all.
+    """
+    r = refs(spark, sf_dir).select("sample_index", "publication_id", "context", "k", "part")
+    c, k = F.col("context"), F.col("k")
+    bare = F.regexp_replace(c, r"^(\[\d+\]|\d+\.) ", "")
+    raw = (
+        F.when(k % 7 == 0, F.upper(bare)).when(k % 7 == 1, F.regexp_replace(bare, "a(s+)embly", "as- sembly")).when(k % 7 == 2, F.regexp_replace(bare, "[eo]", ""))
+        .when(k % 7 == 3, F.expr("substring(context, 1, cast(length(context) * 0.55 as int))")).when(k % 7 == 4, F.concat(F.reverse(F.split(bare, " "))[0], F.lit(" "), bare))
+        .when(k % 7 == 5, F.array_join(F.reverse(F.split(bare, " ")), " ")).otherwise(bare)
+    )
+    number = F.row_number().over(Window.partitionBy("publication_id").orderBy((k * 7919) % 1009, "k")).cast("int")
+    parsed = r.filter("publication_id % 9 <> 0").withColumn("parsed_index", number).filter((k % 11 != 0) | (F.col("publication_id") % 10 == 1))
+    parsed = parsed.select("publication_id", "parsed_index", F.when((F.col("publication_id") % 10 != 1) & (k % 13 != 0), raw).alias("raw"))
+    decided = r.filter(k % 5 == 0).select("publication_id", "sample_index", (k % 4).cast("int").alias("parsed_index"), F.when(k % 3 == 0, 0.9).otherwise(0.5).alias("score"))
+    return r.select("publication_id", "sample_index", "context"), parsed, decided
+
+
+@query()
+def aligned_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each listed reference with the parsed one of its publication, by a decision or by the texts. No SQL, for the ratio."""
+    return candidates.aligned(*_listed_and_parsed(spark, sf_dir)[:2], 0.72, _listed_and_parsed(spark, sf_dir)[2], "sample_index")
+
+
 # Every journal here is contained in a collection's name, or contains one, so the best score is 1.
 @query(f"""{o.WITH_BOTH}, jn AS (SELECT journal, count(*) AS n FROM works GROUP BY journal), cs AS (SELECT 'Calisma Dergisi ' || n_nationkey AS set_name, 'set' || n_nationkey AS set_spec FROM nation),
   pr AS (SELECT jn.*, cs.* FROM jn JOIN cs ON contains({o.fold("set_name")}, {o.fold("journal")}) OR contains({o.fold("journal")}, {o.fold("set_name")})),
@@ -607,7 +656,7 @@ def _resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
         hit(k % 9 == 4, 11, "title_search", F.when(k % 2 == 0, "strong").otherwise("possible")),
     ))
     own = _doi_stage(spark, sf_dir).select("sample_index", stages.alias("s")).select("sample_index", F.inline("s"))
-    best = _best_works(spark, sf_dir).select("sample_index", F.lit(2).alias("stage"), F.lit("bibliographic").alias("resolver"), "status")
+    best = _best_status(spark, sf_dir).select("sample_index", F.lit(2).alias("stage"), F.lit("bibliographic").alias("resolver"), "status")
     return own.unionByName(best)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeforge.functions import text
+from citeforge.functions import fixed, text
 from citeforge.operators import summary
 from citeforge.plans import oracle as o
 from citeforge.plans.registry import query
@@ -111,7 +111,7 @@ def match_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     decisions = F.array(d(own, F.lit(99), F.lit("first")), d(F.lit("x"), F.lit(1), F.lit("odd")), d(own, k % 9, F.when(k % 9 == 0, "no_match").otherwise("matched")))
     path = shared_path(spark, "report.jsonl")
     sinks.write_jsonl(table(spark, sf_dir, "orders").select(k.alias("publication_id"), decisions.alias("decisions")), path)
-    return files.read_match_report(spark, path)
+    return files.read_match_report(spark, path).drop("score")
 
 
 @query("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (c_mktsegment = 'MACHINERY') AS m FROM customer)
@@ -137,7 +137,7 @@ def _tag(name: str, *body: Column | str, attributes: str = "") -> Column:
 
 
 @query(f"""{o.WITH_BOTH} SELECT CAST(work_id AS VARCHAR) AS publication_id, CAST(1 AS INT) AS parsed_index, CASE WHEN work_id % 3 = 0 THEN 'Early ' ELSE '' END || title AS title, CASE WHEN work_id % 2 = 0 THEN journal ELSE '' END AS journal,
-  CAST(CASE WHEN work_id % 5 = 0 THEN year + 1 ELSE year END AS VARCHAR) AS year, CASE WHEN work_id % 2 = 0 THEN 'Jane van Author' || work_id % 37 || '; Roe' ELSE 'Poe' END AS authors,
+  CAST(CASE WHEN work_id % 5 = 0 THEN list_max(list_transform({o.every("'Raw ' || (year - 3) || ', ' || (year + 1) || ' 10.7777 / RAW.' || work_id", fixed.YEAR)}, lambda v: CAST(v AS INT))) ELSE year END AS VARCHAR) AS year, CASE WHEN work_id % 2 = 0 THEN 'Jane van Author' || work_id % 37 || '; Roe' ELSE 'Poe' END AS authors,
   CASE WHEN work_id % 2 = 0 THEN surname || ';roe' ELSE 'poe' END AS surnames, CASE WHEN work_id % 7 = 0 THEN '10.7777/raw.' || work_id ELSE doi END AS doi, CAST(work_id % 40 AS VARCHAR) AS volume,
   CASE WHEN work_id % 2 = 0 THEN work_id || '-' || (work_id + 9) ELSE 'p. ' || work_id END AS pages, 'Raw ' || (year - 3) || ', ' || (year + 1) || ' 10.7777 / RAW.' || work_id AS raw FROM works WHERE work_id % 11 <> 0""")
 def tei_records(spark: SparkSession, sf_dir: str) -> DataFrame:

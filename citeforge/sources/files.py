@@ -110,10 +110,10 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_match_report(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines {publication_id, decisions: [{order, parsed_index, status}]} as one row per
+    """JSON lines {publication_id, decisions: [{order, parsed_index, status, score}]} as one row per
     (publication_id, reference_order): the last decision wins, orders that are no integer go."""
-    ddl = "publication_id bigint, decisions array<struct<`order`:string,parsed_index:int,status:string>>"
+    ddl = "publication_id bigint, decisions array<struct<`order`:string,parsed_index:int,status:string,score:double>>"
     rows = _lines(spark, path, ddl, strict=True).withColumn("at", F.monotonically_increasing_id())
     each = rows.select("publication_id", "at", F.posexplode("decisions").alias("pos", "d"))
-    each = each.select("publication_id", as_int(F.col("d.`order`")).alias("reference_order"), "at", "pos", "d.parsed_index", "d.status").filter("reference_order is not null")
+    each = each.select("publication_id", as_int(F.col("d.`order`")).alias("reference_order"), "at", "pos", "d.parsed_index", "d.status", "d.score").filter("reference_order is not null")
     return best(each, ["publication_id", "reference_order"], [-F.col("at"), -F.col("pos")]).drop("at", "pos")

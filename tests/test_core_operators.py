@@ -112,9 +112,9 @@ def test_records_of_collections(spark):
 def test_alignment_and_collections(spark):
     listed = spark.createDataFrame([("p", 1, "small birds of towers"), ("p", 2, "zzz")], "publication_id string, reference_order int, context string")
     parsed = spark.createDataFrame([("p", 1, "small birds of tower"), ("p", 2, "qq"), ("q", 1, "zzz")], "publication_id string, parsed_index int, raw string")
-    decided = spark.createDataFrame([("p", 2, 2)], "publication_id string, reference_order int, parsed_index int")
-    got = candidates.aligned(listed, parsed, similarity.name_similarity, 0.72, decided)
-    assert rows(got.select("reference_order", "parsed_index", "alignment_source")) == [(1, 1, "text"), (2, 2, "report")]
+    decided = spark.createDataFrame([("p", 2, 2, 0.8)], "publication_id string, reference_order int, parsed_index int, score double")
+    got = candidates.aligned(listed, parsed, 0.72, decided)
+    assert rows(got.select("reference_order", "parsed_index", "alignment_source")) == [(1, 1, "raw_similarity"), (2, 2, "match_report")]
     journals = spark.createDataFrame([("J Birds", 3), ("The J Birds", 2), ("Other", 1)], "journal string, n long")
     sets = spark.createDataFrame([("J Birds", "b"), ("Stones", "s")], "set_name string, set_spec string")
     assert rows(candidates.best_collection(journals, sets, similarity.name_similarity, 0.72).select("set_spec", "score", "target_count")) == [("b", 1.0, 5)]
