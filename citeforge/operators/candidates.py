@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from citeforge.functions.similarity import letter_counts, ratio_bound, ratio_from
 from citeforge.functions.text import normalize_casefold, normalize_text
-from citeforge.operators.ranking import best, top
+from citeforge.operators.ranking import best, numbered, top
+from citeforge.sources.shared import stored
 
 
 def _in_order(rows: DataFrame, key: str, tokens: str, counts: DataFrame) -> DataFrame:
@@ -44,13 +45,72 @@ def token_candidates(refs: DataFrame, works: DataFrame, ref_id: str, work_id: st
     return of_refs.join(pairs, "known").select(ref_id, work_id, "shared")
 
 
-def relevance_search(refs: DataFrame, works: DataFrame, ref_id: str, work_id: str, tokens: str, rows: int, least: int, order: list[Column]) -> DataFrame:
+#: Shares of a set's tokens that its best works are sought at, in turn; the last round takes what the caller asks for.
+STEPS = (0.8, 0.7, 0.6, 0.5, 0.4)
+
+
+def _coded(rows: DataFrame, key: str, tokens: str, ranks: DataFrame) -> DataFrame:
+    """(key, known): the distinct tokens of a row that some work has, as numbers, rarest first."""
+    each = rows.select(key, F.explode(F.array_distinct(tokens)).alias("token")).join(ranks, "token")
+    return each.groupBy(key).agg(F.sort_array(F.collect_list("rank")).alias("known"))
+
+
+def _first_two(known: str, length: Column) -> Column:
+    """Pairs (x, y, j) of the first ``length`` tokens, ``y`` at place j (from 1)."""
+    tokens = F.slice(known, F.lit(1), F.greatest(length, F.lit(0)))
+    # The rest after x begins at place i + 2, so its j-th is at i + j + 2, both counted from 0.
+    rest = lambda i: F.filter(tokens, lambda _, j: j > i)
+    pairs = F.flatten(F.transform(tokens, lambda x, i: F.transform(rest(i), lambda y, j: F.struct(x.alias("x"), y.alias("y"), (i + j + 2).alias("j")))))
+    return F.inline(pairs)
+
+
+def _sharing(sets: DataFrame, works: DataFrame, work_id: str, least: Column, floor: int) -> DataFrame:
+    """(known, work, shared): works that share ``least`` (two or more, at least ``floor``) tokens with a set.
+
+    Sets of n and m tokens that share t have the first two they share among the first n - t + 2 of the one and
+    m - t + 2 of the other, rarest first: they meet on that pair of tokens, and there alone, so no
+    pair comes twice. Two rare tokens together are far rarer than one.
+    """
+    left = sets.withColumn("least", least).filter(F.size("known") >= F.col("least"))
+    left = left.select("known", "least", _first_two("known", F.size("known") - F.col("least") + 2)).drop("j")
+    right = works.filter(F.size("tokens") >= floor).select(work_id, "tokens", F.size("tokens").alias("m"), _first_two("tokens", F.size("tokens") - floor + 2))
+    pairs = left.join(right, ["x", "y"]).filter(F.col("j") <= F.col("m") - F.col("least") + 2)
+    pairs = pairs.withColumn("both", F.array_intersect("known", "tokens")).filter((F.size("both") >= F.col("least")) & (F.col("both")[0] == F.col("x")) & (F.col("both")[1] == F.col("y")))
+    return pairs.select("known", work_id, F.size("both").cast("long").alias("shared"))
+
+
+def relevance_search(refs: DataFrame, works: DataFrame, ref_id: str, work_id: str, tokens: str, rows: int, least: int, order: list[Column], steps: tuple[float, ...] = STEPS) -> DataFrame:
     """(ref_id, work_id, shared): of each reference's candidates the ``rows`` that share most tokens,
-    ties by ``order`` over columns of ``works``: what a search engine's first page gives. The top of
-    a set of tokens is taken before it goes to the references."""
-    of_refs, pairs = _candidate_sets(refs, works, ref_id, work_id, tokens, least)
-    first = top(pairs.join(works.drop(tokens), work_id), ["known"], [F.desc("shared"), *order], rows)
-    return of_refs.join(first.select("known", work_id, "shared"), "known").select(ref_id, work_id, "shared")
+    ties by ``order`` over columns of ``works``: what a search engine's first page gives.
+
+    A set of tokens asks for works that share 0.8 of it, then 0.7 and so on (``steps``), until it has ``rows`` of
+    them, which then are its best, or ``least`` tokens are reached: so the many works that share little are
+    only paired with sets that have no better ones. ``least`` is two or more. The top of a set is taken before
+    it goes to the references.
+    """
+    if least < 2:
+        raise ValueError("works are met on two tokens: least must be 2 or more")
+    each = works.select(work_id, F.explode(F.array_distinct(tokens)).alias("token")).filter("token is not null")
+    ranks = numbered(each.groupBy("token").agg(F.count(F.lit(1)).alias("n")), ["n", "token"], "rank").drop("n")
+    of_refs = stored(_coded(refs, ref_id, tokens, ranks).filter(F.size("known") >= least), "reference_tokens")
+    of_works = stored(_coded(works, work_id, tokens, ranks).withColumnRenamed("known", "tokens").join(works.drop(tokens), work_id), "work_tokens")
+    asking, first = of_refs.select("known").distinct(), None
+    for step in (*steps, 0.0):
+        wanted = F.greatest(F.ceil(F.size("known") * step).cast("int"), F.lit(least))
+        asking = stored(asking, "asking_sets")
+        fewest = asking.agg(F.min(wanted)).first()[0]
+        if fewest is None:
+            break
+        found = stored(top(_sharing(asking, of_works, work_id, wanted, fewest).join(of_works.drop("tokens"), work_id), ["known"], [F.desc("shared"), *order], rows), "best_works")
+        done = found.groupBy("known").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= rows).select("known")
+        at_end = asking.filter(wanted <= least).select("known")
+        done = done.unionByName(at_end).distinct()
+        own = found.join(done, "known", "left_semi").select("known", work_id, "shared")
+        first = own if first is None else first.unionByName(own)
+        asking = asking.join(done, "known", "left_anti")
+    if first is None:
+        return of_refs.select(ref_id, F.lit(None).cast(of_works.schema[work_id].dataType).alias(work_id), F.lit(0).cast("long").alias("shared")).limit(0)
+    return of_refs.join(first, "known").select(ref_id, work_id, "shared")
 
 
 def _grams(name: Column, sizes: tuple[int, ...]) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeforge.sources.shared import stored
+
 
 def best(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order, all columns.
@@ -32,20 +33,20 @@ def nonzero_best(rows: DataFrame, keys: list[str], score: Column, order: list[Co
 def numbered(rows: DataFrame, order: list[str], name: str = "number", start: int = 1) -> DataFrame:
     """Consecutive numbers over the whole table in the given order, without a single task.
 
-    Rows are range-sorted; only the parts' sizes reach the driver. All columns close the order, so a part
-    that has to be computed again has its rows in the same places. Rows that are equal throughout are
-    alike. The sorted rows are kept until ``rows.sparkSession.catalog.clearCache()`` or, without memory
-    or disk for them, sorted anew.
+    Rows are range-sorted and written with their places (``shared.stored``), so a part that has to be read
+    again has its rows where they were, and nothing is kept in memory; only the parts' sizes reach the
+    driver. All columns close the order; rows that are equal throughout are alike.
     """
     order = [*order, *(c for c in rows.columns if c not in order)]
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    parts = parts.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
     before, offsets = start, []
-    for r in sorted(parts.groupBy("_p").count().collect(), key=lambda r: r["_p"]):
+    for r in sorted(parts.groupBy(part.alias("_p")).count().collect(), key=lambda r: r["_p"]):
         offsets.append((r["_p"], before))
         before += r["count"]
-    small = F.broadcast(rows.sparkSession.createDataFrame(offsets, "_p int, _b long"))  # a row for each part
-    return parts.join(small, "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_b", "_i")
+    small = F.broadcast(rows.sparkSession.createDataFrame(offsets, "_p long, _b long"))  # a row for each part
+    number = F.col("_b") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return parts.withColumn("_p", part).join(small, "_p").withColumn(name, number).drop("_p", "_b", "_at")
 
 
 def chunked(rows: DataFrame, order: list[str], size: int, name: str = "chunk") -> DataFrame:

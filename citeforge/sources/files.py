@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from citeforge.functions.text import as_int, squeeze
 from citeforge.operators.ranking import best
+from citeforge.sources.split import CSV, read_members, read_records
 
 _REFERENCE = "struct<id:string,`order`:string,context:string,year:string,journalCode:string,targetPublication:string,authors:array<string>>"
 PUBLICATION = f"id string, metadata struct<id:string,references:array<{_REFERENCE}>>"
@@ -62,10 +63,13 @@ def read_jsonl(spark: SparkSession, path: str, ddl: str, optional: bool = False)
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, optional: bool = False, multiline: bool = True) -> DataFrame:
-    """A table with a header, every column a string. With ``multiline`` quoted fields may span lines,
-    and every file is one task; without, large files are split."""
+    """A table with a header, every column a string. With ``multiline`` quoted fields may span lines, and the
+    records are found by the parity of quotes (``split``), so that a large file is many tasks either way."""
     try:
-        rows = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').csv(path)
+        if multiline:
+            rows = _csv_records(spark, path)
+        else:
+            rows = spark.read.option("header", True).option("escape", '"').csv(path)
         rows = rows.toDF(*(c.lstrip("﻿") for c in rows.columns))
         return rows.select(*columns) if columns else rows
     except AnalysisException as e:
@@ -74,6 +78,17 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, o
         raise
 
 
+def _csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """The first file's header names the columns; each file's first record is its header."""
+    head = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
+    records = read_records(spark, path, CSV).withColumn("value", F.regexp_replace("value", "\r$", ""))
+    first = (F.col("start") == 0) & (F.col("n") == 0)
+    body = records.filter(~first & (F.col("value") != ""))
+    ddl = ", ".join(f"`c{i}` string" for i in range(len(head)))  # names may have any characters
+    parsed = body.select(F.from_csv("value", ddl, {"escape": '"'}).alias("r"))
+    return parsed.select(*(F.col(f"r.c{i}").alias(c) for i, c in enumerate(head)))
+
+
 def read_rows(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """By the path's ending: .jsonl or .csv."""
     if path.endswith(".jsonl"):
@@ -90,23 +105,29 @@ def read_lookup_lines(spark: SparkSession, path: str, optional: bool = False) ->
     return read_jsonl(spark, path, f"key string, {item}", optional).filter("key is not null")
 
 
+def _members(spark: SparkSession, path: str, value_type: str) -> DataFrame:
+    """(key, v): the members of the JSON objects at ``path``; of a key that comes twice the last."""
+    rows = read_members(spark, path).select("file", "start", "n", F.explode(F.from_json("value", f"map<string,{value_type}>")).alias("key", "v"))
+    return rows.groupBy("file", "key").agg(F.max_by("v", F.struct("start", "n")).alias("v")).select("key", "v")
+
+
 def read_lookup(spark: SparkSession, path: str, optional: bool = False) -> DataFrame:
     """A JSON object of request key to answer as rows key, status, http_status, error, items; what is no
-    object has no rows. A file is one row, so for files that a task can hold; see ``read_lookup_lines``."""
+    object has no rows. A large file is split at its members, by bytes (``split``)."""
+    value = LOOKUP.removeprefix("map<string,").removesuffix(">")
     try:
-        whole = spark.read.text(path, wholetext=True)
+        each = _members(spark, path, value)
     except AnalysisException as e:
         if optional and "PATH_NOT_FOUND" in str(e):
             return _empty(spark, "key string, status string, http_status int, error string, items array<struct<doi:string>>")
         raise
-    each = whole.select(F.explode(F.from_json("value", LOOKUP)).alias("key", "v"))
     return each.filter("v is not null").select("key", "v.status", "v.http_status", "v.error", "v.items")
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of payload key to an array of DOIs or nulls, as rows key, pos (from 1), doi."""
-    each = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("key", "a"))
-    return each.select("key", F.posexplode("a").alias("pos", "doi")).withColumn("pos", F.col("pos") + 1)
+    """A JSON object of payload key to an array of DOIs or nulls, as rows key, pos (from 1), doi; split as in ``read_lookup``."""
+    each = _members(spark, path, "array<string>")
+    return each.select("key", F.posexplode("v").alias("pos", "doi")).withColumn("pos", F.col("pos") + 1)
 
 
 def read_match_report(spark: SparkSession, path: str) -> DataFrame:

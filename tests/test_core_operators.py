@@ -165,3 +165,22 @@ def test_upsert_and_missing(spark):
     assert rows(store.missing_keys(keys, have)) == [("c",)]
     assert rows(store.missing_keys(keys, have, retry=("error",))) == [("b",), ("c",)]
     assert rows(store.cacheable(have.union(spark.createDataFrame([("z", "rate_limited")])), keep_errors=False).select("key")) == [("a",)]
+
+
+@pytest.mark.parametrize(("k", "least", "steps"), [(3, 2, candidates.STEPS), (1, 3, candidates.STEPS), (5, 2, ()), (2, 2, (1.0, 0.9))])
+def test_relevance_search_loses_no_pair(spark, k, least, steps):
+    import random
+
+    rng = random.Random(k)
+    words = [w for i, w in enumerate("abcdefghijklmnop") for _ in range(1 + i // 3)]
+    sets = [[(i, rng.choices(words, k=rng.randint(0, 12)), float(rng.randint(0, 3))) for i in range(n)] for n in (40, 150)]
+    refs, works = (spark.createDataFrame(s, f"{c} int, t array<string>, score double") for s, c in zip(sets, "rw", strict=True))
+    want = []
+    for i, a, _ in sets[0]:
+        own = sorted((-len(set(a) & set(b)), -s, j) for j, b, s in sets[1] if len(set(a) & set(b)) >= least)
+        want += [(i, j, -n) for n, _, j in own[:k]]
+    order = [candidates.F.desc("score"), candidates.F.col("w")]
+    got = candidates.relevance_search(refs.drop("score"), works, "r", "w", "t", k, least, order, steps)
+    assert want and rows(got) == sorted(want)
+    assert candidates.relevance_search(refs.drop("score").limit(0), works, "r", "w", "t", k, least, order).count() == 0
+    assert candidates.relevance_search(refs.drop("score"), works.limit(0), "r", "w", "t", k, least, order).count() == 0

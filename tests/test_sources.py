@@ -139,3 +139,54 @@ def test_incremental_store(spark, tmp_path):
         incremental.fill_store(incremental.stream_references(spark, src, "key string"), resolve, store, check).awaitTermination()
     assert asked == [["a", "b"], ["c"]]
     assert sorted(r.key for r in spark.read.parquet(store).collect()) == ["a", "b", "c"]
+
+
+def _split(spark, size: int):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Splits of a few bytes, so that keys, quotes and escapes lie across their ends."""
+    _split(spark, 37)
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_json_objects_are_split_at_members(spark, tmp_path, small_splits, indent):
+    odd = ['a,"b', "{", "}", "]\\", 'x\\"y,', "ü\n,", ",", "", "\\\\"]
+    answers = {f"{k} {i}": {"status": f"{odd[i % 9]}, {{ok", "http_status": i, "items": [{"doi": f"10.1/{i}", "title": o, "surnames": ["a,b", "]"]}, {"doi": None}]} for i, (k, o) in enumerate(zip(odd * 4, odd[::-1] * 4, strict=True))}
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.json").write_text(json.dumps(answers, indent=indent) + "\n")
+    (tmp_path / "a" / "two.json").write_text("﻿ " + json.dumps({"last": {"status": "s"}, "none": None}, indent=indent))
+    for name, text in (("empty", "{}"), ("nothing", ""), ("list", '[{"k": {"status": "x"}}, 2]'), ("text", '"k"')):
+        (tmp_path / "a" / f"{name}.json").write_text(text)
+    got = files.read_lookup(spark, str(tmp_path / "a"))
+    assert {r.key: (r.status, r.http_status, [(x.doi, x.title, x.surnames) for x in r["items"] or []]) for r in got.collect()} == {
+        k: (v["status"], v["http_status"], [(x["doi"], x.get("title"), x.get("surnames")) for x in v["items"]]) for k, v in answers.items()
+    } | {"last": ("s", None, [])}
+    from citeforge.sources.split import read_members
+
+    assert read_members(spark, str(tmp_path / "a" / "one.json")).select("start").distinct().count() > 5
+    (tmp_path / "twice.json").write_text('{"k": ["a"], "b": [], "k": ["c", null, ",}"]}')
+    assert sorted(tuple(r) for r in files.read_answers(spark, str(tmp_path / "twice.json")).collect()) == [("k", 1, "c"), ("k", 2, None), ("k", 3, ",}")]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_records_are_split_by_quotes(spark, tmp_path, small_splits, end):
+    import csv
+
+    cells = ["plain", 'two\nlines, "quoted"', "", "a\r\nb", '"', '""\n""', "x,y", "\n", "ü" * 30, 'say "hi"']
+    table = [[str(i), cells[i % 10], cells[(i * 3 + i // 10) % 10]] for i in range(60)]
+    (tmp_path / "t").mkdir()
+    for part in (0, 1):
+        with open(tmp_path / "t" / f"{part}.csv", "w", newline="") as f:
+            csv.writer(f, lineterminator=end).writerows([["id", "first name", "b.c"], *table[part::2]])
+    got = files.read_csv(spark, str(tmp_path / "t"))
+    assert got.columns == ["id", "first name", "b.c"]
+    assert sorted([r[0], r[1] or "", r[2] or ""] for r in got.collect()) == sorted(table)
+    (tmp_path / "loose.csv").write_text('id,size\n1,5" disk\n2,"7"\n3,8" tape\n')
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "loose.csv"), ["id", "size"]).orderBy("id").collect()] == [("1", '5" disk'), ("2", "7"), ("3", '8" tape')]
