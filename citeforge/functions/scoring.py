@@ -81,6 +81,11 @@ def pair_supported(n: Column, sim: Column, cov: Column) -> Column:
     return (n >= 4) & ((sim >= 0.88) | (cov >= 0.86))
 
 
+def supported_status(status: Column, supported: Column) -> Column:
+    """A strong match whose title isn't that which was parsed is possible only."""
+    return F.when((status == "strong") & ~F.coalesce(supported, F.lit(False)), "possible").otherwise(status)
+
+
 def exact_record_status(status: Column, conf: Column, exact: Column) -> Column:
     """struct: a record with the very id that was asked for is strong where its score had none."""
     lift = exact & (status == "no_match")

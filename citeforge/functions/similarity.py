@@ -52,7 +52,8 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 def letter_counts(folded: Column) -> Column:
     """How often a folded text has each of ``LETTERS``: once for a text, before it meets others."""
-    return F.transform(F.array(*(F.lit(c) for c in LETTERS)), lambda c: F.length(folded) - F.length(F.replace(folded, c, F.lit(""))))
+    each = lambda t: F.transform(F.array(*(F.lit(c) for c in LETTERS)), lambda c: F.length(t) - F.length(F.replace(t, c, F.lit(""))))
+    return let(folded, each)
 
 
 def ratio_bound(a: Column, b: Column, a_counts: Column, b_counts: Column, blanks: bool = True) -> Column:

@@ -6,11 +6,14 @@ the statuses that count as found.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeforge.functions.text import percent
 from citeforge.operators.ranking import best, running_total
+from citeforge.sources.shared import shared_path
 
 #: Stages in order, and what counts as found: the compatible policy takes ``possible`` matches of
 #: the early stages as found; the strict one never does.
@@ -58,8 +61,38 @@ def scoped(refs: DataFrame, resolution: DataFrame, scope: str) -> DataFrame:
     return remaining(refs, found_set(resolution, policy, resolvers))
 
 
-def cascade(scored: DataFrame) -> DataFrame:
+def run_stages(targets: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], ends: tuple[str, ...] = ("found", "strong"), table: str | None = None) -> DataFrame:
+    """The resolution table of stages in turn: sample_index, status and what else a stage gives, with stage (from 1) and
+    resolver.
+
+    A stage, a name and a function of the targets (sample_index), is only asked for targets that no stage
+    before it has found, with a status in ``ends``; once none is open the rest are not run. Each stage's rows
+    are appended to the Parquet table ``table`` (by default a new one in the shared folder) as a part of
+    its own, so the stages before are read, never computed again. A table that holds stages already is gone
+    on with: those are not asked again. Statuses that don't end keep a target open; ``cascade`` settles them.
+    """
+    spark = targets.sparkSession
+    table = table or shared_path(spark, "resolution")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(table).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/stage={n}/_SUCCESS"))
+    open_ = targets.select("sample_index").distinct()
+    rows = None
+    for n, (name, stage) in enumerate(stages, 1):
+        part = f"{table}/stage={n}"
+        if not done(n):
+            if not open_.limit(1).count():
+                break
+            stage(open_).withColumn("resolver", F.lit(name)).write.mode("overwrite").parquet(part)
+        own = spark.read.parquet(part).withColumn("stage", F.lit(n))
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+        open_ = remaining(open_, own.filter(F.col("status").isin(*ends)).select("sample_index"))
+    if rows is None:
+        return spark.createDataFrame([], "sample_index long, status string, resolver string, stage int")
+    return rows
+
+
+def cascade(scored: DataFrame, ends: tuple[str, ...] = ("strong",)) -> DataFrame:
     """Of rows (sample_index, stage, resolver, status, confidence) the one that a cascade ends with:
-    a later stage only takes over with a strictly higher status, and strong ends the search."""
-    rank = F.when(F.col("status") == "strong", 2).when(F.col("status") == "possible", 1).otherwise(0)
+    a later stage only takes over with a strictly higher status, and a status in ``ends`` ends the search."""
+    rank = F.when(F.col("status").isin(*ends), 2).when(F.col("status") == "possible", 1).otherwise(0)
     return best(scored, ["sample_index"], [-rank, F.col("stage")])

@@ -10,6 +10,7 @@ from citeforge.operators import candidates, lookup, ranking, resolution, store,
 from citeforge.plans import oracle as o
 from citeforge.plans.registry import ORACLE, QUERIES, query
 from citeforge.plans.views import refs, table, works
+from citeforge.sources.shared import stored
 
 def listed(array: Column) -> Column:
     return F.array_join(array, ";")
@@ -197,8 +198,14 @@ SEARCH_ROWS = 5
 LEAST_SHARED = 5
 
 
-def _token_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    r = refs(spark, sf_dir).select("sample_index", text.tokens(text.normalize_text(F.col("context"))).alias("tokens"))
+def _refs(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """All references, or those with a sample_index in ``only``."""
+    r = refs(spark, sf_dir)
+    return r if only is None else r.join(only, "sample_index", "left_semi")
+
+
+def _token_sides(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    r = _refs(spark, sf_dir, only).select("sample_index", text.tokens(text.normalize_text(F.col("context"))).alias("tokens"))
     w = works(spark, sf_dir).select("work_id", "engine_score", text.tokens(text.normalize_text(F.col("title"))).alias("tokens"))
     return r, w
 
@@ -220,8 +227,8 @@ def token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.token_candidates(r, w, "sample_index", "work_id", "tokens", LEAST_SHARED)
 
 
-def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, w = _token_sides(spark, sf_dir)
+def _found(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    r, w = _token_sides(spark, sf_dir, only)
     return candidates.relevance_search(r, w, "sample_index", "work_id", "tokens", SEARCH_ROWS, LEAST_SHARED, [F.desc("engine_score"), F.col("work_id")])
 
 
@@ -231,20 +238,20 @@ def relevance_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir)
 
 
-def _pairs(spark: SparkSession, sf_dir: str, parts: dict[str, Column] | None = None) -> DataFrame:
-    """References with the works that a search gives for them. ``parts``: more columns of a reference,
-    made once for each before the join."""
+def _pairs(spark: SparkSession, sf_dir: str, parts: dict[str, Column] | None = None, found: DataFrame | None = None) -> DataFrame:
+    """References with the works that a search gives for them, or with those of ``found``. ``parts``: more
+    columns of a reference, made once for each before the join."""
     r = refs(spark, sf_dir).select("sample_index", "context", "publication_id", *(c.alias(n) for n, c in (parts or {}).items()))
     w = works(spark, sf_dir).withColumn("w_norm", text.normalize_text(F.col("title"))).withColumn("w_letters", similarity.letter_counts(F.col("w_norm")))
-    found = _found(spark, sf_dir).join(r, "sample_index").join(w, "work_id")
+    found = (_found(spark, sf_dir) if found is None else found).join(r, "sample_index").join(w, "work_id")
     # A ratio takes far longer than its row is long: all of a shuffle's parts, not as few as the bytes would need.
     return found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sample_index", "work_id")
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _parts(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     """What a score is made of, but for the similarity."""
     c = F.col("context")
-    p = _pairs(spark, sf_dir, {"r_norm": text.normalize_text(c), "r_letters": similarity.letter_counts(text.normalize_text(c)), "years": text.years(c)})
+    p = _pairs(spark, sf_dir, {"r_norm": text.normalize_text(c), "r_letters": similarity.letter_counts(text.normalize_text(c)), "years": text.years(c)}, found)
     p = p.withColumns({"r_tokens": text.tokens(F.col("r_norm")), "w_tokens": text.tokens(F.col("w_norm"))})
     return p.withColumns({
         "cov": similarity.coverage(F.col("w_tokens"), F.col("r_tokens")),
@@ -254,9 +261,9 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def _scored(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, least: float, found: DataFrame | None = None) -> DataFrame:
     """With the similarity, or 0 where it can't be ``least``: enough for what only asks for one of that size."""
-    p = _parts(spark, sf_dir)
+    p = _parts(spark, sf_dir, found)
     a, b = F.col("w_norm"), F.col("r_norm")
     low, high = similarity.similarity_bounds(a, b, F.col("w_letters"), F.col("r_letters"))
     p = p.withColumn("_known", F.when((low == high) | (high < least), low))
@@ -294,17 +301,17 @@ _STATUS = f"""{_FOUND}, parts AS (SELECT *, CAST(len(list_filter(wtok, lambda x:
   ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_index ORDER BY CASE status WHEN 'strong' THEN 2 WHEN 'possible' THEN 1 ELSE 0 END DESC) AS rn FROM scored)"""
 
 
-def _best_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _best_works(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     """The best work of each reference. The ratio is computed only for works that may be the best."""
-    s = _leading_by(_parts(spark, sf_dir), scoring.bibliographic_score)
+    s = _leading_by(_parts(spark, sf_dir, found), scoring.bibliographic_score)
     s = s.drop("status").select("*", F.inline(F.array(scoring.bibliographic_score(*_score_parts()))))
     keep = s.select("sample_index", "work_id", "doi", "status", "confidence", F.round("cov", 4).alias("title_coverage"), "engine_score")
     return ranking.best(keep, ["sample_index"], [-scoring.rank(F.col("status")), -F.col("confidence"), -F.col("engine_score"), F.col("work_id")]).drop("engine_score")
 
 
-def _best_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _best_status(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     """(sample_index, status, title_coverage): what a status needs of the similarity is whether it is 0.98."""
-    s = _scored(spark, sf_dir, 0.98).drop("status").select("sample_index", "cov", scoring.bibliographic_score(*_score_parts())["status"].alias("status"))
+    s = _scored(spark, sf_dir, 0.98, found).drop("status").select("sample_index", "cov", scoring.bibliographic_score(*_score_parts())["status"].alias("status"))
     by = s.groupBy("sample_index", "status").agg(F.round(F.max("cov"), 4).alias("title_coverage"))
     return ranking.best(by, ["sample_index"], [-scoring.rank(F.col("status"))])
 
@@ -347,8 +354,12 @@ def safe_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def harvested_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with the very id preferred, scored, the best kept. No SQL, for the ratio."""
+    return _harvested(spark, sf_dir)
+
+
+def _harvested(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     exact = F.col("sample_index") % 10 == F.col("work_id") % 10
-    s = _leading_by(lookup.prefer_exact(_parts(spark, sf_dir), "sample_index", exact), scoring.harvested_score)
+    s = _leading_by(lookup.prefer_exact(_parts(spark, sf_dir, found), "sample_index", exact), scoring.harvested_score)
     s = s.drop("status").select("sample_index", "work_id", F.inline(F.array(scoring.harvested_score(*_score_parts()))))
     b = ranking.best(s, ["sample_index"], [-scoring.rank(F.col("status")), -F.col("confidence"), F.col("work_id")])
     lifted = scoring.exact_record_status(F.col("status"), F.col("confidence"), exact)
@@ -366,8 +377,12 @@ def harvested_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def index_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title search with ratios, self matches excluded. No SQL, for the ratio."""
+    return _index(spark, sf_dir)
+
+
+def _index(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     # Generators, so that no expression is copied into what comes after.
-    p = _pairs(spark, sf_dir, {"parsed": F.explode(F.array(parsing.parse_reference(F.col("context"))))})
+    p = _pairs(spark, sf_dir, {"parsed": F.explode(F.array(parsing.parse_reference(F.col("context"))))}, found)
     joined = text.normalize_joined
     folded = F.struct(joined(F.col("parsed.title")).alias("p_title"), joined(F.col("title")).alias("f_title"), joined(F.col("parsed.journal")).alias("p_journal"), joined(F.col("journal")).alias("f_journal"))
     p = p.select("*", F.inline(F.array(folded)))
@@ -464,7 +479,11 @@ def collection_records(spark: SparkSession, sf_dir: str) -> DataFrame:
   QUALIFY row_number() OVER (PARTITION BY sample_index ORDER BY coverage DESC, work_id) = 1""")
 def isbn_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of an ISBN scored by title coverage; items that score nothing never win."""
-    t = refs(spark, sf_dir).filter(F.col("context").rlike("ISBN 978|ISBN: ")).select("sample_index", "context", F.explode(F.array("part", F.col("part") + 1)).alias("work_id"))
+    return _isbn(spark, sf_dir)
+
+
+def _isbn(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    t = _refs(spark, sf_dir, only).filter(F.col("context").rlike("ISBN 978|ISBN: ")).select("sample_index", "context", F.explode(F.array("part", F.col("part") + 1)).alias("work_id"))
     items = works(spark, sf_dir).select("work_id", "title")
     s = t.join(items, "work_id").withColumn("coverage", F.round(similarity.plain_coverage(F.col("title"), F.col("context")), 4))
     b = ranking.nonzero_best(s.select("sample_index", "work_id", "coverage"), ["sample_index"], F.col("coverage"), [-F.col("coverage"), F.col("work_id")])
@@ -507,9 +526,9 @@ def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- lookups -----------------------------------------------------------------------------------------
 
 
-def _doi_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _doi_stage(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """Every reference, its ``k``, and the first of its DOIs that is found; one pass over references."""
-    r = refs(spark, sf_dir).select("sample_index", "k", identifiers.doi_candidates(F.col("context")).alias("dois"))
+    r = _refs(spark, sf_dir, only).select("sample_index", "k", identifiers.doi_candidates(F.col("context")).alias("dois"))
     known = works(spark, sf_dir).filter("status <> 'not_found'").select(F.col("doi").alias("key"), "status")
     tried = lookup.first_success(r, "sample_index", "dois", known, {"found": 0, "error": 1}, carry=["k"], keep_empty=True)
     status = F.when(F.col("key").isNull(), "no_doi").otherwise(F.coalesce("status", F.lit("not_found")))
@@ -712,6 +731,97 @@ def resolver_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.cascade(_resolution(spark, sf_dir)).select("sample_index", "stage", "resolver", "status")
 
 
+def _search_pages(spark: SparkSession, sf_dir: str):
+    """A search that is made once, for what is open at the first call; later calls ask for fewer."""
+    pages: list[DataFrame] = []
+
+    def page(only: DataFrame) -> DataFrame:
+        if not pages:
+            pages.append(stored(_found(spark, sf_dir, only), "search_pages"))
+        return pages[0].join(only, "sample_index", "left_semi")
+
+    return page
+
+
+def _stages(spark: SparkSession, sf_dir: str) -> list:
+    """Resolvers in turn, each a function of the references that are still open."""
+    page = _search_pages(spark, sf_dir)
+
+    def doi(only: DataFrame) -> DataFrame:
+        return _doi_stage(spark, sf_dir, only).filter("status = 'found'").select("sample_index", "status")
+
+    def form(only: DataFrame) -> DataFrame:
+        return _refs(spark, sf_dir, only).filter("k % 6 = 1").select("sample_index", F.lit("found").alias("status"))
+
+    return [
+        ("doi", doi), ("bibliographic", lambda only: _best_status(spark, sf_dir, page(only)).select("sample_index", "status")), ("form", form),
+        ("repository", lambda only: _harvested(spark, sf_dir, page(only)).select("sample_index", "status")), ("isbn", lambda only: _isbn(spark, sf_dir, only).select("sample_index", "status")),
+    ]
+
+
+_HARVESTED = """hk AS (SELECT *, sample_index % 10 = work_id % 10 AS exact FROM parts), hh AS (SELECT *, bool_or(exact) OVER (PARTITION BY sample_index) AS any_exact FROM hk),
+  hs AS (SELECT sample_index, exact, CASE WHEN (n >= 5 AND cov >= 0.88 AND (ym OR authors >= 0.34)) OR (n >= 6 AND cov >= 0.78 AND authors >= 0.34 AND ym) THEN 'strong' WHEN n >= 6 AND cov >= 0.70 AND authors >= 0.34 THEN 'possible' ELSE 'no_match' END AS st FROM hh WHERE exact OR NOT any_exact),
+  harvested AS (SELECT sample_index, CASE WHEN exact AND st = 'no_match' THEN 'strong' ELSE st END AS status FROM hs QUALIFY row_number() OVER (PARTITION BY sample_index ORDER BY CASE st WHEN 'strong' THEN 2 WHEN 'possible' THEN 1 ELSE 0 END DESC) = 1)"""
+_ISBN = f"""it AS (SELECT sample_index, context, part FROM refs WHERE regexp_matches(context, 'ISBN 978|ISBN: ')),
+  ij AS (SELECT it.sample_index, list_filter(string_split({o.fold("w.title")}, ' '), lambda x: length(x) > 2) AS tw, string_split({o.fold("it.context")}, ' ') AS cw FROM it JOIN works w ON w.work_id = it.part OR w.work_id = it.part + 1),
+  ic AS (SELECT sample_index, max(round(CAST(len(list_filter(tw, lambda x: list_contains(cw, x))) AS DOUBLE) / greatest(1, len(tw)), 4)) AS coverage FROM ij GROUP BY sample_index),
+  isbn AS (SELECT sample_index, CASE WHEN coverage >= 0.55 THEN 'strong' ELSE 'possible' END AS status FROM ic WHERE coverage > 0)"""
+_STAGED = f"""{_STATUS}, {o.DOI_STAGE}, {_HARVESTED}, {_ISBN}, s1 AS (SELECT sample_index, status, 'doi' AS resolver, 1 AS stage FROM doi_stage WHERE status = 'found'),
+  s2 AS (SELECT sample_index, status, 'bibliographic' AS resolver, 2 AS stage FROM ranked WHERE rn = 1 AND sample_index NOT IN (SELECT sample_index FROM s1)),
+  f2 AS (SELECT sample_index FROM s1 UNION ALL SELECT sample_index FROM s2 WHERE status = 'strong'),
+  s3 AS (SELECT sample_index, 'found' AS status, 'form' AS resolver, 3 AS stage FROM refs WHERE k % 6 = 1 AND sample_index NOT IN (FROM f2)), f3 AS (FROM f2 UNION ALL SELECT sample_index FROM s3),
+  s4 AS (SELECT sample_index, status, 'repository' AS resolver, 4 AS stage FROM harvested WHERE sample_index NOT IN (FROM f3)), f4 AS (FROM f3 UNION ALL SELECT sample_index FROM s4 WHERE status = 'strong'),
+  s5 AS (SELECT sample_index, status, 'isbn' AS resolver, 5 AS stage FROM isbn WHERE sample_index NOT IN (FROM f4)),
+  staged AS (FROM s1 UNION ALL FROM s2 UNION ALL FROM s3 UNION ALL FROM s4 UNION ALL FROM s5)"""
+
+
+@query(f"{_STAGED} SELECT sample_index, status, resolver, stage FROM staged")
+def staged_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five stages in turn, each for what those before it have left open, in one growing table."""
+    return resolution.run_stages(refs(spark, sf_dir), _stages(spark, sf_dir)).select("sample_index", "status", "resolver", "stage")
+
+
+@query(f"""{_STAGED}, best AS (SELECT * FROM staged QUALIFY row_number() OVER (PARTITION BY sample_index ORDER BY CASE WHEN status IN ('strong', 'found') THEN 2 WHEN status = 'possible' THEN 1 ELSE 0 END DESC, stage) = 1)
+  SELECT r.sample_index, coalesce(b.status, 'no_match') AS status, coalesce(b.resolver, '') AS resolver FROM refs r LEFT JOIN best b USING (sample_index)""")
+def staged_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stages leave each reference with: the first that found it, else the first of the highest status."""
+    ended = resolution.cascade(resolution.run_stages(refs(spark, sf_dir), _stages(spark, sf_dir)), ("found", "strong"))
+    own = refs(spark, sf_dir).select("sample_index").join(ended.select("sample_index", "status", "resolver"), "sample_index", "left")
+    return own.select("sample_index", F.coalesce("status", F.lit("no_match")).alias("status"), F.coalesce("resolver", F.lit("")).alias("resolver"))
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> list:
+    """The scored stages of a re-parsed reference: its DOI, then three searches, whose matches are strong only if
+    the found title supports the parsed one."""
+    titles, page = works(spark, sf_dir).select("work_id", "title"), _search_pages(spark, sf_dir)
+
+    def supported(scored: DataFrame) -> DataFrame:
+        parsed = refs(spark, sf_dir).select("sample_index", F.explode(F.array(parsing.parse_reference(F.col("context")))).alias("p")).select("sample_index", F.col("p.title").alias("parsed"))
+        both = scored.join(titles, "work_id").join(parsed, "sample_index")
+        fold = lambda c: text.tokens(text.normalize_casefold(F.col(c)), fixed.STOP_REPARSE)
+        both = both.withColumns({"_a": fold("title"), "_b": fold("parsed")})
+        sim = F.round(similarity.title_similarity(F.col("title"), F.col("parsed"), both_ways=True, casefold=True), 4)
+        cov = F.round(F.greatest(similarity.coverage(F.col("_a"), F.col("_b")), similarity.coverage(F.col("_b"), F.col("_a"))), 4)
+        ok = scoring.pair_supported(F.least(F.size("_a"), F.size("_b")), sim, cov)
+        return both.select("sample_index", "work_id", scoring.supported_status(F.col("status"), ok).alias("status"), "confidence")
+
+    def doi(only: DataFrame) -> DataFrame:
+        stage = _doi_stage(spark, sf_dir, only).filter("status = 'found'").join(works(spark, sf_dir).select("doi", "work_id"), "doi")
+        return stage.select("sample_index", "work_id", F.lit("strong").alias("status"), F.lit(None).cast("double").alias("confidence"))
+
+    searches = (("bibliographic", _best_works), ("title_search", _index), ("works", _harvested))
+    return [("doi", doi), *((name, lambda only, f=f: supported(f(spark, sf_dir, page(only)).select("sample_index", "work_id", "status", "confidence"))) for name, f in searches)]
+
+
+@query()
+def evaluated_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cascade of scored stages; a later one takes over only with a higher status, and strong ends it.
+    No SQL, for the ratio."""
+    ended = resolution.cascade(resolution.run_stages(refs(spark, sf_dir), _evaluated(spark, sf_dir), ("strong",)))
+    own = refs(spark, sf_dir).select("sample_index").join(ended.filter("status <> 'no_match'").select("sample_index", "work_id", "status", "resolver", "confidence"), "sample_index", "left")
+    return own.withColumn("status", F.coalesce("status", F.lit("no_match")))
+
+
 @query(f"""{_RESOLUTION}, c AS (SELECT sample_index, {o.CATEGORY} AS category FROM (SELECT sample_index, context, replace(context, ' ', '') AS no_space FROM refs))
   SELECT category, resolver, count(*) AS n FROM strict JOIN c USING (sample_index) GROUP BY category, resolver""")
 def strong_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,3 +184,27 @@ def test_relevance_search_loses_no_pair(spark, k, least, steps):
     assert want and rows(got) == sorted(want)
     assert candidates.relevance_search(refs.drop("score").limit(0), works, "r", "w", "t", k, least, order).count() == 0
     assert candidates.relevance_search(refs.drop("score"), works.limit(0), "r", "w", "t", k, least, order).count() == 0
+
+
+def test_stages_are_asked_for_what_is_open_only(spark, tmp_path):
+    """The found-set goes from stage to stage; an end before the last stage; a table that is gone on with."""
+    asked = []
+
+    def stage(name, answers):
+        def run(open_):
+            asked.append((name, sorted(r[0] for r in open_.collect())))
+            return spark.createDataFrame([(i, s) for i, s in answers if i in asked[-1][1]], "sample_index long, status string")
+
+        return name, run
+
+    targets = spark.range(1, 6).withColumnRenamed("id", "sample_index")
+    stages = [stage("doi", [(1, "found"), (2, "possible")]), stage("form", [(2, "strong"), (1, "strong"), (3, "no_match")]), stage("works", [(3, "possible"), (4, "strong"), (5, "strong")]), stage("last", [(3, "strong")]), stage("never", [])]
+    path = str(tmp_path / "table")
+    got = resolution.run_stages(targets, stages, table=path)
+    assert asked == [("doi", [1, 2, 3, 4, 5]), ("form", [2, 3, 4, 5]), ("works", [3, 4, 5]), ("last", [3])]
+    want = [(1, "found", "doi", 1), (2, "possible", "doi", 1), (2, "strong", "form", 2), (3, "no_match", "form", 2), (3, "possible", "works", 3), (3, "strong", "last", 4), (4, "strong", "works", 3), (5, "strong", "works", 3)]
+    assert rows(got.select("sample_index", "status", "resolver", "stage")) == want
+    asked.clear()
+    assert rows(resolution.run_stages(targets, stages, table=path).select("sample_index", "status", "resolver", "stage")) == want and asked == []
+    assert rows(resolution.cascade(got, ("found", "strong")).select("sample_index", "resolver")) == [(1, "doi"), (2, "form"), (3, "last"), (4, "works"), (5, "works")]
+    assert resolution.run_stages(targets.limit(0), stages).count() == 0
