@@ -68,7 +68,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeforge.llm.simhash import simhash_components
 
-    return simhash_components(_docs(spark, sf_dir)).drop("text_tag")
+    return simhash_components(_docs(spark, sf_dir)).drop("text_tag", "component")
 
 
 def op11_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

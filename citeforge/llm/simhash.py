@@ -99,7 +99,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id,
-    text_tag.
+    text_tag, component (the least fingerprint that links reach, which names components without ids too).
 
     Documents are first reduced to distinct fingerprints, so copies never meet as pairs.
     ``component_id`` is the least doc_id that links reach, the row's own included; null ids are
@@ -113,5 +113,5 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(apart(ids), "root").select("fp", "component_id")
-    return own.join(apart(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_tag")
+    named = rooted.join(apart(ids), "root").select("fp", "component_id", F.col("root").alias("component"))
+    return own.join(apart(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_tag", "component")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline as cp
 from citeforge.llm import exact_dedup, quality_rules, secret_scan, simhash
 
@@ -20,7 +22,9 @@ def test_stages_in_order(spark, docs, tmp_path):
         elif name == "exact_dedup":
             assert ids(now) == ids(exact_dedup.exact_dedup(before, keep="max", ignore_ascii_case=True).filter("kept"))
         elif name == "simhash_near_dedup":
-            assert ids(now) == ids(simhash.simhash_components(before).filter("doc_id <=> component_id"))
+            found = simhash.simhash_components(before).collect()
+            best = {c: min((r.doc_id is None, r.doc_id or 0, r.text_tag) for r in found if r.component == c) for c in {r.component for r in found}}
+            assert ids(now) == sorted(-1 if none else i for none, i, _ in best.values())
         else:
             assert ids(now) == ids(before)
             assert all(not secret_scan.find_spans(r.text) for r in now.collect())
@@ -67,7 +71,7 @@ def test_stages_in_plain_python(spark, docs):
         f = simhash.fingerprint(t.encode())
         near = [g for g in groups if any((f ^ h).bit_count() <= 2 for _, _, h in g)]
         groups = [g for g in groups if g not in near] + [sum(near, []) + [(i, t, f)]]
-    now = [min(g)[:2] for g in groups]
+    now = [min(g, key=lambda x: (x[0] == -1, x))[:2] for g in groups]
     now = [(i, secret_scan.without(t, secret_scan.find_spans(t), cp.REDACTED)) for i, t in now]
     got = docs
     for _, stage in cp.STAGES[:4]:
@@ -75,6 +79,22 @@ def test_stages_in_plain_python(spark, docs):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in got.select("doc_id", "text").collect()) == sorted(now)
 
 
+def test_near_copies_without_ids_or_with_one_id(spark):
+    """Of each group one row stays: none has an id, all have one, rows are the same throughout, the least id comes twice."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(5)]
+    near = lambda t, i: t.replace(" ", "  ", i + 1)  # noqa: E731  # the same words, so the same fingerprint
+    rows = [(None, near(texts[0], i)) for i in range(3)] + [(7, near(texts[1], i)) for i in range(3)] + [(9, texts[2])] * 4
+    rows += [(3, near(texts[3], 5)), (3, near(texts[3], 6)), (1 << 40, texts[3]), (None, near(texts[3], 7))] + [(None, texts[4])] * 2
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place long").repartition(3)
+    got = cp.near_copies(spark, docs, "").collect()
+    assert len(got) == 5 and sorted((r.doc_id is None, r.doc_id) for r in got if r.doc_id is not None) == [(False, 3), (False, 7), (False, 9)]
+    assert {tuple(r.text.split()) for r in got} == {tuple(t.split()) for t in texts}
+    once = cp.exact_copies(spark, docs, "").collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in once))) == sorted(map(repr, set(rows)))
+
+
 def test_empty_input(spark, empty):
     for _, stage in cp.STAGES:
         assert stage(spark, empty, "").collect() == []
