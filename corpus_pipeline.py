@@ -1,9 +1,9 @@
 """The corpus pipeline: quality, exact copies, near copies, secrets, packing.
 
 Each stage takes documents and, but for the last, returns documents with the same columns. A stage
-works on every row of its input. Rows are told apart by id and text; of rows that repeat both, the
-exact-copies stage keeps one. Rows without an id are judged like others; a group of near copies of
-which none has an id stays whole, as do near copies that share the least id of their group.
+works on every row of its input. Where ids are missing or repeated, rows are told apart by id and text, and
+rows that repeat both by their place in the input: of a group of copies, exact or near, one row stays,
+whatever its ids. Rows without an id are judged like others, and come after those with one.
 Further columns of any name pass through, and ``n_chars`` need not be there. Null texts count as empty, and fail the quality rules. An empty
 input gives an empty output with the same columns.
 """
@@ -23,12 +23,24 @@ from citeforge.llm.simhash import simhash_components
 REDACTED = "[SECRET]"
 
 
-def _only(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id, a missing one too, and text are in ``verdict``."""
+def _repeated(docs: DataFrame) -> bool:
+    """Whether some id is missing or comes twice."""
+    return bool(docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count())
+
+
+def _only(docs: DataFrame, verdict: DataFrame, repeated: bool) -> DataFrame:
+    """The rows of ``docs`` whose id, a missing one too, and text are in ``verdict``; of rows that repeat both the first."""
     kept = verdict.select(F.struct("doc_id", "text_tag").alias("kept"))
+    row = "_row" + "_" * max(len(c) for c in docs.columns)  # no column of the documents can clash
+    if repeated:
+        docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows_with_places")
     own = F.struct(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_tag"))
-    # The right side's column is named by its own table, so no column of the documents can clash.
-    return docs.alias("d").join(kept.alias("k"), own.eqNullSafe(F.col("k.kept")), "left_semi")
+    # The right side's column is named by its own table.
+    rows = docs.alias("d").join(kept.alias("k"), own.eqNullSafe(F.col("k.kept")), "left_semi")
+    if not repeated:
+        return rows
+    first = rows.groupBy(F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))).alias("same")).agg(F.min(row).alias(row)).select(row)
+    return docs.join(first, row, "left_semi").drop(row)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,14 +51,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z in either case) the one with the largest id stays."""
     verdict = exact_dedup(docs, keep="max", ignore_ascii_case=True)
-    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id", "text"])  # costs a shuffle of texts, so only where ids repeat
-    return _only(docs, verdict.filter("kept"))
+    return _only(docs, verdict.filter("kept"), _repeated(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the least id stays."""
-    return _only(docs, simhash_components(docs).filter("doc_id <=> component_id"))
+    """Of each component of near duplicates the document with the least id stays, one without an id only if none has one."""
+    found, repeated = simhash_components(docs), _repeated(docs)
+    if not repeated:
+        return _only(docs, found.filter(F.col("doc_id") == F.col("component_id")), repeated)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_tag")).alias("m")
+    return _only(docs, found.groupBy("component").agg(least).select("m.doc_id", "m.text_tag"), repeated)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
