@@ -40,6 +40,12 @@ def biomedical(context: Column) -> Column:
     return F.coalesce(context, F.lit("")).rlike(fixed.BIOMEDICAL)
 
 
+def citation_searchable(context: Column, title: Column, year: Column, journal: Column, page: Column) -> Column:
+    """Whether a citation matcher of the biomedical field is asked: all of these known, and a context of its field."""
+    known = lambda c: F.coalesce(c, F.lit("")) != ""
+    return known(title) & known(year) & known(journal) & known(page) & biomedical(context)
+
+
 #: Categories whose re-parsed references are worth a search.
 SEARCHED = ("journal_like_left", "other", "hidden_doi", "dergipark_file", "conference")
 

@@ -78,6 +78,11 @@ def hidden_dois(context: Column) -> Column:
     return F.array_distinct(F.filter(dois, lambda d: d.startswith("10.")))
 
 
+def other_hidden_dois(context: Column, known: Column) -> Column:
+    """``hidden_dois`` but for the one that is known already."""
+    return F.filter(hidden_dois(context), lambda d: (d != "") & (d != F.coalesce(known, F.lit(""))))
+
+
 def first_doi(context: Column) -> Column:
     return normalize_doi_spaced(F.regexp_extract(F.coalesce(context, F.lit("")), fixed.DOI_LOOSE, 1))
 

@@ -951,6 +951,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doi_lookup_summary(spark, sf_dir)
 
 
-from citeforge.plans import record_queries, source_queries, summary_queries  # noqa: E402  (they add their queries)
+from citeforge.plans import gate_queries, record_queries, source_queries, stream_queries, summary_queries  # noqa: E402  (they add their queries)
 
-__all__ = ["ORACLE", "QUERIES", "entry", "record_queries", "source_queries", "summary_queries"]
+__all__ = ["ORACLE", "QUERIES", "entry", "gate_queries", "record_queries", "source_queries", "stream_queries", "summary_queries"]

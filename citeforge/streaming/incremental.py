@@ -15,10 +15,11 @@ def stream_references(spark: SparkSession, path: str, schema: str, max_files: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def fill_store(stream: DataFrame, resolve: Callable[[DataFrame], DataFrame], store: str, checkpoint: str, key: str = "key") -> StreamingQuery:
+def fill_store(stream: DataFrame, resolve: Callable[[DataFrame], DataFrame], store: str, checkpoint: str, key: str = "key", once: bool = False) -> StreamingQuery:
     """Appends ``resolve`` of the keys that the store lacks, a part for each micro-batch.
 
-    A part's name is its batch id, and a repeated batch overwrites its own part: so a restart after
+    With ``once`` the stream's own state, which the checkpoint keeps, lets each key through once, so that
+    batches are small before they meet the store. A part's name is its batch id, and a repeated batch overwrites its own part: so a restart after
     a failure neither loses nor doubles answers.
     """
 
@@ -33,6 +34,8 @@ def fill_store(stream: DataFrame, resolve: Callable[[DataFrame], DataFrame], sto
             keys = batch.select(key).distinct()
         resolve(keys).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
+    if once:
+        stream = stream.dropDuplicates([key])
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

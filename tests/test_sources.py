@@ -141,6 +141,29 @@ def test_incremental_store(spark, tmp_path):
     assert sorted(r.key for r in spark.read.parquet(store).collect()) == ["a", "b", "c"]
 
 
+@pytest.mark.parametrize("once", [False, True])
+def test_a_stream_that_stops_in_the_middle(spark, tmp_path, once):
+    """A failure after a part was written: the restart repeats that batch, nothing is lost or there twice."""
+    src, store, check = (str(tmp_path / n) for n in ("in", "store", "check"))
+    for batch in (["a", "b", "a"], ["b", "c"], ["c", "d", "a"]):
+        spark.createDataFrame([(k,) for k in batch], "key string").coalesce(1).write.mode("append").parquet(src)
+    calls = []
+
+    def resolve(keys):
+        calls.append(sorted(r.key for r in keys.collect()))
+        if len(calls) == 2:
+            keys.withColumn("status", F.lit("half")).write.mode("overwrite").parquet(f"{store}/batch=1")
+            raise RuntimeError("lost")
+        return keys.withColumn("status", F.lit("ok"))
+
+    run = lambda: incremental.fill_store(incremental.stream_references(spark, src, "key string", max_files=1), resolve, store, check, once=once).awaitTermination()
+    with pytest.raises(Exception, match="lost"):
+        run()
+    run()
+    assert sorted((r.key, r.status) for r in spark.read.parquet(store).collect()) == [(k, "ok") for k in "abcd"]
+    assert calls[1] == calls[2] and len(calls) == 4
+
+
 def _split(spark, size: int):
     spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     spark.conf.set("spark.sql.files.openCostInBytes", 1)
