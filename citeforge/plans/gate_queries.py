@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeforge.functions import classify, fixed, identifiers, parsing, text
+from citeforge.functions import classify, fixed, identifiers, parsing, similarity, text
+from citeforge.operators import candidates, ranking
 from citeforge.plans import oracle as o
 from citeforge.plans.registry import query
 from citeforge.plans.views import refs, works
@@ -66,6 +67,37 @@ def citation_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("sample_index", classify.biomedical(F.col("context")).alias("biomedical"), page.alias("page"), classify.citation_searchable(F.col("context"), lost("title", 0), lost("year", 1), lost("journal", 2), page).alias("searchable"))
 
 
+# --- names that are alike ---------------------------------------------------------------------------------
+
+
+def _journals_and_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """References with the journal that a parser found, none in a quarter; works with their collection's name. Words are
+    swapped, left out and added, so that names are alike by words and letters, not by containment."""
+    number = (F.col("part") % 25).cast("string")
+    form = F.col("k") % 4
+    journal = F.when(form == 0, "").when(form == 1, _join("Dergisi Calisma No", number)).when(form == 2, _join("Çalışma Dergisi Yeni No", number, " Serisi")).otherwise(_join("Calismalar Dergileri No", number))
+    r = refs(spark, sf_dir).select("sample_index", "context", journal.alias("parsed_journal"))
+    w = works(spark, sf_dir).select("work_id", "title", _join("Calisma Dergisi No", F.col("work_id") % 25, F.when(F.col("work_id") % 3 == 0, " Ankara").otherwise("")).alias("set_name"))
+    return r, w
+
+
+@query()
+def alike_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journals and collections whose names are 0.55 or more alike, by words and by the ratio. No SQL, for the ratio."""
+    r, w = _journals_and_sets(spark, sf_dir)
+    return candidates.similar_names(r.filter("parsed_journal <> ''"), w, "parsed_journal", "set_name", similarity.name_similarity, 0.55)
+
+
+@query()
+def collection_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the records of collections named 0.55 or more like a reference's journal, or of all where it has none, the one
+    that shares most title tokens. No SQL, for the ratio."""
+    r, w = _journals_and_sets(spark, sf_dir)
+    tokens = lambda c: text.tokens(text.normalize_text(F.col(c))).alias("tokens")
+    pairs = candidates.records_of_collections(r.select("sample_index", "parsed_journal", tokens("context")), w.select("work_id", "set_name", tokens("title")), "sample_index", "work_id", "parsed_journal", "set_name", "tokens", similarity.name_similarity, 0.55, 5)
+    return ranking.best(pairs, ["sample_index"], [-F.col("shared"), F.col("work_id")])
+
+
 # --- citations of every form -----------------------------------------------------------------------------
 
 
