@@ -69,20 +69,30 @@ def _entry(title: Column, journal: Column, year: Column, authors: Column, parser
     return F.struct(*(c.alias(n) for n, c in fields.items()), F.lit(parser).alias("parser"))
 
 
+#: Between the groups of a match; no cleaned context has it.
+_BETWEEN = "\x01\x02\x01"
+
+
+def _match(text: Column, pattern: str, groups: int) -> Column:
+    """What stands before the first match and the groups of it, in one pass; null where there is none."""
+    whole = rf"\A((?s:.*?))(?:{pattern})(?s:.*)\z"
+    found = F.regexp_replace(text, whole, _BETWEEN + _BETWEEN.join(f"${i}" for i in range(1, groups + 2)))
+    return let(found, lambda x: F.when(x.startswith(_BETWEEN), F.slice(F.split(x, _BETWEEN), 2, groups + 1)))
+
+
 def _parsed(text: Column) -> Column:
-    get = lambda p, g, of=text: F.regexp_extract(of, p, g)
-    quoted = F.when(text.rlike(fixed.QUOTED), _entry(get(fixed.QUOTED, 1), get(fixed.QUOTED, 2), get(fixed.QUOTED, 3), F.call_function("substring_index", text, get(fixed.QUOTED, 0), F.lit(1)), "quoted"))
-    apa = F.when(text.rlike(fixed.APA) & useful_phrase(get(fixed.APA, 3)), _entry(get(fixed.APA, 3), get(fixed.APA, 4), get(fixed.APA, 2), get(fixed.APA, 1), "apa"))
+    def quoted(m: Column) -> Column:
+        return F.when(m.isNotNull(), _entry(m[1], m[2], m[3], m[0], "quoted"))
+
+    def dated(m: Column, parser: str) -> Column:
+        return F.when(m.isNotNull() & useful_phrase(m[3]), _entry(m[3], m[4], m[2], m[1], parser))
 
     def by_sentence(parts: Column) -> Column:
         rest = lambda i: F.array_join(F.slice(parts, i + 1, F.size(parts)), ". ")
         places = F.filter(F.array(F.lit(2), F.lit(3), F.lit(4)), lambda i: (i <= F.size(parts) - 1) & F.coalesce(rest(i).rlike(fixed.VANCOUVER) & useful_phrase(F.try_element_at(parts, i)), F.lit(False)))
-        found = lambda i: _entry(F.element_at(parts, i), get(fixed.VANCOUVER, 1, rest(i)), get(fixed.VANCOUVER, 2, rest(i)), F.element_at(parts, 1), "vancouver")
+        found = lambda i: let(_match(rest(i), fixed.VANCOUVER, 2), lambda m: _entry(F.element_at(parts, i), m[1], m[2], F.element_at(parts, 1), "vancouver"))
         return F.when(F.size(places) > 0, let(F.try_element_at(places, F.lit(1)), found))
 
-    vancouver = let(sentences(text, fixed.TRIM_QUERY), by_sentence)
-    loose = F.when(text.rlike(fixed.LOOSE) & useful_phrase(get(fixed.LOOSE, 3)), _entry(get(fixed.LOOSE, 3), get(fixed.LOOSE, 4), get(fixed.LOOSE, 2), get(fixed.LOOSE, 1), "loose_year"))
-
     def by_volume(last: Column) -> Column:
         ahead = F.length(text) - F.length(last) - F.length(F.call_function("substring_index", text, last, F.lit(-1)))
         before = sentences(strip(F.substring(text, F.lit(1), ahead), fixed.TRIM_QUERY), fixed.TRIM_QUERY)
@@ -92,10 +102,12 @@ def _parsed(text: Column) -> Column:
             _entry(F.try_element_at(b, F.lit(-1)), F.regexp_extract(last, fixed.VOLUME_PAGES, 1), year, F.try_element_at(b, F.lit(1)), "volume_pages"),
         ))
 
+    vancouver = let(sentences(text, fixed.TRIM_QUERY), by_sentence)
     whole = F.regexp_extract_all(text, F.lit(fixed.VOLUME_PAGES), F.lit(0))
     pages = let(F.try_element_at(whole, F.lit(-1)), lambda last: F.when(last.isNotNull(), by_volume(last)))
+    in_quotes, apa, loose = let(_match(text, fixed.QUOTED, 4), quoted), let(_match(text, fixed.APA, 4), lambda m: dated(m, "apa")), let(_match(text, fixed.LOOSE, 4), lambda m: dated(m, "loose_year"))
     nothing = F.struct(*(F.lit("").alias(n) for n in ("title", "journal")), F.regexp_extract(text, fixed.YEAR_WIDE, 1).alias("year"), F.lit("").alias("authors"), F.lit("unparsed").alias("parser"))
-    chosen = F.coalesce(quoted, apa, vancouver, loose, pages, nothing)
+    chosen = F.coalesce(in_quotes, apa, vancouver, loose, pages, nothing)
     pieces = lambda p: F.concat_ws(" ", *(F.nullif(p[n], F.lit("")) for n in ("title", "authors", "journal", "year")))
     query = lambda p: F.when(p["parser"] == "unparsed", F.lit("")).otherwise(strip(F.substring(compact_spaces(pieces(p)), 1, 280), fixed.TRIM_QUERY))
     return let(chosen, lambda p: F.struct(p["title"].alias("title"), p["journal"].alias("journal"), p["year"].alias("year"), p["authors"].alias("authors"), query(p).alias("query"), p["parser"].alias("parser")))
