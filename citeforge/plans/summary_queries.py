@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from citeforge.operators import ranking, summary
 from citeforge.plans import oracle as o
 from citeforge.plans.registry import query
 from citeforge.plans.views import refs, table
+from citeforge.sources import sinks
 
 _S = "CASE k % 8 WHEN 0 THEN 'strong' WHEN 1 THEN 'strong' WHEN 2 THEN 'possible' WHEN 3 THEN 'search_error' ELSE 'no_match' END"
 _n = lambda cond: f"count(*) FILTER ({cond})"
@@ -23,17 +26,45 @@ def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("status", F.when(_k(8) <= 1, "strong").when(_k(8) == 2, "possible").when(_k(8) == 3, "search_error").otherwise("no_match"))
 
 
-@query(f"""{o.WITH_REFS}, a AS (SELECT scope, count(*) AS target, {_n("s = 'strong'")} AS strong, {_n("s = 'possible'")} AS possible, {_n("s = 'no_match'")} AS no_match, {_n("s = 'search_error'")} AS search_error
+_FALLBACK = f"""{o.WITH_REFS}, a AS (SELECT scope, count(*) AS target, {_n("s = 'strong'")} AS strong, {_n("s = 'possible'")} AS possible, {_n("s = 'no_match'")} AS no_match, {_n("s = 'search_error'")} AS search_error
   FROM (SELECT CASE WHEN k % 3 = 0 THEN 'no_doi' ELSE 'not_found' END AS scope, {_S} AS s FROM refs) GROUP BY scope)
   SELECT *, 700 + strong AS strict_found, 700 + strong + possible AS broad_found, {o.percent("700 + strong", "60000")} AS strict_rate, {o.percent("700 + strong + possible", "60000")} AS broad_rate,
   CASE WHEN scope <> 'no_doi' THEN {o.percent("700 + strong", "50000")} END AS strict_rate_doi, CASE WHEN scope <> 'no_doi' THEN {o.percent("700 + strong + possible", "50000")} END AS broad_rate_doi,
-  scope <> 'no_doi' AS doi_rate_applies, {o.percent("strong", "target")} AS recovery_strong, {o.percent("strong + possible", "target")} AS recovery_broad FROM a""")
+  scope <> 'no_doi' AS doi_rate_applies, {o.percent("strong", "target")} AS recovery_strong, {o.percent("strong + possible", "target")} AS recovery_broad FROM a"""
+
+
+@query(_FALLBACK)
 def fallback_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a fallback adds, strict and broad; no rate over DOIs for references without one."""
     scope = F.when(_k(3) == 0, "no_doi").otherwise("not_found").alias("scope")
     return summary.fallback_summary(_status(spark, sf_dir).select("status", scope), base=700, sampled=60_000, with_doi=50_000)
 
 
+#: The report of a fallback: fixed lines and what stands in them.
+_REPORT = (
+    "# Crossref Bibliographic Fallback Stats", "", "- Scope: {scope}", "- Checked fallback references: {target}", "- Strong bibliographic matches: {strong}", "- Possible bibliographic matches: {possible}",
+    "- No match: {no_match}", "- Search errors: {search_error}", "", "## Updated Stats", "", "- Strict found after fallback: {strict_found} ({strict_rate}% of all refs)", "- Broad found after fallback: {broad_found} ({broad_rate}% of all refs)",
+)
+_REPORT_DOI = ("- Strict found rate among DOI refs: {strict_rate_doi}%", "- Broad found rate among DOI refs: {broad_rate_doi}%")
+_REPORT_END = ("- Fallback recovery, strong only: {recovery_strong}%", "- Fallback recovery, strong + possible: {recovery_broad}%", "", "`strong` is the safer count. `possible` should be manually reviewed before treating it as ground truth.")
+
+
+def _report_sql() -> str:
+    def line(text: str) -> str:
+        parts = re.split(r"\{(\w+)\}", text)
+        return " || ".join(f"CAST({p} AS VARCHAR)" if i % 2 else o.q(p) for i, p in enumerate(parts))
+
+    both = lambda lines: " || chr(10) || ".join(line(x) for x in lines)
+    return f"WITH s AS ({_FALLBACK}) SELECT scope, {both(_REPORT)} || chr(10) || CASE WHEN doi_rate_applies THEN {both(_REPORT_DOI)} || chr(10) ELSE '' END || {both(_REPORT_END)} || chr(10) AS report FROM s"
+
+
+@query(_report_sql())
+def fallback_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fallback's report with its own sections, one for each scope; rates over DOIs only where they apply."""
+    lines = [*_REPORT, *((x, F.col("doi_rate_applies")) for x in _REPORT_DOI), *_REPORT_END]
+    return fallback_summary(spark, sf_dir).select("scope", sinks.report(lines).alias("report"))
+
+
 @query(f"""{o.WITH_REFS}, a AS (SELECT count(*) AS sampled, {_n("k % 6 = 1")} AS found, {_n("k % 5 <> 0")} AS with_doi, {_n("k % 5 <> 0 AND k % 6 = 1")} AS found_with_doi, {_n("k % 5 = 0 AND k % 6 = 1")} AS found_without_doi FROM refs)
   SELECT *, sampled - with_doi AS without_doi, {o.percent("found", "sampled")} AS found_rate, {o.percent("found_without_doi", "sampled - with_doi")} AS found_rate_without_doi FROM a""")
 def form_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

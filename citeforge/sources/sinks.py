@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +38,18 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs.rename(aside, where)
 
 
+def report(lines: list[str | tuple[str, Column]]) -> Column:
+    """A Markdown report of a summary's row: lines with ``{column}`` where a value goes, ``-`` for none. A line that comes
+    with a condition is left out where it doesn't hold."""
+
+    def filled(line: str) -> Column:
+        parts = re.split(r"\{(\w+)\}", line)
+        return F.concat(*(F.coalesce(F.col(p).cast("string"), F.lit("-")) if i % 2 else F.lit(p) for i, p in enumerate(parts)))
+
+    rows = [filled(x) if isinstance(x, str) else F.when(x[1], filled(x[0])) for x in lines]
+    return F.concat(F.array_join(F.array_compact(F.array(*rows)), "\n"), F.lit("\n"))
+
+
 def summary_json(summary: DataFrame) -> str:
     """A one-row summary, pretty, keys sorted."""
     return json.dumps(summary.first().asDict(recursive=True), ensure_ascii=False, indent=2, sort_keys=True) + "\n"
