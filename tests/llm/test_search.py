@@ -103,16 +103,16 @@ def _speech(rng: random.Random, n: int) -> str:
     return "".join(rng.choice(words) + rng.choice([" "] * 12 + ["\t", ", ", ".", "\n", "\r", "  "]) for _ in range(n))
 
 
-@pytest.mark.parametrize(("sent_words", "share"), [(co.SENT_WORDS, 256), (0, 256), (co.SENT_WORDS, 6), (0, 2)])
-def test_collocations(spark, monkeypatch, sent_words, share):
-    """Words sent or joined; prefixes of a large share split by further words."""
+@pytest.mark.parametrize(("sent_words", "share", "sent_pairs"), [(co.SENT_WORDS, 256, co.SENT_PAIRS), (0, 256, 0), (co.SENT_WORDS, 12, 0), (0, 40, co.SENT_PAIRS)])
+def test_collocations(spark, monkeypatch, sent_words, share, sent_pairs):
+    """Words sent or joined; suffixes ended at rare pairs or not; prefixes of a large share split by further words."""
     monkeypatch.setattr(co, "SHARE", share)
     rng = random.Random(share)
     rows = [(_speech(rng, rng.randint(0, 120)), rng.choice(["en", "de", None, "", "und"]), 1, "p") for _ in range(60)]
     rows += [("b c b c b c b c b c", "en", 1, "p")] * 30 + [(None, "en", 1, "p"), ("", None, 1, "p"), ("zz yy. zz yy", "fr", 1, "p")]
     frame = spark.createDataFrame(rows, "text string, lang string, rank long, phrase string").repartition(5)
     for least, first, max_n in ((4, 2000, 5), (1, 7, 3)):
-        got = co.collocations(frame, least=least, first=first, sent_words=sent_words, max_n=max_n)
+        got = co.collocations(frame, least=least, first=first, sent_words=sent_words, max_n=max_n, sent_pairs=sent_pairs)
         assert Counter(tuple(r) for r in got.collect()) == expected_collocations([r[:2] for r in rows], least, first, max_n)
 
 
