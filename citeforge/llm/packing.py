@@ -1,25 +1,29 @@
 """Best-fit packing of token pieces into sequences of a fixed length.
 
-Bulk-synchronous best-fit. Lengths fall into bands (capacity / k), longest first. Each superstep of
-a band is a few Spark jobs over two tables, the band's open pieces and the gaps of all sequences:
-
-1. pieces and gaps are range-sorted by size together, largest first;
-2. a sweep over each sorted part hands every piece its successor, the smallest free gap that holds it;
-3. pieces that found none in their part are numbered, as are the gaps that their parts left over, so
-   that the last gap before a piece is its own: conflicts are resolved by rank, and a join on the
-   number closes what crosses parts;
-4. gaps shrink by what they took, and new sequences open for the pieces that are left.
-
-A gap takes as many pieces of a band at once as it certainly holds, so the number of supersteps
-depends on ``capacity``, not on the number of documents. The driver sees one row for each part.
+Bulk-synchronous best-fit over runs. Pieces of one length are interchangeable, and so are gaps of one
+size, so the tables of the supersteps have runs: pieces of a length from one rank to another, and
+sequences from one number to another with the same gap. Lengths fall into bands (capacity / k),
+longest first, and a band is one superstep:
+
+1. its runs of pieces and the runs of gaps are range-sorted by size together, largest first;
+2. a sweep over each sorted part hands every piece its successor, the smallest gap that holds it;
+3. pieces that found none in their part, and the gaps that all parts left, are swept once more, in the
+   order of their ranks, which resolves what crosses parts; new sequences open for what is left then;
+4. gaps shrink by what they took, and pass to the next band.
+
+Runs split at most twice for each run of pieces, so their number depends on ``capacity``, not on the number of
+documents; what does grow is read twice (counts of lengths, then places) and never sorted. A piece knows its
+rank by its part of the table, its number there among pieces of its length, and the counts of the parts before.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, insort
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeforge.llm.columns import id_and_text
-from citeforge.llm.scratch import written
+from citeforge.llm.scratch import dropped, written
 from citeforge.llm.tokenfiles import default_path, pattern, read_ranks
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -38,8 +42,12 @@ CAPACITY = 1024
 
 #: A band ends at capacity // k; pieces of a band fit k times into an empty sequence.
 BANDS = (1, 2, 3, 4, 5, 6, 8, 11, 16, 32, 64, 256)
-#: Pieces and gaps that one task sorts and sweeps.
-ROWS_A_PART = 100_000
+#: Sizes for each part of the range sort.
+SIZES_A_PART = 256
+#: Sequences that a band opens have numbers from its own multiple of this.
+NUMBERS_A_BAND = 1 << 48
+#: A run's length and first rank in one sort key: lengths times this, ranks below it.
+RANKS = 1 << 44
 
 #: Texts of these characters split into pre-tokens alike under any version of the character
 #: tables, so the faster encoder of the same vocabulary may take them.
@@ -94,189 +102,143 @@ def token_pieces(
     tokenizer_path: str | None = None,
     ranks_path: str | None = None,
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32. A map without shuffle."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, and its place among pieces of its
+    length: part, and nth there, from 0. A map without shuffle."""
     paths = tokenizer_path or default_path(TOKENIZER_FILE), ranks_path or default_path(RANKS_FILE)
-    types = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    types = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())]
     schema = pa.schema(types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokens(*paths)
+        own, part = tokens(*paths), TaskContext.get().partitionId()
+        before = [0] * (capacity + 1)
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in types]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(own.ids(text), SEPARATOR_ID).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
-                    for column, x in zip(out, (doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes())), strict=True):
+                    crc = zlib.crc32(ids[start : start + length].tobytes())
+                    for column, x in zip(out, (doc_id, k, start, length, crc, part, before[length]), strict=True):
                         column.append(x)
+                    before[length] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, types, strict=True)], schema=schema)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long"
-    )
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, f"{PIECE}, part int, nth long")
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-SWEPT = f"{PIECE}, sequence_id long, part int, at long, slots long, free long"
+#: Pieces (no sequence_id), gaps (no length), or pieces in their sequences: ``per`` of them to each of the
+#: sequences from sequence_id, from ``at`` there.
+RUN = "length long, first long, n long, sequence_id long, per long, at long, free long"
 
 
-def swept(pieces: DataFrame, gaps: DataFrame, longest: int, parts: int) -> DataFrame:
-    """Pieces with the sequence of their successor gap, as far as it lies in their part of the sort.
+def best_fit(pieces: list[tuple], gaps: list[tuple], capacity: int, opened: int | None = None) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """Runs of pieces (length, first, n), longest first, into the tightest of the gaps (sequence, n, free).
 
-    ``at`` counts a part's pieces without one; ``slots`` is set for gaps that the part leaves over,
-    whose slots are counted from ``at``. A gap has a slot for each ``longest`` that it holds. Where
-    all rows fit one part, all gaps come back instead, and ``free`` is what the pieces left of them.
+    Returns runs in place (length, first, n, sequence, per, at), the gaps then, and the pieces that none
+    holds. With ``opened``, the first number of a new sequence, new ones open for those instead.
     """
-    offered = gaps.select(
-        *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in PIECE.split(", "))),
-        "sequence_id", F.greatest(F.lit(1), F.floor(F.col("free") / longest)).cast("long").alias("slots"),
-        F.least("free", F.lit(longest).cast("long")).alias("size"), "free",
-    )
-    wanted = pieces.withColumns(
-        {"sequence_id": F.lit(None).cast("long"), "slots": F.lit(0).cast("long"), "size": F.col("length"), "free": F.lit(0).cast("long")}
-    )
-    # Gaps stand before pieces of their size, and of gaps that hold all pieces the tightest stands last.
-    order = [F.desc("size"), F.desc(F.col("slots") > 0), F.desc("free"), "sequence_id", "doc_id", "piece", "start", "ids_crc32"]
-    rows = wanted.unionByName(offered)
-    rows = (rows.repartition(1) if parts == 1 else rows.repartitionByRange(parts, *order)).sortWithinPartitions(*order)
+    runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for sequence, n, free in sorted(gaps, reverse=True):
+        runs[free].append((sequence, n))
+    sizes, taken, rest = sorted(runs), [], []
+
+    def offer(sequence: int, n: int, free: int) -> None:
+        if n and free:
+            if not runs[free]:
+                insort(sizes, free)
+            runs[free].append((sequence, n))
+
+    for length, first, n in sorted(pieces, key=lambda p: (-p[0], p[1])):
+        while n:
+            k = bisect_left(sizes, length)
+            if k == len(sizes) and opened is None:
+                rest.append((length, first, n))
+                break
+            if k == len(sizes):
+                more = -(-n // (capacity // length))
+                offer(opened, more, capacity)
+                opened += more
+            free = sizes[k]
+            sequence, count = runs[free].pop()
+            if not runs[free]:
+                sizes.pop(k)
+            # A gap that has taken a piece is the tightest for the next of its length, as long as it holds it.
+            per = min(free // length, n)
+            filled = min(count, n // per)
+            taken.append((length, first, filled * per, sequence, per, capacity - free))
+            offer(sequence + filled, count - filled, free)
+            offer(sequence, filled, free - per * length)
+            first, n = first + filled * per, n - filled * per
+    return taken, [(sequence, n, free) for free in sizes for sequence, n in runs[free]], rest
+
+
+def swept(rows: DataFrame, capacity: int, opened: int | None = None) -> DataFrame:
+    """``best_fit`` over each part of ``rows``."""
+    schema = pa.schema([(x.split()[0], pa.int64()) for x in RUN.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, open_pieces = TaskContext.get().partitionId(), 0
-        stack: list[list[int]] = []  # gaps, the smallest last: sequence, slots, free
-        seen: list[list[int]] = []
-        for batch in batches:
-            to: list[int | None] = []
-            at: list[int | None] = []
-            slots = batch.column("slots").to_pylist()
-            columns = (batch.column(c).to_pylist() for c in ("sequence_id", "free", "length"))
-            for n, sequence, free, length in zip(slots, *columns, strict=True):
-                if n:
-                    stack.append([sequence, n, free])
-                    if parts == 1:
-                        seen.append(stack[-1])
-                elif stack:
-                    to.append(stack[-1][0])
-                    at.append(None)
-                    stack[-1][1] -= 1
-                    stack[-1][2] -= length
-                    if not stack[-1][1]:
-                        stack.pop()
-                else:
-                    to.append(None)
-                    at.append(open_pieces)
-                    open_pieces += 1
-            of_pieces = batch.filter(pa.array(np.array(slots, np.int64) == 0))
-            n = len(to)
-            yield pa.RecordBatch.from_arrays(
-                [*of_pieces.columns[:5], pa.array(to, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(at, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
-                names=[x.split()[0] for x in SWEPT.split(", ")],
-            )
-        if seen or stack:
-            sequence, n, free = np.array(seen or stack, np.int64).T
-            own = [pa.nulls(len(n), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                [*own, pa.array(sequence), pa.array([part] * len(n), pa.int32()), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(free)],
-                names=[x.split()[0] for x in SWEPT.split(", ")],
-            )
-
-    return written(rows.mapInArrow(run, SWEPT), "packing_swept")
-
-
-def across_parts(counts: list[tuple[int, int, int]]) -> tuple[list[tuple], list[tuple]]:
-    """Which open pieces of a part take which left-over slots of the parts before it.
-
-    ``counts`` has (part, open pieces, left-over slots) in the order of parts. Returns runs
-    (part, first, end, number of the first) of pieces, and of slots, whose numbers fall.
+        own = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        pieces = [(length, first, n) for length, first, n, *_ in own if length is not None]
+        gaps = [(sequence, n, free) for length, _, n, sequence, _, _, free in own if length is None]
+        taken, left, rest = best_fit(pieces, gaps, capacity, opened)
+        out = [(*t, None) for t in taken] + [(None, None, n, sequence, None, None, free) for sequence, n, free in left]
+        out += [(*p, None, None, None, None) for p in rest]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+
+    return rows.mapInArrow(run, RUN)
+
+
+def packed(lengths: DataFrame, capacity: int = CAPACITY, sizes_a_part: int = SIZES_A_PART) -> list[tuple]:
+    """Runs in place (length, first, n, sequence_id, per, at) of rows (length, n).
+
+    The driver gets what depends on ``capacity`` only: which bands there are, and in the end the runs.
     """
-    pieces, slots, stack, number = [], [], [], 0
-    for part, n_pieces, n_slots in counts:
-        done = 0
-        while done < n_pieces and stack:
-            owner, end = stack.pop()
-            n = min(end, n_pieces - done)
-            pieces.append((part, done, done + n, number))
-            slots.append((owner, end - n, end, number))
-            done, number = done + n, number + n
-            if end > n:
-                stack.append((owner, end - n))
-        if n_slots:
-            stack.append((part, n_slots))
-    return pieces, slots
-
-
-def joined_across(rows: DataFrame, runs: tuple[list[tuple], list[tuple]]) -> DataFrame:
-    """The open pieces of ``rows`` with the sequence of a slot of an earlier part, if there is one."""
-    small = [F.broadcast(rows.sparkSession.createDataFrame(r, "part int, first long, end long, number long")) for r in runs]  # two rows a part
-    p, s = F.col("p.at"), F.col("s.at")
-    pieces = rows.filter("sequence_id is null").alias("p").join(
-        small[0].alias("r"), (F.col("p.part") == F.col("r.part")) & (p >= F.col("r.first")) & (p < F.col("r.end")), "left"
-    ).select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", (F.col("r.number") + p - F.col("r.first")).alias("number"))
-    slots = rows.filter("slots is not null").alias("s").join(
-        small[1].alias("r"), (F.col("s.part") == F.col("r.part")) & (s < F.col("r.end")) & (s + F.col("s.slots") > F.col("r.first"))
-    ).select("s.sequence_id", "r.end", "r.number", F.explode(F.sequence(F.greatest(s, "r.first"), F.least(s + F.col("s.slots"), "r.end") - 1)).alias("slot"))
-    slots = slots.select("sequence_id", (F.col("number") + F.col("end") - 1 - F.col("slot")).alias("number"))
-    return written(pieces.join(slots, "number", "left").drop("number"), "packing_joined")
-
-
-def placed(pieces: DataFrame, capacity: int = CAPACITY, rows_a_part: int = ROWS_A_PART) -> DataFrame:
-    """Pieces shorter than ``capacity`` with their sequence_id, from 0, and the ``step`` that put them there."""
-    spark = pieces.sparkSession
     highs = sorted({capacity // k for k in BANDS if capacity // k} | {1}, reverse=True)
     band = F.lit(0)
     for k, high in enumerate(highs):
         band = F.when(F.col("length") <= high, k).otherwise(band)
-    short = pieces.filter(F.col("length") < capacity)
-    sizes = F.sum("length"), F.min("length"), F.max("length")
-    found = short.groupBy(band.alias("band")).agg(F.count("*"), *sizes).collect()
-    gaps = spark.createDataFrame([], "sequence_id long, free long")
-    done = [spark.createDataFrame([], f"{PIECE}, sequence_id long, step int")]
-    opened = step = 0
-    for k, n, total, least, longest in sorted(tuple(r) for r in found):
-        left, first = short.filter(band == k).select(*(x.split()[0] for x in PIECE.split(", "))), True
-        while n:
-            if not first or not opened:  # new sequences are offered too; the sweep takes them last
-                more = max(-(-total // capacity), -(-n // (capacity // least)))
-                gaps = gaps.unionByName(spark.range(opened, opened + more, 1, 1 + more // rows_a_part).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("free")))
-                opened += more
-            first = False
-            parts = 1 + (n + opened) // rows_a_part
-            rows = swept(left, gaps if parts == 1 else gaps.filter(F.col("free") >= least), longest, parts)
-            is_open = F.col("sequence_id").isNull()
-            counts = rows.groupBy("part").agg(F.count_if(is_open), F.coalesce(F.sum("slots"), F.lit(0))).collect()
-            pairs, left = rows.filter("sequence_id is not null and slots is null"), rows.filter(is_open)
-            runs = across_parts(sorted(tuple(r) for r in counts))
-            if runs[0]:
-                rest = joined_across(rows, runs)
-                pairs, left = pairs.unionByName(rest.filter("sequence_id is not null"), allowMissingColumns=True), rest.filter(is_open)
-            n = sum(r[1] for r in counts) - sum(end - begin for _, begin, end, _ in runs[0])
-            columns = [x.split()[0] for x in PIECE.split(", ")]
-            pairs, left = pairs.select(*columns, "sequence_id", F.lit(step).alias("step")), left.select(*columns)
-            if n:
-                total, least, longest = left.agg(*sizes).first()
-            if parts == 1:
-                gaps = rows.filter("slots is not null and free > 0").select("sequence_id", "free")
-            else:
-                taken = pairs.select("sequence_id", (-F.col("length")).alias("free"))
-                gaps = written(gaps.unionByName(taken).groupBy("sequence_id").agg(F.sum("free").alias("free")).filter("free > 0"), "packing_gaps")
-            done.append(pairs)
-            step += 1
-    out = done[0]
-    for pairs in done[1:]:
-        out = out.unionByName(pairs)
+    columns = [x.split()[0] for x in RUN.split(", ")]
+    none = lambda *names: (F.lit(None).cast("long").alias(c) for c in names)
+    pieces = lengths.select("length", F.lit(0).cast("long").alias("first"), "n", *none(*columns[3:]))
+    parts = 2 + capacity // sizes_a_part
+    gaps = lengths.sparkSession.createDataFrame([], RUN)
+    in_place, tables = [gaps], []
+    for (k,) in sorted(tuple(r) for r in lengths.select(band).distinct().collect()):
+        size = F.coalesce("length", F.least("free", F.lit(highs[k]).cast("long")))
+        rows = pieces.filter(band == k).unionByName(gaps).repartitionByRange(parts, F.desc(size))
+        found = written(swept(rows, capacity), "packing_swept")
+        rest = written(swept(found.filter("per is null").repartition(1), capacity, k * NUMBERS_A_BAND), "packing_joined")
+        in_place += [found.filter("per is not null"), rest.filter("per is not null")]
+        gaps = rest.filter("per is null")
+        tables += [found, rest]
+    out = [tuple(r) for r in reduce(DataFrame.unionByName, in_place).select(*columns[:-1]).collect()]
+    dropped(*tables)
     return out
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, rows_a_part: int = ROWS_A_PART) -> DataFrame:
-    """Adds sequence_id and offset to rows of (doc_id, piece, start, length, ids_crc32, row).
-
-    ``row`` is any number of the row's own, from 0; a full piece is a sequence by itself, with a
-    number below 0.
-    """
+def place(pieces: DataFrame, capacity: int = CAPACITY, sizes_a_part: int = SIZES_A_PART) -> DataFrame:
+    """Rows of (doc_id, piece, start, length, ids_crc32, part, nth) with sequence_id and offset instead of the last two."""
+    counts = written(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "packing_counts")
+    runs = packed(counts.groupBy("length").agg(F.sum("n").alias("n")), capacity, sizes_a_part)
+    runs.sort()
+    own = pieces.sparkSession.sparkContext.broadcast(np.array(runs, np.int64).reshape(-1, 6))
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")).alias("before"))
     columns = [x.split()[0] for x in PIECE.split(", ")]
-    own = Window.partitionBy("sequence_id").orderBy("step", F.desc("length"), "doc_id", "piece", "start", "ids_crc32")
-    before = F.coalesce(F.sum("length").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    short = placed(pieces, capacity, rows_a_part).select(*columns, "sequence_id", before.alias("offset"))
-    full = pieces.filter(F.col("length") == capacity).select(*columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return short.unionByName(full)
+    ranked = pieces.join(before, ["length", "part"]).select(*columns, (F.col("before") + F.col("nth")).alias("rank"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length, first, _, sequence, per, at = own.value.T
+        keys = length * RANKS + first
+        for batch in batches:
+            lengths, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            k = np.searchsorted(keys, lengths * RANKS + rank, "right") - 1
+            turn, place_there = np.divmod(rank - first[k], per[k])
+            ours = pa.array(sequence[k] + turn), pa.array(at[k] + place_there * lengths)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *ours], names=[*columns, "sequence_id", "offset"])
+
+    return ranked.mapInArrow(run, f"{PIECE}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, **paths: str) -> DataFrame:
@@ -284,8 +246,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     A document is its ids and a closing separator, so a null or empty text is one piece of one
     token. Only documents over ``capacity`` are cut. Rows that repeat an id are documents of
-    their own; pieces of equal length are interchangeable, and ties go by id. An empty table
-    gives an empty result.
+    their own; pieces of equal length are interchangeable, and ties go by their places in the table.
+    An empty table gives an empty result.
     """
-    pieces = token_pieces(docs, id_col, text_col, capacity, **paths).withColumn("row", F.monotonically_increasing_id())
-    return place(written(pieces, "pieces"), capacity)
+    return place(written(token_pieces(docs, id_col, text_col, capacity, **paths), "pieces"), capacity)

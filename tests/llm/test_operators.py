@@ -141,43 +141,70 @@ def check_sequences(rows, lengths, capacity):
     return len(by)
 
 
+def plain_best_fit(lengths, capacity):
+    """Sequences of the loop that takes piece by piece, longest first."""
+    gaps: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= n]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else capacity) - n)
+    return len(gaps)
+
+
 @pytest.mark.parametrize(
-    ("name", "capacity", "rows_a_part"),
-    [("even", 64, 1000), ("even", 64, 40), ("even", 64, 7), ("small", 64, 25), ("thirds", 64, 30), ("full", 64, 50), ("ones", 1, 50)],
+    ("name", "capacity", "sizes_a_part"),
+    [("even", 64, 64), ("even", 64, 10), ("even", 64, 3), ("small", 64, 10), ("thirds", 64, 8), ("full", 64, 20), ("ones", 1, 1), ("hot", 64, 5)],
 )
-def test_supersteps_pack_as_best_fit_does(spark, name, capacity, rows_a_part):
+def test_supersteps_pack_as_best_fit_does(spark, name, capacity, sizes_a_part):
     """As few sequences as the plain best-fit decreasing loop, whether one part sweeps all or many do."""
     rng = np.random.default_rng(3)
     lengths = {
         "even": rng.integers(1, 65, 240), "small": rng.integers(1, 6, 300), "thirds": rng.integers(17, 30, 150),
         "full": np.append(rng.integers(1, 9, 40), [64] * 40), "ones": np.ones(60, int),
+        "hot": np.append(rng.integers(1, 65, 60), [23] * 500),
     }[name].tolist()
-    pieces = spark.createDataFrame([(i, 0, 0, n, 7, i) for i, n in enumerate(lengths)], packing.PIECE + ", row long")
-    got = check_sequences(packing.place(pieces, capacity, rows_a_part).collect(), lengths, capacity)
-    gaps: list[int] = []  # of the plain loop
-    for n in sorted(lengths, reverse=True):
-        fits = [g for g in gaps if g >= n]
-        if fits:
-            gaps.remove(min(fits))
-        gaps.append((min(fits) if fits else capacity) - n)
-    assert got <= len(gaps) * 1.02 + 1
+    seen: Counter = Counter()
+    rows = []
+    for i, n in enumerate(lengths):
+        rows.append((i, 0, 0, n, 7, i % 3, seen[n, i % 3]))
+        seen[n, i % 3] += 1
+    pieces = spark.createDataFrame(rows, packing.PIECE + ", part int, nth long")
+    got = check_sequences(packing.place(pieces, capacity, sizes_a_part).collect(), lengths, capacity)
+    assert got <= plain_best_fit(lengths, capacity) * 1.02 + 1
 
 
 @pytest.mark.parametrize("seed", range(20))
-def test_slots_across_parts(seed):
-    """Numbers of runs pair each piece with the last slot before it that none has taken."""
+def test_runs_pack_as_single_pieces_do(seed):
+    """One sweep over runs is the plain loop: as many sequences, every piece once, no place twice."""
     rng = random.Random(seed)
-    counts = [(part, rng.choice([0, 1, 5]), rng.choice([0, 2, 4])) for part in range(8)]
-    pieces, slots = packing.across_parts(counts)
-    piece_of = {number + i: (part, first + i) for part, first, end, number in pieces for i in range(end - first)}
-    slot_of = {number + i: (part, end - 1 - i) for part, first, end, number in slots for i in range(end - first)}
-    stack, want = [], {}
-    for part, n_pieces, n_slots in counts:
-        for i in range(n_pieces):
-            if stack:
-                want[part, i] = stack.pop()
-        stack += [(part, i) for i in range(n_slots)]
-    assert {piece_of[n]: slot_of[n] for n in piece_of} == want and piece_of.keys() == slot_of.keys()
+    capacity = rng.choice([1, 7, 64, 100])
+    lengths = Counter(rng.randint(1, rng.choice([capacity, max(1, capacity // 3)])) for _ in range(rng.choice([0, 1, 30, 400])))
+    taken, gaps, rest = packing.best_fit([(length, 0, n) for length, n in lengths.items()], [], capacity, 5)
+    assert not rest
+    places: dict = {}
+    ranks: Counter = Counter()
+    for length, first, n, sequence, per, at in taken:
+        for i in range(n):
+            places.setdefault(sequence + i // per, []).append((at + i % per * length, length))
+            ranks[length, first + i] += 1
+    assert ranks == Counter((length, i) for length, n in lengths.items() for i in range(n))
+    used = {}
+    for sequence, own in places.items():
+        end = 0
+        for at, length in sorted(own):
+            assert at == end
+            end += length
+        used[sequence] = capacity - end
+    assert {s + i: free for s, n, free in gaps for i in range(n)} == {s: free for s, free in used.items() if free}
+    assert len(places) == plain_best_fit(lengths.elements(), capacity)
+
+
+def test_runs_without_a_gap_stay_open():
+    """Without new sequences, pieces that no gap holds come back, and gaps keep what they have left."""
+    taken, gaps, rest = packing.best_fit([(5, 0, 4), (2, 0, 3)], [(9, 1, 6), (3, 2, 5)], 8)
+    assert rest == [(5, 3, 1), (2, 0, 3)] and gaps == [(9, 1, 1)]
+    assert taken == [(5, 0, 2, 3, 1, 3), (5, 2, 1, 9, 1, 2)]
 
 
 def test_tokens_agree_with_the_library():
