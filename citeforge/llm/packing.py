@@ -23,7 +23,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeforge.llm.columns import id_and_text
-from citeforge.llm.scratch import dropped, written
+from citeforge.llm.scratch import written
 from citeforge.llm.tokenfiles import default_path, pattern, read_ranks
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -42,7 +42,7 @@ CAPACITY = 1024
 
 #: A band ends at capacity // k; pieces of a band fit k times into an empty sequence.
 BANDS = (1, 2, 3, 4, 5, 6, 8, 11, 16, 32, 64, 256)
-#: Sizes for each part of the range sort.
+#: Lengths of a band for each part of its range sort.
 SIZES_A_PART = 256
 #: Sequences that a band opens have numbers from its own multiple of this.
 NUMBERS_A_BAND = 1 << 48
@@ -172,16 +172,22 @@ def best_fit(pieces: list[tuple], gaps: list[tuple], capacity: int, opened: int
     return taken, [(sequence, n, free) for free in sizes for sequence, n in runs[free]], rest
 
 
-def swept(rows: DataFrame, capacity: int, opened: int | None = None) -> DataFrame:
-    """``best_fit`` over each part of ``rows``."""
+def swept(rows: DataFrame, shortest: int, capacity: int, opened: int | None = None) -> DataFrame:
+    """``best_fit`` over each part of ``rows``. Shorter pieces, and those in place, pass through."""
     schema = pa.schema([(x.split()[0], pa.int64()) for x in RUN.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        pieces = [(length, first, n) for length, first, n, *_ in own if length is not None]
-        gaps = [(sequence, n, free) for length, _, n, sequence, _, _, free in own if length is None]
+        out, pieces, gaps = [], [], []
+        for row in (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            length, first, n, sequence, per, _, free = row
+            if length is None:
+                gaps.append((sequence, n, free))
+            elif per is None and length >= shortest:
+                pieces.append((length, first, n))
+            else:
+                out.append(row)
         taken, left, rest = best_fit(pieces, gaps, capacity, opened)
-        out = [(*t, None) for t in taken] + [(None, None, n, sequence, None, None, free) for sequence, n, free in left]
+        out += [(*t, None) for t in taken] + [(None, None, n, sequence, None, None, free) for sequence, n, free in left]
         out += [(*p, None, None, None, None) for p in rest]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
@@ -192,29 +198,19 @@ def swept(rows: DataFrame, capacity: int, opened: int | None = None) -> DataFram
 def packed(lengths: DataFrame, capacity: int = CAPACITY, sizes_a_part: int = SIZES_A_PART) -> list[tuple]:
     """Runs in place (length, first, n, sequence_id, per, at) of rows (length, n).
 
-    The driver gets what depends on ``capacity`` only: which bands there are, and in the end the runs.
+    One job: two shuffles of runs for each band. The driver gets the runs, whose number depends on
+    ``capacity`` only.
     """
     highs = sorted({capacity // k for k in BANDS if capacity // k} | {1}, reverse=True)
-    band = F.lit(0)
-    for k, high in enumerate(highs):
-        band = F.when(F.col("length") <= high, k).otherwise(band)
-    columns = [x.split()[0] for x in RUN.split(", ")]
-    none = lambda *names: (F.lit(None).cast("long").alias(c) for c in names)
-    pieces = lengths.select("length", F.lit(0).cast("long").alias("first"), "n", *none(*columns[3:]))
-    parts = 2 + capacity // sizes_a_part
-    gaps = lengths.sparkSession.createDataFrame([], RUN)
-    in_place, tables = [gaps], []
-    for (k,) in sorted(tuple(r) for r in lengths.select(band).distinct().collect()):
-        size = F.coalesce("length", F.least("free", F.lit(highs[k]).cast("long")))
-        rows = pieces.filter(band == k).unionByName(gaps).repartitionByRange(parts, F.desc(size))
-        found = written(swept(rows, capacity), "packing_swept")
-        rest = written(swept(found.filter("per is null").repartition(1), capacity, k * NUMBERS_A_BAND), "packing_joined")
-        in_place += [found.filter("per is not null"), rest.filter("per is not null")]
-        gaps = rest.filter("per is null")
-        tables += [found, rest]
-    out = [tuple(r) for r in reduce(DataFrame.unionByName, in_place).select(*columns[:-1]).collect()]
-    dropped(*tables)
-    return out
+    none = (F.lit(None).cast("long").alias(c) for c in ("sequence_id", "per", "at", "free"))
+    rows = lengths.select("length", F.lit(0).cast("long").alias("first"), "n", *none)
+    for k, (high, low) in enumerate(zip(highs, [*highs[1:], 0], strict=True)):
+        parts = 2 + (high - low) // sizes_a_part
+        size = F.least(F.coalesce("length", "free"), F.lit(high))
+        of_range = F.least(F.floor((high - size) * parts / (high - low)), F.lit(parts - 1)).cast("int")
+        found = swept(rows.repartitionById(parts, of_range), low + 1, capacity)
+        rows = swept(found.repartition(1), low + 1, capacity, k * NUMBERS_A_BAND)
+    return [tuple(r)[:-1] for r in rows.filter("per is not null").collect()]
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY, sizes_a_part: int = SIZES_A_PART) -> DataFrame:
