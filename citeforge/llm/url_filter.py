@@ -30,7 +30,7 @@ RULES = (
 
 @dataclass(frozen=True)
 class Tree:
-    """``depth``: levels of the tree, deeper segments fall together. ``children``: a node with
+    """``depth``: levels of the tree; what is deeper is one more segment, with all its text. ``children``: a node with
     more keeps only those with ``support`` pages, the others are one wildcard. ``z``: how many
     standard errors a sibling may be from its siblings' pooled share. ``weight``, ``prior``:
     the smoothing. ``purity``, ``labelled``: least smoothed share and labels to reject."""
@@ -66,13 +66,13 @@ def template(path: Column, depth: int) -> Column:
     """Segments with variable parts generalised: long hex ids, then runs of digits."""
     part = F.filter(F.split(path, "/"), lambda s: s != "")
     plain = F.transform(part, lambda s: F.regexp_replace(F.regexp_replace(s, "[0-9a-fA-F-]{16,}", "{h}"), "[0-9]+", "{n}"))
-    return F.when(F.size(plain) > depth, F.concat(F.slice(plain, 1, depth), F.array(F.lit("**")))).otherwise(plain)
+    return F.when(F.size(plain) > depth, F.concat(F.slice(plain, 1, depth), F.array(F.array_join(F.slice(plain, F.lit(depth + 1), F.size(plain)), "/")))).otherwise(plain)
 
 
 def judged_templates(counts: DataFrame, tree: Tree) -> DataFrame:
     """(host, parts, purity, labelled) of rows host, parts, n, bad, good."""
     rows = counts.withColumn("node", F.array().cast("array<string>"))
-    for level in range(1, tree.depth + 1):
+    for level in range(1, tree.depth + 2):
         if not rows.filter(F.size("parts") >= level).limit(1).count():
             break
         part = F.try_element_at("parts", F.lit(level))
@@ -83,7 +83,6 @@ def judged_templates(counts: DataFrame, tree: Tree) -> DataFrame:
             "node", F.when(F.col("part").isNull(), F.col("node")).otherwise(F.concat("node", F.array(F.when(F.col("rare"), F.lit("*")).otherwise(F.col("part")))))
         ).drop("part", "rare")
         rows = written(rows, "url_nodes")  # else the plan would treble with each level
-    rows = rows.withColumn("node", F.concat("node", F.slice("parts", tree.depth + 1, 1)))
 
     # Siblings, at every level: leaves of a host that differ in one segment only. Of each such pool
     # the labelled leaves whose share is near the pool's count.

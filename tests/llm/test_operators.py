@@ -441,6 +441,17 @@ def test_url_siblings_are_pooled_at_every_level(spark):
     assert sorted(r.verdict for r in got if r.page_id == 9001) == ["allow", "block"]
 
 
+def test_url_segments_beyond_the_depth_count(spark):
+    """Templates that differ only below the tree's depth are judged apart; a long tail is no other template."""
+    tail = "/z" * 3000
+    rows = [(2 * i + k, f"http://h.com/a/b/c/d/{kind}/{i}{tail if i == 29 else ''}") for i in range(30) for k, kind in enumerate(("x", "y"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(p, p % 2 == 0) for p, _ in rows if p < 40], "page_id long, bad boolean")
+    got = url_filter.url_filter(pages, rules=(), labels=labels, tree=url_filter.Tree(depth=3)).collect()
+    assert {r.page_id: r.verdict for r in got if r.page_id < 58} == {p: ("allow", "block")[p % 2 == 0] for p in range(58)}
+    assert {r.template for r in got if r.page_id < 58} == {"/a/b/c/d/x/{n}", "/a/b/c/d/y/{n}"}
+
+
 def test_url_rules_as_labels_against_brute_force(spark, tmp_path):
     """The registered query, on hosts with ruled and unruled pages."""
     from citeforge.llm.registry import queries
