@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,18 +34,49 @@ def common_letters(a: str, b: str) -> int:
     return len(a) - left.bit_count()
 
 
-@F.pandas_udf(T.DoubleType())
-def ratio_from(left: pd.Series, right: pd.Series, least: pd.Series) -> pd.Series:
-    """``ratio`` where it is ``least`` or more, else null. Matching blocks are a common subsequence, so
+def ratio_from(a: str, b: str, least: float) -> float | None:
+    """``ratio`` where it is ``least`` or more, else None. Matching blocks are a common subsequence, so
     where the longest one is too short no blocks are sought."""
-
-    def one(a: str | None, b: str | None, least: float) -> float | None:
-        if a is None or b is None or 2.0 * common_letters(a, b) / max(len(a) + len(b), 1) < least:
-            return None
-        found = SequenceMatcher(None, a, b).ratio()
-        return found if found >= least else None
-
-    return pd.Series([one(*x) for x in zip(left, right, least, strict=True)], dtype="float64")
+    if 2.0 * common_letters(a, b) / max(len(a) + len(b), 1) < least:
+        return None
+    found = SequenceMatcher(None, a, b).ratio()
+    return found if found >= least else None
+
+
+#: Rows whose best ratio so far a task remembers.
+REMEMBERED = 50_000
+
+
+def best_ratios(pairs: DataFrame, keys: list[str], other: str, least: float) -> DataFrame:
+    """(keys, other, alignment_score): of each row's pairs those that may be its best at ``least`` or more, with the ratio
+    of ``_r`` and ``_c``, or 1 where one stands in the other (``_inside``); the best are always among them.
+
+    A task takes the pairs it gets together by falling ``_bound`` and remembers each row's best so far: a pair
+    that can't reach it is left out, by its bound or by its longest common subsequence. Which pairs meet in
+    a task decides how many ratios are made, not what is best.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        so_far: dict[tuple, float] = {}
+        for d in batches:
+            if len(so_far) > REMEMBERED:
+                so_far.clear()
+            a, b, inside, bound = (d.column(c).to_pylist() for c in ("_r", "_c", "_inside", "_bound"))
+            ids = list(zip(*(d.column(k).to_pylist() for k in keys), strict=True))
+            kept, scores = [], []
+            for i in sorted(range(d.num_rows), key=lambda i: -bound[i]):
+                least_ = so_far.get(ids[i], least)
+                score = None if bound[i] < least_ else 1.0 if inside[i] else ratio_from(a[i], b[i], least_)
+                if score is not None:
+                    so_far[ids[i]] = score
+                    kept.append(i)
+                    scores.append(score)
+            own = d.select([*keys, other]).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(scores, pa.float64())], [*keys, other, "alignment_score"])
+
+    kept = [*keys, other, "_r", "_c", "_inside", "_bound"]
+    schema = T.StructType([*(pairs.schema[c] for c in (*keys, other)), T.StructField("alignment_score", T.DoubleType())])
+    return pairs.select(*kept).mapInArrow(of, schema)
 
 
 #: What folded texts are made of; the blank is last.
