@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeforge.functions import classify, fixed, identifiers, parsing, similarity, text
-from citeforge.operators import candidates, ranking
+from citeforge.operators import candidates
 from citeforge.plans import oracle as o
 from citeforge.plans.registry import query
 from citeforge.plans.views import refs, works
@@ -94,8 +94,7 @@ def collection_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     that shares most title tokens. No SQL, for the ratio."""
     r, w = _journals_and_sets(spark, sf_dir)
     tokens = lambda c: text.tokens(text.normalize_text(F.col(c))).alias("tokens")
-    pairs = candidates.records_of_collections(r.select("sample_index", "parsed_journal", tokens("context")), w.select("work_id", "set_name", tokens("title")), "sample_index", "work_id", "parsed_journal", "set_name", "tokens", similarity.name_similarity, 0.55, 5)
-    return ranking.best(pairs, ["sample_index"], [-F.col("shared"), F.col("work_id")])
+    return candidates.best_of_collections(r.select("sample_index", "parsed_journal", tokens("context")), w.select("work_id", "set_name", tokens("title")), "sample_index", "work_id", "parsed_journal", "set_name", "tokens", similarity.name_similarity, 0.55, 5)
 
 
 # --- citations of every form -----------------------------------------------------------------------------
