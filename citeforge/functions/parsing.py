@@ -141,13 +141,19 @@ def cleanup_queries(context: Column, doi: Column, most: int = 300) -> Column:
 def title_queries(title: Column, year: Column, most: int = 4) -> Column:
     """array<struct<mode, key, query>>: full and salient title, each with the year and without;
     those of 8 characters or more, distinct by key."""
+    words = F.struct(compact_query(title).alias("full"), salient_query(title).alias("salient"))
+    return let(words, lambda w: queries_of(w["full"], w["salient"], year, most))
+
+
+def queries_of(full: Column, salient: Column, year: Column, most: int = 4) -> Column:
+    """``title_queries`` of a title's two forms that are there already."""
     def of(mode: str, query: Column) -> list[Column]:
         dated = F.coalesce(year, F.lit("")) != ""
         plain = F.concat(F.lit("title||"), query)
         keyed = F.when(dated, F.concat(F.lit("year|"), year, F.lit("|"), query)).otherwise(plain)
         return [F.struct(F.lit(m).alias("mode"), k.alias("key"), query.alias("query")) for m, k in ((f"{mode}_year", keyed), (mode, plain))]
 
-    made = F.array(*of("title_full", compact_query(title)), *of("title_salient", salient_query(title)))
+    made = F.array(*of("title_full", full), *of("title_salient", salient))
     kept = let(F.filter(made, lambda x: F.length(x["query"]) >= 8), lambda a: _distinct_by(a, lambda x: x["key"]))
     return F.slice(kept, 1, most)
 
@@ -158,7 +164,8 @@ def parse_query_key(key: Column) -> Column:
     return F.struct(part(1).alias("mode"), part(2).alias("year"), part(3).alias("query"))
 
 
-def title_searchable(title: Column, year: Column, n_tokens: Column) -> Column:
+def title_searchable(title: Column, year: Column, n_tokens: Column, n_queries: Column | None = None) -> Column:
     """Whether a parsed title can be searched for: with a year, four tokens, and at least one query
-    (eight letters)."""
-    return (title != "") & (year != "") & (n_tokens >= 4) & (F.size(title_queries(title, year)) > 0)
+    (eight letters); ``n_queries``: how many, where that is known."""
+    n_queries = F.size(title_queries(title, year)) if n_queries is None else n_queries
+    return (title != "") & (year != "") & (n_tokens >= 4) & (n_queries > 0)

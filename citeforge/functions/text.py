@@ -189,9 +189,15 @@ def compact_query(text: Column) -> Column:
 
 def salient_query(text: Column, most: int = 10) -> Column:
     """The first words that would be title tokens, as they are written."""
+    return let(compact_query(text), lambda words: salient_words(words, most))
+
+
+def salient_words(words: Column, most: int = 10) -> Column:
+    """``salient_query`` of a ``compact_query``. Each of its letters folds to one, so it is folded whole and has its words where they were."""
     stop = F.array(*(F.lit(w) for w in fixed.STOP_INDEX))
-    useful = F.filter(F.split(compact_query(text), " "), lambda w: let(normalize_joined(w), lambda n: (F.length(n) > 2) & ~F.array_contains(stop, n)))
-    return F.array_join(F.slice(useful, 1, most), " ")
+    both = F.struct(F.split(words, " ").alias("w"), F.split(normalize_joined(words), " ").alias("n"))
+    useful = lambda s: F.filter(s["w"], lambda _, i: (F.length(s["n"][i]) > 2) & ~F.array_contains(stop, s["n"][i]))
+    return F.array_join(F.slice(let(both, useful), 1, most), " ")
 
 
 def years(text: Column) -> Column:
