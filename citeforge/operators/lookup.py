@@ -6,18 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeforge.operators.ranking import best
+from citeforge.sources.shared import stored
 
 
 def first_success(rows: DataFrame, id_col: str, keys: str, lookup: DataFrame, ranks: dict[str, int], carry: list[str] | None = None, keep_empty: bool = False) -> DataFrame:
-    """One row per id with candidates: the first candidate with the best-ranked status.
+    """One row per id with candidates: the first candidate with the best-ranked status. Ids come once.
 
     ``keys``: array column, in order of preference; ``lookup``: key, status and more. Statuses that
     ``ranks`` doesn't name, and missing keys, rank last; then the first candidate wins. ``carry``: more
     columns of ``rows`` to keep; ``keep_empty``: ids without candidates too, with nulls.
+
+    Equal arrays are looked up once. Ids without candidates meet nothing: their null keys would be one task's.
     """
-    each = rows.select(id_col, *(carry or []), (F.posexplode_outer if keep_empty else F.posexplode)(keys).alias("pos", "key")).join(lookup, "key", "left")
+    carry, keep = carry or [], [c for c in lookup.columns if c != "key"]
+    rows = stored(rows.select(id_col, *carry, F.col(keys).alias("_keys")), "lookups")
+    some = F.coalesce(F.size("_keys") > 0, F.lit(False))
+    each = rows.filter(some).select("_keys").distinct().select("_keys", F.posexplode("_keys").alias("pos", "key")).join(lookup, "key", "left")
     order = F.coalesce(*(F.when(F.col("status") == s, F.lit(r)) for s, r in ranks.items()), F.lit(len(ranks) + 1))
-    return best(each.withColumn("_rank", order), [id_col], [F.col("_rank"), F.col("pos")]).drop("_rank")
+    chosen = best(each.withColumn("_rank", order), ["_keys"], [F.col("_rank"), F.col("pos")]).drop("_rank")
+    out = rows.filter(some).join(chosen, "_keys").select("key", id_col, *carry, "pos", *keep)
+    return out.unionByName(rows.filter(~some).drop("_keys"), allowMissingColumns=True) if keep_empty else out
+
+
+def distinct_texts(rows: DataFrame, column: str, *others: Column) -> tuple[DataFrame, Column]:
+    """(``column``, ``others`` over its rows, _text) for each distinct text, and the number ``_text`` for rows: a hash that no two of these
+    texts share, which is counted, so that rows meet what was made of their text by the number alone."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # what is made of a text takes far longer than its bytes would need
+    texts = stored(rows.groupBy(column).agg(*(others or [F.first(F.lit(True)).alias("_any")])).repartition(parts, column), "texts")
+    for seed in range(8):
+        number = F.xxhash64(F.lit(seed), F.col(column))
+        own = texts.withColumn("_text", number)
+        if own.groupBy("_text").count().filter("count > 1").isEmpty():
+            return own, number
+    raise ValueError("eight hashes are each shared by several texts")
 
 
 def prioritised_lookup(rows: DataFrame, lookup: DataFrame, id_key: str, search_key: str) -> DataFrame:
