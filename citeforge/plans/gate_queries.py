@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeforge.functions import classify, fixed, identifiers, parsing, similarity, text
-from citeforge.operators import candidates
+from citeforge.operators import candidates, lookup
 from citeforge.plans import oracle as o
 from citeforge.plans.registry import query
-from citeforge.plans.views import refs, works
+from citeforge.plans.views import own_works, refs, works
+from citeforge.sources.shared import stored
 
 
 def _join(*parts: Column | str) -> Column:
@@ -47,10 +48,15 @@ def title_search_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, title = F.col("k"), F.col("title")
     made = F.when(k % 6 == 1, "the and for with into title of it").when(k % 6 == 2, "").when(k % 6 == 3, _join(F.split("title", " ")[0], " study of birds")).when(k % 6 == 4, "çok ünlü şair üç").otherwise(title)
     year = F.when(k % 4 == 1, "").otherwise(F.col("year").cast("string"))
-    r = refs(spark, sf_dir).select("sample_index", "k", F.col("part").alias("work_id")).join(works(spark, sf_dir).select("work_id", "title", "year"), "work_id")
-    r = r.select("sample_index", made.alias("title"), year.alias("year"))
-    n = F.size(text.tokens(text.normalize_joined(F.col("title")), fixed.STOP_INDEX))
-    return r.select("sample_index", n.alias("n_tokens"), F.size(parsing.title_queries(F.col("title"), F.col("year"))).alias("n_variants"), parsing.title_searchable(F.col("title"), F.col("year"), n).alias("searchable"))
+    r = refs(spark, sf_dir).select("sample_index", "k", F.col("part").alias("work_id")).join(own_works(spark, sf_dir).select("work_id", "title", "year"), "work_id")
+    r = r.select("sample_index", F.struct(made.alias("title"), year.alias("year")).alias("asked"))
+    texts, number = lookup.distinct_texts(r, "asked")
+    # Generators, so that no expression is copied into what comes after.
+    n = F.size(text.tokens(text.normalize_joined(F.col("asked.title")), fixed.STOP_INDEX))
+    counts = F.struct(n.alias("n_tokens"), F.size(parsing.title_queries(F.col("asked.title"), F.col("asked.year"))).alias("n_variants"))
+    t = texts.select("_text", "asked", F.inline(F.array(counts)))
+    t = t.select("_text", "n_tokens", "n_variants", parsing.title_searchable(F.col("asked.title"), F.col("asked.year"), F.col("n_tokens"), F.col("n_variants")).alias("searchable"))
+    return r.select("sample_index", number.alias("_text")).join(stored(t, "counted_texts"), "_text").drop("_text")
 
 
 _PAGES = ", ".join(f"nullif({o.ext('context', p, 2)}, '')" for p in fixed.VOLUME_PAGE)
@@ -109,7 +115,7 @@ def citation_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations written in each of the five forms and in none are parsed to what they were written from; title
     and journal before the year."""
     k, part = F.col("k"), F.col("part")
-    r = refs(spark, sf_dir).select("sample_index", "k", "part").join(works(spark, sf_dir).select(F.col("work_id").alias("part"), F.col("title").alias("t")), "part")
+    r = refs(spark, sf_dir).select("sample_index", "k", "part").join(own_works(spark, sf_dir).select(F.col("work_id").alias("part"), F.col("title").alias("t")), "part")
     a, j, y = _join("Author", part % 37), _join("Calisma Dergisi ", part % 25), 1992 + part % 7
     t, v, i, p, q = F.col("t"), k % 40 + 1, k % 4 + 1, k % 90 + 1, k % 90 + 9
     pages = _join(p, "-", q)
@@ -124,7 +130,9 @@ def citation_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     r = r.select("sample_index", "k", made.alias("context"))
     parsed, around = parsing.parse_reference(F.col("context")), parsing.title_and_journal(F.col("context"))
-    rows = r.select("sample_index", "k", F.explode(F.array(F.struct(parsed.alias("p"), around.alias("b")))).alias("s"))
+    texts, number = lookup.distinct_texts(r, "context")
+    made = texts.select("_text", F.explode(F.array(F.struct(parsed.alias("p"), around.alias("b")))).alias("s"))
+    rows = r.select("sample_index", "k", number.alias("_text")).join(stored(made, "parsed_texts"), "_text")
     last = lambda n: F.when(k % 7 == 6, F.col(f"s.b.{n}")).otherwise("").alias(f"{n}_before_year")
     return rows.select("sample_index", "s.p.parser", "s.p.title", "s.p.journal", "s.p.year", "s.p.authors", last("title"), last("journal"))
 
