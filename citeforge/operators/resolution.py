@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from citeforge.functions.text import percent
 from citeforge.operators.ranking import best, running_total
-from citeforge.sources.shared import shared_path
+from citeforge.sources.shared import shared_path, stored
 
 #: Stages in order, and what counts as found: the compatible policy takes ``possible`` matches of
 #: the early stages as found; the strict one never does.
@@ -44,7 +44,8 @@ def provenance(resolution: DataFrame, policy: dict[str, tuple[str, ...]]) -> Dat
 
 
 def remaining(refs: DataFrame, found_rows: DataFrame) -> DataFrame:
-    return refs.join(found_rows, "sample_index", "left_anti")
+    # Ids compress so well that their file would pass for one to broadcast.
+    return refs.join(found_rows.hint("merge"), "sample_index", "left_anti")
 
 
 def cumulative(resolution: DataFrame, policy: dict[str, tuple[str, ...]], total: DataFrame) -> DataFrame:
@@ -68,14 +69,14 @@ def run_stages(targets: DataFrame, stages: list[tuple[str, Callable[[DataFrame],
     A stage, a name and a function of the targets (sample_index), is only asked for targets that no stage
     before it has found, with a status in ``ends``; once none is open the rest are not run. Each stage's rows
     are appended to the Parquet table ``table`` (by default a new one in the shared folder) as a part of
-    its own, so the stages before are read, never computed again. A table that holds stages already is gone
+    its own, and what each leaves open is stored, so the stages before are read, never computed again. A table that holds stages already is gone
     on with: those are not asked again. Statuses that don't end keep a target open; ``cascade`` settles them.
     """
     spark = targets.sparkSession
     table = table or shared_path(spark, "resolution")
     fs = spark._jvm.org.apache.hadoop.fs.Path(table).getFileSystem(spark._jsc.hadoopConfiguration())
     done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/stage={n}/_SUCCESS"))
-    open_ = targets.select("sample_index").distinct()
+    open_ = stored(targets.select("sample_index").distinct(), "open")
     rows = None
     for n, (name, stage) in enumerate(stages, 1):
         part = f"{table}/stage={n}"
@@ -85,7 +86,8 @@ def run_stages(targets: DataFrame, stages: list[tuple[str, Callable[[DataFrame],
             stage(open_).withColumn("resolver", F.lit(name)).write.mode("overwrite").parquet(part)
         own = spark.read.parquet(part).withColumn("stage", F.lit(n))
         rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
-        open_ = remaining(open_, own.filter(F.col("status").isin(*ends)).select("sample_index"))
+        if n < len(stages):
+            open_ = stored(remaining(open_, own.filter(F.col("status").isin(*ends)).select("sample_index")), "open")
     if rows is None:
         return spark.createDataFrame([], "sample_index long, status string, resolver string, stage int")
     return rows
