@@ -22,27 +22,84 @@ def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
-def common_letters(a: str, b: str) -> int:
-    """Letters of the longest common subsequence: a bit for each letter of ``a``."""
+def _places(text: str) -> dict[str, int]:
+    """For each letter of a text the places where it stands, as bits."""
     where: dict[str, int] = {}
-    for i, c in enumerate(a):
+    for i, c in enumerate(text):
         where[c] = where.get(c, 0) | 1 << i
-    whole = left = (1 << len(a)) - 1
+    return where
+
+
+def common_with_each(texts: tuple[str, ...], b: str, known: dict[str, dict[str, int]]) -> list[int]:
+    """Letters of the longest common subsequence of each text and ``b``, in one pass: a bit for each letter of the texts
+    in one number, and a spare one after each text, which is cleared in each step, so that nothing is
+    carried over. ``known`` keeps the places in texts, which come again with other ``b``."""
+    if len(known) > KEPT_TEXTS:
+        known.clear()
+    where, whole, at = dict.fromkeys(b, 0), 0, 0
+    for text in texts:
+        if text not in known:
+            known[text] = _places(text)
+        for c, bits in known[text].items():
+            if c in where:
+                where[c] |= bits << at
+        whole |= (1 << len(text)) - 1 << at
+        at += len(text) + 1
+    left = whole
     for c in b:
-        hit = left & where.get(c, 0)
+        hit = left & where[c]
         left = (left + hit | left - hit) & whole
-    return len(a) - left.bit_count()
-
-
-def ratio_from(a: str, b: str, least: float) -> float | None:
-    """``ratio`` where it is ``least`` or more, else None. Matching blocks are a common subsequence, so
-    where the longest one is too short no blocks are sought."""
-    if 2.0 * common_letters(a, b) / max(len(a) + len(b), 1) < least:
-        return None
-    found = SequenceMatcher(None, a, b).ratio()
-    return found if found >= least else None
-
-
+    counts = []
+    for a in texts:
+        counts.append(len(a) - (left & (1 << len(a)) - 1).bit_count())
+        left >>= len(a) + 1
+    return counts
+
+
+def matched_letters(a: str, b: str) -> int:
+    """Letters in the matching blocks of difflib's SequenceMatcher, popular letters of a long ``b`` ignored as there. A bit
+    for each place of ``a`` and of ``b``, a row of bits for each letter of ``a``: of the runs along a diagonal the
+    longest are found by doubling, and the lowest bit of these is the one that difflib takes."""
+    where: dict[str, list[int]] = {}
+    for j, c in enumerate(b):
+        where.setdefault(c, []).append(j)
+    most = len(b) // 100 + 1 if len(b) >= 200 else len(b)
+    size = len(b) // 8 + 1  # bytes of a row: one bit or more is spare
+    width, nothing = 8 * size, bytes(size)
+    rows = {c: sum(1 << j for j in js).to_bytes(size, "little") for c, js in where.items() if len(js) <= most}
+    cells = int.from_bytes(b"".join([rows.get(c, nothing) for c in a]), "little")
+    total, left = 0, [(0, len(a), 0, len(b))]
+    while left:
+        alo, ahi, blo, bhi = left.pop()
+        runs = cells >> alo * width & int.from_bytes(((1 << bhi) - (1 << blo)).to_bytes(size, "little") * (ahi - alo), "little")
+        i, j, k = alo, blo, 0
+        if runs:
+            powers, k = [runs], 1
+            while longer := runs & runs >> k * (width + 1):
+                runs = longer
+                powers.append(runs)
+                k *= 2
+            for n in range(len(powers) - 2, -1, -1):
+                if longer := runs & powers[n] >> k * (width + 1):
+                    runs = longer
+                    k += 1 << n
+            at = (runs & -runs).bit_length() - 1
+            i, j = alo + at // width, at % width
+            while i > alo and j > blo and a[i - 1] == b[j - 1]:
+                i, j, k = i - 1, j - 1, k + 1
+        while i + k < ahi and j + k < bhi and a[i + k] == b[j + k]:
+            k += 1
+        if k:
+            total += k
+            if alo < i and blo < j:
+                left.append((alo, i, blo, j))
+            if i + k < ahi and j + k < bhi:
+                left.append((i + k, ahi, j + k, bhi))
+    return total
+
+
+#: Texts of which a task keeps the places of letters, and texts that meet another at once.
+KEPT_TEXTS, TOGETHER = 4096, 64
 #: Rows whose best ratio so far a task remembers.
 REMEMBERED = 50_000
 
@@ -51,26 +108,45 @@ def best_ratios(pairs: DataFrame, keys: list[str], other: str, least: float) ->
     """(keys, other, alignment_score): of each row's pairs those that may be its best at ``least`` or more, with the ratio
     of ``_r`` and ``_c``, or 1 where one stands in the other (``_inside``); the best are always among them.
 
-    A task takes the pairs it gets together by falling ``_bound`` and remembers each row's best so far: a pair
-    that can't reach it is left out, by its bound or by its longest common subsequence. Which pairs meet in
-    a task decides how many ratios are made, not what is best.
+    A task remembers each row's best so far and leaves out what can't reach it. Of a row's pairs that it gets together it
+    takes that of the largest ``_bound`` first; then, of those left, all longest common subsequences at once, as matching
+    blocks are one, and ratios, from the longest, while one can be the best. Which pairs meet in a task decides how many ratios are made, not what is best.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         so_far: dict[tuple, float] = {}
+        known: dict[str, dict[str, int]] = {}
         for d in batches:
             if len(so_far) > REMEMBERED:
                 so_far.clear()
             a, b, inside, bound = (d.column(c).to_pylist() for c in ("_r", "_c", "_inside", "_bound"))
-            ids = list(zip(*(d.column(k).to_pylist() for k in keys), strict=True))
+            by_row: dict[tuple, list[int]] = {}
+            for i, row in enumerate(zip(*(d.column(k).to_pylist() for k in keys), strict=True)):
+                by_row.setdefault((row, b[i]), []).append(i)
             kept, scores = [], []
-            for i in sorted(range(d.num_rows), key=lambda i: -bound[i]):
-                least_ = so_far.get(ids[i], least)
-                score = None if bound[i] < least_ else 1.0 if inside[i] else ratio_from(a[i], b[i], least_)
-                if score is not None:
-                    so_far[ids[i]] = score
-                    kept.append(i)
-                    scores.append(score)
+            for (row, text), own in by_row.items():
+                best = so_far.get(row, least)
+                whole = [i for i in own if inside[i]]
+                kept += whole
+                scores += [1.0] * len(whole)
+                best = 1.0 if whole else best
+                rest = sorted((i for i in own if not inside[i] and bound[i] >= best), key=lambda i: -bound[i])
+                # The first by its letters mostly is the best, and then leaves few others to look at.
+                for at, to in [(0, 1), *((k, k + TOGETHER) for k in range(1, len(rest), TOGETHER))]:
+                    some = [i for i in rest[at:to] if bound[i] >= best]
+                    if not some:
+                        continue
+                    size = {i: max(len(a[i]) + len(text), 1) for i in some}
+                    common = zip(common_with_each(tuple(a[i] for i in some), text, known), some, strict=True)
+                    for most, i in sorted(((2.0 * n / size[i], i) for n, i in common), key=lambda x: -x[0]):
+                        if most < best:
+                            break
+                        score = 2.0 * matched_letters(a[i], text) / size[i]
+                        if score >= best:
+                            best = score
+                            kept.append(i)
+                            scores.append(score)
+                so_far[row] = best
             own = d.select([*keys, other]).take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(scores, pa.float64())], [*keys, other, "alignment_score"])
 
